@@ -1,0 +1 @@
+"""Empty on purpose: none of the analyses reads a stream or keeps state across batches."""
