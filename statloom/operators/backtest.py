@@ -2,38 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.operators.crosssection import lag_weights, turnover
-from statloom.operators.joins import align_outer
+from statloom.operators.crosssection import Hot, lag_weights, turnover
+from statloom.operators.hotgroups import AUTO
+from statloom.operators.joins import align_outer, with_choices
 from statloom.operators.regress import LinearFit, fit_ols
 
 
 def portfolio_returns(
-    weights: DataFrame, returns: DataFrame, time: str, entity: str, weight: str = "weight", ret: str = "ret", step: str | None = None
+    weights: DataFrame,
+    returns: DataFrame,
+    time: str,
+    entity: str,
+    weight: str = "weight",
+    ret: str = "ret",
+    step: str | None = None,
+    choices: Sequence[Mapping] = (),
+    hot: Hot = AUTO,
 ) -> DataFrame:
     """Sum over entities of the lagged weight times the return.
 
     Every time of ``returns`` from the first weight on, and every weight time, is present; times
-    without a held weight earn 0.
+    without a held weight earn 0. ``choices`` lists the parameter settings whose portfolios the
+    weights hold side by side (their names are key columns of ``weights``).
     """
-    held = lag_weights(weights.select(time, entity, weight), time, entity, weight, "_held", step=step)
+    config = list(choices[0]) if choices else []
+    key = [*config, time]
+    held = lag_weights(weights.select(*key, entity, weight), time, entity, weight, "_held", 1, step, config, hot)
     earned = (
         held.join(returns.select(time, entity, ret), [time, entity], "left")
-        .groupBy(time)
+        .groupBy(*key)
         .agg(F.coalesce(F.sum(F.col("_held") * F.col(ret)), F.lit(0.0)).alias("ret"))
     )
-    start = weights.agg(F.min(time)).scalar()
-    calendar = returns.select(time).filter(F.col(time) >= start).distinct()
-    return align_outer(calendar, earned, [time], {"ret": 0.0})
+    times = returns.select(time).distinct()
+    if config:
+        starts = weights.groupBy(*config).agg(F.min(time).alias("_start"))
+        times = with_choices(times, choices).join(starts, config)
+    else:
+        times = times.withColumn("_start", weights.agg(F.min(time)).scalar())
+    calendar = times.filter(F.col(time) >= F.col("_start")).select(*key)
+    return align_outer(calendar, earned, key, {"ret": 0.0})
 
 
 def net_of_costs(
-    gross: DataFrame, weights: DataFrame, time: str, entity: str, weight: str = "weight", cost_bps: float = 20.0
+    gross: DataFrame, weights: DataFrame, time: str, entity: str, weight: str = "weight", cost_bps: float = 20.0, hot: Hot = AUTO
 ) -> DataFrame:
     """Gross series, turnover and the series after ``turnover * cost_bps / 10000``."""
-    moved = turnover(weights, time, entity, weight)
+    moved = turnover(weights, time, entity, weight, hot=hot)
     out = align_outer(gross, moved, [time], {"ret": 0.0, "turnover": 0.0})
     return out.withColumn("net", F.col("ret") - F.col("turnover") * (cost_bps * 1e-4))
 

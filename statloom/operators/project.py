@@ -46,20 +46,24 @@ def drop_incomplete_entities(df: DataFrame, entity: str, value: str) -> DataFram
     return df.join(bad, F.col(entity) == F.col("_bad"), "left_anti")
 
 
-def complete_cross_sections(df: DataFrame, time: str, entity: str, value: str) -> DataFrame:
+def complete_cross_sections(
+    df: DataFrame, time: str, entity: str, value: str, config: Sequence[str] = ()
+) -> DataFrame:
     """Keep the times at which every entity has a value: 'drop rows with any NULL' on a long panel.
 
-    Rows with a NULL value are removed first, so an all-NULL time disappears as well.
+    Rows with a NULL value are removed first, so an all-NULL time disappears as well. ``config``
+    names further key columns that tell several panels in one table apart.
     """
+    key = [*config, time]
     entities = df.agg(F.countDistinct(entity)).scalar()
     present = df.filter(F.col(value).isNotNull())
     full = (
-        present.groupBy(F.col(time).alias("_time"))
+        present.groupBy(*[F.col(c).alias(f"_at{i}") for i, c in enumerate(key)])
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") == entities)
-        .select("_time")
+        .drop("_n")
     )
-    return present.join(full, F.col(time) == F.col("_time"), "left_semi")
+    return present.join(full, _all_of(F.col(c) == F.col(f"_at{i}") for i, c in enumerate(key)), "left_semi")
 
 
 def between_days(

@@ -117,3 +117,30 @@ def rolling_z(
     """Distance from the rolling mean in rolling standard deviations; NULL when there is no spread."""
     out = rolling(df, by, order, window, means={"_mean": value}, stds={"_std": value}, hot=hot)
     return out.withColumn(name, F.try_divide(F.col(value) - F.col("_mean"), F.col("_std"))).drop("_mean", "_std")
+
+
+def rolling_means(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, sizes: Sequence[int], min_periods: int | None = None, hot: HotGroups | None | str = AUTO
+) -> DataFrame:
+    """Rolling means for several window sizes, ``{value}_{size}``, from one sorted pass."""
+    def add(d, w):
+        for size in sizes:
+            build = _short if size <= SHORT_WINDOW else _long
+            d = build(d, w, size, min_periods or size, {f"{value}_{size}": value}, {}, {})
+        return d
+
+    return with_lookback(df, by, order, max(sizes), add, hot)
+
+
+def rolling_zs(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, sizes: Sequence[int], hot: HotGroups | None | str = AUTO
+) -> DataFrame:
+    """Rolling z-scores for several window sizes, ``z_{size}``, from one sorted pass."""
+    def add(d, w):
+        for size in sizes:
+            build = _short if size <= SHORT_WINDOW else _long
+            d = build(d, w, size, size, {"_mean": value}, {"_std": value}, {})
+            d = d.withColumn(f"z_{size}", F.try_divide(F.col(value) - F.col("_mean"), F.col("_std")))
+        return d.drop("_mean", "_std")
+
+    return with_lookback(df, by, order, max(sizes), add, hot)

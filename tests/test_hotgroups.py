@@ -83,8 +83,8 @@ def test_chunks_stay_near_the_limit_and_in_order(series):
         lambda d: rolling(d, BY, ORDER, 130, means={"m": "x"}, stds={"s": "x"}, betas={"b": ("y", "x")}, correlations={"c": ("y", "x")}),
         lambda d: rolling(d, BY, ORDER, 90, means={"m": "gap"}, stds={"s": "gap"}, min_periods=5),
         lambda d: rolling_z(d, BY, ORDER, "x", 30),
-        lambda d: average_rank(d, "e", "x"),
-        lambda d: demean_and_scale(d, "e", "x"),
+        lambda d: average_rank(d, ["e"], "x"),
+        lambda d: demean_and_scale(d, ["e"], "x"),
     ],
 )
 def test_cut_windows_equal_plain_windows(series, spark, op):
