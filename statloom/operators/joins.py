@@ -89,18 +89,15 @@ def union_named(*frames: DataFrame) -> DataFrame:
 
 
 def ordered_lookup(
-    matches: DataFrame, info: DataFrame, subject: str, match: str, position: str, info_on: Mapping[str, str] | None = None
+    matches: DataFrame, info: DataFrame, match: str, info_key: str | None = None, columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """Info rows for each subject (position 0) and its matches (positions 1..k).
-
-    ``matches`` is long: one row per (subject, position, match). ``info_on`` maps further columns of
-    ``matches`` to key columns of ``info``.
-    """
-    return lookup(matches, info, {match: subject, **(info_on or {})})
+    """Info rows for each (subject, position, match) row. Matches are kept long, so the position is
+    a column and a subject's own row is position 0."""
+    return lookup(matches, info, {match: info_key or match}, columns)
 
 
 def explode_lists(
-    df: DataFrame, key: Sequence[str], first: str, second: str, suffix: str
+    df: DataFrame, key: Sequence[str], first: str, second: str, suffix: str, position: str = "list_position"
 ) -> DataFrame:
     """Flatten two struct lists of a record side by side: element i of one next to element i of the
     other, the second list's fields suffixed. A record with both lists empty keeps one row."""
@@ -113,7 +110,7 @@ def explode_lists(
     rows = df.select(*key, F.posexplode_outer(pairs).alias("_pos", "_pair"))
     return rows.select(
         *key,
-        F.coalesce(F.col("_pos"), F.lit(0)).alias("position"),
+        F.coalesce(F.col("_pos"), F.lit(0)).alias(position),
         *[F.col(f"_pair.a.{f}").alias(f) for f in fields(first)],
         *[F.col(f"_pair.b.{f}").alias(f + suffix) for f in fields(second)],
     )

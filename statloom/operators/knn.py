@@ -4,7 +4,8 @@ Comparing every subject with every candidate of its segment grows with the squar
 candidates are grouped around a few pivot points per segment. The triangle inequality then tells
 which groups can hold a neighbour of a subject, and a subject visits only those. Groups and visits
 are cut into blocks of bounded size, each block returns at most k rows per subject, and a final
-top-k merges them. The result is exact for any choice of pivots.
+top-k merges them. The result is exact for any choice of pivots. Tables that are read several times
+are materialised in the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statloom.operators.project import top_per_group
+from statloom.session import cut_lineage
 
 BLOCK_ROWS = 8192
+MIN_CELL_ROWS = 512
 # widening of the search radius that absorbs rounding
 SLACK = 1e-9
 
@@ -40,6 +43,7 @@ def nearest(
     candidate: str,
     pivots: int = 32,
     block_rows: int = BLOCK_ROWS,
+    min_cell_rows: int = MIN_CELL_ROWS,
 ) -> DataFrame:
     """The ``k`` closest candidates of every subject by Euclidean distance within its segment.
 
@@ -50,11 +54,13 @@ def nearest(
     segment, features = list(segment), list(features)
     match = f"match_{candidate}" if candidate == subject else candidate
     numbers = [F.col(f).cast("double").alias(f) for f in features]
-    pool = candidates.select(*segment, F.col(candidate).alias("_cid"), *numbers).dropna()
+    pool = cut_lineage(candidates.select(*segment, F.col(candidate).alias("_cid"), *numbers).dropna())
     asking = subjects.select(*segment, F.col(subject).alias("_sid"), *numbers).dropna()
 
-    # pivots: a fixed scrambled choice of candidates, at most `pivots` per segment
+    # pivots: a fixed scrambled choice of candidates, one per MIN_CELL_ROWS and at most `pivots`
+    sizes = pool.groupBy(*segment).agg(F.count(F.lit(1)).alias("_pool"))
     chosen = top_per_group(pool, segment, [F.xxhash64("_cid"), "_cid"], pivots, rank="_cell")
+    chosen = chosen.join(sizes, segment).filter((F.col("_cell") - 1) * min_cell_rows < F.col("_pool")).drop("_pool")
     points = chosen.groupBy(*segment).agg(
         F.collect_list(F.struct("_cell", F.array(*features).alias("at"))).alias("_pivots")
     )
@@ -64,8 +70,10 @@ def nearest(
             lambda p: F.struct(_distance(p["at"], features).alias("d"), p["_cell"].alias("cell")),
         )
     )
-    placed = pool.join(points, segment).withColumn("_near", closest).select(
-        *segment, "_cid", *features, F.col("_near.cell").alias("_cell"), F.col("_near.d").alias("_d")
+    placed = cut_lineage(
+        pool.join(points, segment)
+        .withColumn("_near", closest)
+        .select(*segment, "_cid", *features, F.col("_near.cell").alias("_cell"), F.col("_near.d").alias("_d"))
     )
 
     cells = [*segment, "_cell"]
@@ -89,7 +97,7 @@ def nearest(
         ),
     )
     radius = F.array_min(F.transform("_seen", lambda c: c["d"] + c["kth"]))
-    visits = (
+    visits = cut_lineage(
         measured.withColumn("_radius", radius)
         .withColumn(
             "_go",
@@ -123,6 +131,8 @@ def nearest(
         .withColumn("_vb", spread(F.col("_vblocks")))
         .select(*cells, "_cb", "_vb", "_cid", *features)
     )
+    # fresh column identities: both sides descend from the same table
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     key = [*cells, "_cb", "_vb"]
     schema = T.StructType(
         [left.schema[c] for c in segment]

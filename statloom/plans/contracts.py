@@ -14,6 +14,7 @@ from statloom.operators.joins import explode_lists, lookup
 from statloom.operators.knn import nearest, price_path, weighted_estimate
 from statloom.operators.project import override_when
 from statloom.operators.windows import number_rows, prior_average, running_totals, trailing_average
+from statloom.session import cut_lineage
 
 # Games in a full season, position weights of the estimate, caps by season.
 SEASON_GAMES = 82
@@ -83,8 +84,12 @@ def cap_table(df: DataFrame, caps: Mapping[int, int] = CAP_BY_SEASON) -> DataFra
     return df.sparkSession.createDataFrame(list(caps.items()), "contract_year int, upper_limit bigint")
 
 
-def contract_seasons(contracts: DataFrame, careers: DataFrame, caps: DataFrame) -> DataFrame:
-    """Contracts joined to the career row of their season, skaters only, with the cap share."""
+def contract_seasons(contracts: DataFrame, careers: DataFrame, caps: DataFrame, digits: int | None = 2) -> DataFrame:
+    """Contracts joined to the career row of their season, skaters only, with the cap share.
+
+    Materialised, because scaling, matching and every report read it again.
+    """
+    fix = (lambda x: half_even(x, digits)) if digits is not None else (lambda x: x)
     out = lookup(
         contracts, careers, {"nhl_id": "playerId", "contract_year": "seasonId"},
         [c for c in careers.columns if c not in {*contracts.columns, "playerId", "seasonId"}], "inner",
@@ -92,13 +97,14 @@ def contract_seasons(contracts: DataFrame, careers: DataFrame, caps: DataFrame)
     out = out.filter((F.col("position") != "Goaltender") & F.col("signing_status").isin("RFA", "UFA"))
     out = lookup(out, caps, ["contract_year"], ["upper_limit"])
     yearly = F.col("value").cast("double") / F.col("length").cast("int")
-    return out.withColumns(
+    out = out.withColumns(
         {
             "position": F.when(F.col("position").contains("ing"), "Winger").otherwise(F.col("position")),
             "pos_group": F.when(F.col("position") == "Defense", "Defense").otherwise("Forward"),
-            "cap_hit_pct": half_even(yearly / F.col("upper_limit") * 100, 2),
+            "cap_hit_pct": fix(yearly / F.col("upper_limit") * 100),
         }
-    ).drop("upper_limit")
+    )
+    return cut_lineage(out.drop("upper_limit"))
 
 
 def comparables(
@@ -128,12 +134,14 @@ def comparables(
 
 
 def estimates(
-    comps: DataFrame, table: DataFrame, cap: float = CAP_BY_SEASON[CURRENT_SEASON], later_caps: Sequence[float] = LATER_CAPS, weights: Sequence[float] = POSITION_WEIGHTS
+    comps: DataFrame, table: DataFrame, cap: float = CAP_BY_SEASON[CURRENT_SEASON], later_caps: Sequence[float] = LATER_CAPS, weights: Sequence[float] = POSITION_WEIGHTS, digits: int | None = 2
 ) -> DataFrame:
     """Weighted cap share of each pending contract, its amount, and its share of later caps."""
     priced = lookup(comps, table, ["contract_id"], ["cap_hit_pct"])
     guess = weighted_estimate(priced, "subject_id", "position", "cap_hit_pct", weights, "cap_hit_pct")
-    return price_path(guess.withColumn("cap_hit_pct", half_even("cap_hit_pct", 2)), "cap_hit_pct", cap, later_caps)
+    if digits is not None:
+        guess = guess.withColumn("cap_hit_pct", half_even("cap_hit_pct", digits))
+    return price_path(guess, "cap_hit_pct", cap, later_caps, digits)
 
 
 def comparison_rows(comps: DataFrame, table: DataFrame, columns: Sequence[str]) -> DataFrame:

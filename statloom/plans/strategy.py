@@ -1,7 +1,8 @@
 """Market-residual z-score long/short strategy on an hourly price panel.
 
 The panel is long: one row per (ts, symbol). Steps along time shuffle by symbol, steps across
-symbols shuffle by time.
+symbols shuffle by time. Windowed results that later steps read more than once are materialised in
+the checkpoint folder, so no step repeats the work of the ones before it.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ def hourly_returns(prices: DataFrame, last_day: dt.date | None = None, hours: in
     """Returns at the times where every symbol has one, compounded into ``hours``-long bars."""
     kept = between_days(prices, "ts", last=last_day)
     returns = simple_return(kept, ["symbol"], ["ts"], "price", "ret").select("ts", "symbol", "ret")
-    return compound_bars(complete_cross_sections(returns, "ts", "symbol", "ret"), "ts", "symbol", "ret", hours)
+    complete = complete_cross_sections(cut_lineage(returns), "ts", "symbol", "ret")
+    return cut_lineage(compound_bars(complete, "ts", "symbol", "ret", hours))
 
 
 def residuals(returns: DataFrame, benchmark: str, window: int) -> DataFrame:
@@ -51,7 +53,7 @@ def residuals(returns: DataFrame, benchmark: str, window: int) -> DataFrame:
     others = returns.filter(F.col("symbol") != benchmark)
     panel = lookup(others, bench, ["ts"])
     out = rolling(panel, ["symbol"], ["ts"], window, betas={"beta": ("ret", "bench")})
-    out = out.select("ts", "symbol", (F.col("ret") - F.col("beta") * F.col("bench")).alias("resid"))
+    out = cut_lineage(out.select("ts", "symbol", (F.col("ret") - F.col("beta") * F.col("bench")).alias("resid")))
     live = out.filter(F.col("resid").isNotNull()).select("ts").distinct()
     return drop_incomplete_entities(out.join(live, "ts", "left_semi"), "symbol", "resid")
 
@@ -64,7 +66,7 @@ def signals(
     smooth = rolling_means(resid, ["symbol"], ["ts"], "resid", ma_windows, min_periods)
     long = to_long(smooth, ["ts", "symbol"], [f"resid_{m}" for m in ma_windows], "_w", "ma")
     long = long.select(F.substring_index("_w", "_", -1).cast("int").alias("ma_window"), "ts", "symbol", "ma")
-    long = complete_cross_sections(long, "ts", "symbol", "ma", ["ma_window"])
+    long = complete_cross_sections(cut_lineage(long), "ts", "symbol", "ma", ["ma_window"])
     scored = rolling_zs(long, ["ma_window", "symbol"], ["ts"], "ma", z_windows)
     wide = [f"z_{z}" for z in z_windows]
     out = to_long(scored, ["ma_window", "ts", "symbol", "ma"], wide, "_w", "z")
@@ -72,7 +74,7 @@ def signals(
         "ma_window", F.substring_index("_w", "_", -1).cast("int").alias("z_window"), "ts", "symbol", "z",
         (F.col("ma") * F.col("z")).alias("signal"),
     )
-    return complete_cross_sections(out, "ts", "symbol", "z", ["ma_window", "z_window"])
+    return complete_cross_sections(cut_lineage(out), "ts", "symbol", "z", ["ma_window", "z_window"])
 
 
 def weights(signal: DataFrame, thresholds: Sequence[float], exclude_masked: bool = False) -> DataFrame:
@@ -87,7 +89,7 @@ def weights(signal: DataFrame, thresholds: Sequence[float], exclude_masked: bool
     at = ["ma_window", "z_window", "threshold", "ts"]
     hot = find_hot(signal, ["ma_window", "z_window", "ts"], "signal")
     ranked = average_rank(rows, at, "_masked", "_rank", hot)
-    return demean_and_scale(ranked, at, "_rank", "weight", hot).select(*at, "symbol", "weight")
+    return cut_lineage(demean_and_scale(ranked, at, "_rank", "weight", hot).select(*at, "symbol", "weight"))
 
 
 def backtest(
@@ -97,12 +99,9 @@ def backtest(
     """Weights and the (ts, ret, turnover, net) series of one parameter setting.
 
     ``first_day`` starts the evaluated returns later than the signal, for out-of-sample periods.
-    Intermediate panels are materialised, since every windowed step reads its input more than once.
     """
-    returns = cut_lineage(returns)
-    resid = cut_lineage(residuals(returns, benchmark, beta_window))
-    signal = cut_lineage(signals(resid, [ma_window], [z_window], min_periods))
-    held = cut_lineage(weights(signal, [threshold]))
+    resid = residuals(returns, benchmark, beta_window)
+    held = weights(signals(resid, [ma_window], [z_window], min_periods), [threshold])
     traded = between_days(returns.filter(F.col("symbol") != benchmark), "ts", first=first_day)
     gross = portfolio_returns(held, traded, "ts", "symbol", step=step)
     return held, net_of_costs(gross, held, "ts", "symbol", cost_bps=cost_bps)
@@ -112,9 +111,7 @@ def sweep(
     returns: DataFrame, benchmark: str, beta_window: int, ma_windows: Sequence[int], z_windows: Sequence[int], thresholds: Sequence[float], periods: float = HOURS_PER_YEAR
 ) -> DataFrame:
     """Sharpe ratio of every (ma_window, z_window, threshold); one plan, no loop over jobs."""
-    returns = cut_lineage(returns)
-    signal = cut_lineage(signals(cut_lineage(residuals(returns, benchmark, beta_window)), ma_windows, z_windows))
-    held = cut_lineage(weights(signal, thresholds))
+    held = weights(signals(residuals(returns, benchmark, beta_window), ma_windows, z_windows), thresholds)
     choices = [
         {"ma_window": m, "z_window": z, "threshold": float(t)} for m, z, t in product(ma_windows, z_windows, thresholds)
     ]

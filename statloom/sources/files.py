@@ -17,10 +17,17 @@ BAR_FIELDS = [
 ]
 
 
-def load_table(spark: SparkSession, folder: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """One parquet table of a folder; the column list is pruned at the scan."""
+def load_table(
+    spark: SparkSession, folder: str, name: str, columns: Sequence[str] | None = None, nan_is_missing: bool = False
+) -> DataFrame:
+    """One parquet table of a folder; the column list is pruned at the scan.
+
+    ``nan_is_missing`` is for files written by tools that store missing numbers as NaN. It is off by
+    default because rewriting a column keeps filters on it from reaching the scan.
+    """
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    return nan_to_null(df.select(*columns) if columns else df)
+    df = df.select(*columns) if columns else df
+    return nan_to_null(df) if nan_is_missing else df
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, columns: Sequence[str] | None = None) -> DataFrame:
