@@ -24,6 +24,7 @@ from statloom.session import cut_lineage
 
 BLOCK_ROWS = 8192
 MIN_CELL_ROWS = 512
+MOST_BROADCAST_PIVOTS = 100_000
 # widening of the search radius that absorbs rounding
 SLACK = 1e-9
 
@@ -64,6 +65,8 @@ def nearest(
     points = chosen.groupBy(*segment).agg(
         F.collect_list(F.struct("_cell", F.array(*features).alias("at"))).alias("_pivots")
     )
+    # a directory holds at most `pivots` entries per segment; with few segments it is surely small
+    small = F.broadcast if sizes.count() * pivots <= MOST_BROADCAST_PIVOTS else (lambda df: df)
     closest = F.array_min(
         F.transform(
             "_pivots",
@@ -71,7 +74,7 @@ def nearest(
         )
     )
     placed = cut_lineage(
-        pool.join(points, segment)
+        pool.join(small(points), segment)
         .withColumn("_near", closest)
         .select(*segment, "_cid", *features, F.col("_near.cell").alias("_cell"), F.col("_near.d").alias("_d"))
     )
@@ -87,29 +90,22 @@ def nearest(
     )
 
     # radius that surely holds k candidates, then the cells that reach into it
-    measured = asking.join(directory, segment).withColumn(
+    measured = asking.join(small(directory), segment).withColumn(
         "_seen",
         F.transform(
             "_cells",
             lambda c: F.struct(
-                _distance(c["at"], features).alias("d"), c["_cell"].alias("cell"), c["_far"].alias("far"), c["_kth"].alias("kth")
+                _distance(c["at"], features).alias("d"), c["_cell"].alias("_cell"), c["_far"].alias("far"), c["_kth"].alias("kth")
             ),
         ),
     )
     radius = F.array_min(F.transform("_seen", lambda c: c["d"] + c["kth"]))
+    reached = F.col("_radius").isNull() | (F.col("d") - F.col("far") <= F.col("_radius") * (1 + SLACK) + SLACK)
     visits = cut_lineage(
         measured.withColumn("_radius", radius)
-        .withColumn(
-            "_go",
-            F.filter(
-                "_seen",
-                lambda c: F.col("_radius").isNull()
-                | (c["d"] - c["far"] <= F.col("_radius") * (1 + SLACK) + SLACK),
-            ),
-        )
-        .select(*segment, "_sid", *features, F.explode("_go").alias("_c"))
-        .withColumn("_cell", F.col("_c.cell"))
-        .drop("_c")
+        .select(*segment, "_sid", *features, "_radius", F.inline("_seen"))
+        .filter(reached)
+        .select(*cells, "_sid", *features)
     )
 
     # block counts on both sides keep every task's share bounded

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,20 +24,28 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None) -> Spark
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
+
+    Only where nothing is configured (local tests) is a fresh temporary folder used.
+    """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    folder = folder or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="statloom-")
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
+    """Write ``df`` as a table in the shared folder and read it back.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where nothing is
-    configured (local tests) is a fresh temporary folder used.
+    Later steps then start from a file: they prune its columns, know its size, and need none of the
+    earlier stages when an executor is lost.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get(
-            "spark.checkpoint.dir", None
-        )
-        if configured is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            configured = tempfile.mkdtemp(prefix="statloom-checkpoint-")
-        sc.setCheckpointDir(configured)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/statloom-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
