@@ -346,7 +346,7 @@ CONTRACT_SQL = """deals AS (SELECT o_orderkey AS contract_id, o_custkey AS nhl_i
 
 
 def contract_players(spark, d):
-    """Customers with their orders nested as contracts, orders of the last years as future ones."""
+    """Orders as records of a player with one current contract, repeated as a future one if unrestricted."""
     orders = load_table(spark, d, "orders")
     price, year = F.col("o_totalprice"), F.year("o_orderdate")
     length = 1 + F.floor(price / 100000).cast("int")
@@ -360,7 +360,7 @@ def contract_players(spark, d):
     )
     priority = F.col("o_orderpriority")
     position = F.when(priority == "5-LOW", "Defense").when(priority == "4-NOT SPECIFIED", "Goaltender").when(priority == "3-MEDIUM", "Left Wing").otherwise("Center")
-    nested = orders.groupBy(F.col("o_custkey").alias("nhl_id"), position.alias("position")).agg(F.collect_list(deal).alias("current"))
+    nested = orders.select(F.col("o_custkey").alias("nhl_id"), position.alias("position"), F.array(deal).alias("current"))
     return nested.withColumn("future", F.filter("current", lambda c: c["signing_status"] == "UFA"))
 
 

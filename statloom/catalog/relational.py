@@ -433,13 +433,13 @@ def union_by_name(spark, d):
 
 @query(
     "nested_lists",
-    """WITH t AS (SELECT conv_id, role, turn, text, CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS INTEGER) AS position
+    """WITH t AS (SELECT conv_id, turn // 64 AS page, role, turn, text, CAST(row_number() OVER (PARTITION BY conv_id, turn // 64, role ORDER BY turn) - 1 AS INTEGER) AS position
                   FROM conversations WHERE role IN ('user', 'assistant')),
             u AS (SELECT * FROM t WHERE role = 'user'), a AS (SELECT * FROM t WHERE role = 'assistant'),
-            k AS (SELECT DISTINCT conv_id FROM conversations)
-       SELECT conv_id, coalesce(position, 0) AS position, u_turn AS turn, u_text AS text, a_turn AS turn_next, a_text AS text_next
-       FROM k LEFT JOIN (SELECT conv_id, position, u.turn AS u_turn, u.text AS u_text, a.turn AS a_turn, a.text AS a_text
-                         FROM u FULL JOIN a USING (conv_id, position)) USING (conv_id)""",
+            k AS (SELECT DISTINCT conv_id, turn // 64 AS page FROM conversations)
+       SELECT conv_id, page, coalesce(position, 0) AS position, u_turn AS turn, u_text AS text, a_turn AS turn_next, a_text AS text_next
+       FROM k LEFT JOIN (SELECT conv_id, page, position, u.turn AS u_turn, u.text AS u_text, a.turn AS a_turn, a.text AS a_text
+                         FROM u FULL JOIN a USING (conv_id, page, position)) USING (conv_id, page)""",
 )
 def nested_lists(spark, d):
     conv = load_table(spark, d, "conversations")
@@ -448,8 +448,10 @@ def nested_lists(spark, d):
     def turns(role):
         return F.array_sort(F.collect_list(F.when(F.col("role") == role, item)))
 
-    nested = conv.groupBy("conv_id").agg(turns("user").alias("current"), turns("assistant").alias("future"))
-    return jn.explode_lists(nested, ["conv_id"], "current", "future", "_next", "position")
+    # 64 turns to a record, so that no list grows with the conversation
+    page = F.floor(F.col("turn") / 64).alias("page")
+    nested = conv.groupBy("conv_id", page).agg(turns("user").alias("current"), turns("assistant").alias("future"))
+    return jn.explode_lists(nested, ["conv_id", "page"], "current", "future", "_next", "position")
 
 
 @query(

@@ -94,10 +94,15 @@ def quantiles(
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     ranked = running(counts, by, ["_value"], sums={"_upto": "_n"})
+    # totals come from the rows themselves: counting them needs neither the ranks nor the values
     if by:
-        ranked = with_group_stats(ranked, by, {"_total": F.sum("_n")})
+        totals = df.groupBy(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(by)]).agg(F.count(value).alias("_total"))
+        same = F.lit(True)
+        for i, c in enumerate(by):
+            same = same & F.col(c).eqNullSafe(F.col(f"_key{i}"))
+        ranked = ranked.join(totals, same)
     else:
-        ranked = ranked.withColumn("_total", counts.agg(F.sum("_n")).scalar())
+        ranked = ranked.withColumn("_total", df.agg(F.count(value)).scalar())
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in points]))
     at = (F.col("_total") - 1) * F.col("point")
     low, high = F.floor(at), F.ceil(at)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from statloom.operators import learn
 from statloom.operators.encode import stratified_split, with_folds
+from statloom.operators.hotgroups import find_hot
 from statloom.operators.joins import lookup, opponent_lookup
 from statloom.operators.project import drop_missing
 from statloom.operators.windows import prior_average, prior_trailing_average
@@ -17,8 +18,9 @@ from statloom.operators.windows import prior_average, prior_trailing_average
 def player_form(logs: DataFrame, player: str, order: Sequence[str], columns: Sequence[str], spans: Sequence[int] = (5, 30)) -> DataFrame:
     """Season-to-date and last-k-game averages of each player, the current game left out."""
     out = prior_average(logs, [player, "season"], order, {f"{c}_agg": c for c in columns})
+    hot = find_hot(out, [player], order[0])
     for k in spans:
-        out = prior_trailing_average(out, [player], order, {f"l{k}_{c}": c for c in columns}, k)
+        out = prior_trailing_average(out, [player], order, {f"l{k}_{c}": c for c in columns}, k, hot)
     return out
 
 
