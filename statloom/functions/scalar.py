@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -123,16 +123,37 @@ MIX_B = 1_103_515_245
 MIX_MODULUS = 2_147_483_648
 
 
+def _mix_steps():
+    """The scramble as small steps, each reading the one before it more than once."""
+    low31 = lambda h: h.bitwiseAND(F.lit(MIX_MODULUS - 1))
+    return (
+        lambda x: low31(x.cast("bigint")),
+        lambda h: low31(h.bitwiseXOR(F.shiftright(h, 16)) * MIX_A),
+        lambda h: low31(h.bitwiseXOR(F.shiftright(h, 15)) * MIX_B),
+        lambda h: h.bitwiseXOR(F.shiftright(h, 16)),
+    )
+
+
 def mix31(x: Column) -> Column:
     """Scramble a non-negative integer into [0, 2**31) with multiply and xor-shift steps.
 
     Plain 64-bit integer arithmetic: it stays inside generated code, does not depend on
     partitioning, and any SQL engine reproduces it bit for bit.
     """
-    h = x.cast("bigint") % MIX_MODULUS
-    h = (h.bitwiseXOR(F.shiftright(h, 16)) * MIX_A) % MIX_MODULUS
-    h = (h.bitwiseXOR(F.shiftright(h, 15)) * MIX_B) % MIX_MODULUS
-    return h.bitwiseXOR(F.shiftright(h, 16))
+    for step in _mix_steps():
+        x = step(x)
+    return x
+
+
+def with_mixed(df: DataFrame, **values: Column) -> DataFrame:
+    """Add ``mix31`` columns one step at a time. For hot loops: as a single expression every step
+    would be written out, and computed, as often as it is read."""
+    names = dict(values)
+    first, *rest = _mix_steps()
+    df = df.withColumns({n: first(x) for n, x in names.items()})
+    for step in rest:
+        df = df.withColumns({n: step(F.col(n)) for n in names})
+    return df
 
 
 def keyed_uniform(*keys: Column | int) -> Column:

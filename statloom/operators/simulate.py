@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.functions.scalar import mix31
+from statloom.functions.scalar import MIX_MODULUS, mix31, with_mixed
 
 
 def default_year(draws: Sequence, probabilities: Sequence[str]):
@@ -26,14 +26,13 @@ def draw_defaults(
     Each draw depends only on (seed, loan, trial, year), so results do not change with partitioning
     or retries. Trials are generated inside the scan stage; nothing is joined or shuffled.
     """
-    keyed = loans.withColumn("_loan_key", mix31(mix31(F.lit(seed)) + F.col(loan)))
+    keyed = with_mixed(loans, _loan_key=mix31(F.lit(seed)) + F.col(loan))
     rows = keyed.select("*", F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"))
-    rows = rows.withColumn("_draw_key", mix31(F.col("_loan_key") + F.col("trial")))
-    years = range(1, len(probabilities) + 1)
-    draws = [mix31(F.col("_draw_key") + y) / 2147483648.0 for y in years]
-    return rows.withColumn("default_year", default_year(draws, probabilities)).drop(
-        "_loan_key", "_draw_key"
-    )
+    rows = with_mixed(rows, _draw_key=F.col("_loan_key") + F.col("trial"))
+    names = [f"_draw{y}" for y in range(1, len(probabilities) + 1)]
+    rows = with_mixed(rows, **{n: F.col("_draw_key") + y for y, n in enumerate(names, start=1)})
+    draws = [F.col(n) / float(MIX_MODULUS) for n in names]
+    return rows.withColumn("default_year", default_year(draws, probabilities)).drop("_loan_key", "_draw_key", *names)
 
 
 def with_losses(defaults: DataFrame, exposures: Sequence[str]) -> DataFrame:
@@ -54,8 +53,12 @@ def simulate_losses(
     by: Sequence[str] = (),
 ) -> DataFrame:
     """Total loss per trial (and per ``by`` group). Every trial of every group is present, because
-    loans that do not default contribute 0; rows are summed map-side before the shuffle."""
+    loans that do not default contribute 0; rows are summed map-side before their shuffle."""
     slim = loans.select(*dict.fromkeys([loan, *probabilities, *exposures, *by]))
+    if trials > 1:
+        # every row becomes `trials` rows: spread the short pool over all tasks before that. The
+        # explicit number keeps adaptive execution from merging the still small partitions again.
+        slim = slim.repartition(int(loans.sparkSession.conf.get("spark.sql.shuffle.partitions")), loan)
     rows = with_losses(draw_defaults(slim, loan, probabilities, seed, trials), exposures)
     return rows.groupBy("trial", *by).agg(F.sum("loss").alias("loss"))
 
