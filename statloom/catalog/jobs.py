@@ -158,7 +158,7 @@ def snaps(spark, d):
         q.alias("yardsGained"),
         F.quarter("l_shipdate").alias("quarter"),
         F.concat_ws(":", F.floor(q / 4).cast("int"), F.floor(disc * 500).cast("int")).alias("gameClock"),
-        F.when(disc < 0.05, F.col("possessionTeam")).otherwise(F.lit(0)).alias("yardlineSide"),
+        F.when(disc < 0.05, F.col("possessionTeam")).otherwise(F.lit(-1)).alias("yardlineSide"),
         q.alias("yardlineNumber"),
         (q * 2).alias("preSnapHomeScore"), (q + 20).alias("preSnapVisitorScore"),
         (q == 13).alias("qbSpike"), F.when(q == 7, 1).otherwise(0).alias("qbKneel"),
