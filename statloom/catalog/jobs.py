@@ -404,7 +404,7 @@ def contract_comparables(spark, d):
 
 @query(
     "contract_estimates",
-    f"""WITH {COMPS_SQL} SELECT subject_id, sum(cap_raw * [0.3, 0.25, 0.2, 0.15, 0.1][position]) AS cap_hit_pct FROM near GROUP BY 1 HAVING count(*) = 5""",
+    f"""WITH {COMPS_SQL} SELECT subject_id, CASE WHEN count(*) = 5 THEN sum(cap_raw * [0.3, 0.25, 0.2, 0.15, 0.1][position]) END AS cap_hit_pct FROM near GROUP BY 1""",
     "cap_hit_pct",
 )
 def contract_estimates(spark, d):

@@ -312,7 +312,7 @@ def nearest_parts(spark, d):
 
 @query(
     "weighted_price_estimate",
-    f"""WITH {NEAR_SQL}, e AS (SELECT subject, sum(p_retailprice * [0.3, 0.25, 0.2, 0.15, 0.1][position]) AS share FROM near JOIN part USING (p_partkey) GROUP BY 1 HAVING count(*) = 5)
+    f"""WITH {NEAR_SQL}, e AS (SELECT subject, CASE WHEN count(*) = 5 THEN sum(p_retailprice * [0.3, 0.25, 0.2, 0.15, 0.1][position]) END AS share FROM near JOIN part USING (p_partkey) GROUP BY 1)
         SELECT subject, share, share * 95.5 / 100 AS amount, share AS share_season_1, share * 95.5 / 100 / 104 * 100 AS share_season_2, share * 95.5 / 100 / 113.5 * 100 AS share_season_3 FROM e""",
     "share amount share_season_1 share_season_2 share_season_3",
 )
