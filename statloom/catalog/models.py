@@ -13,6 +13,7 @@ from statloom.operators.knn import nearest, price_path, weighted_estimate
 from statloom.operators.joins import lookup
 from statloom.operators.regress import fit_ols, residual_buckets, residual_shape
 from statloom.plans import gamepoints, loanpool
+from statloom.session import cut_lineage
 from statloom.sources.files import load_table
 
 # ---- least squares -----------------------------------------------------------------------------
@@ -375,7 +376,7 @@ def doc_rows(spark, d):
 
 def doc_split(spark, d):
     train, test = gamepoints.training_rows(doc_rows(spark, d), "quality", "doc_id", DOC_FEATURES, folds=3)
-    return train.cache(), test.cache()
+    return cut_lineage(train), cut_lineage(test)
 
 
 @query("boosted_tree_scores")
@@ -418,5 +419,5 @@ def many_class_scores(spark, d):
         }
     )
     train, test = gamepoints.training_rows(rows, "code", "o_orderkey", ["price", "month", "year"])
-    model = learn.many_class_boosted_trees(rounds=3, depth=3, rate=0.1).fit(train.cache())
+    model = learn.many_class_boosted_trees(rounds=3, depth=3, rate=0.1).fit(cut_lineage(train))
     return learn.micro_scores(model.transform(test))
