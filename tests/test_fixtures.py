@@ -349,3 +349,33 @@ def test_files_round_trip(spark, tmp_path):
     (bars / "b.json").write_text('[1577836800000,"1.0","2.0","0.5","1.5","10",1577840399999,"15",4,"5","7","0"]\n')
     bar = files.read_bars(spark, str(tmp_path / "bars")).first()
     assert bar["symbol"] == "AAA" and bar["ts"] == dt.datetime(2020, 1, 1) and bar["close"] == 1.5 and bar["num_trades"] == 4
+
+
+# ---- projection input ------------------------------------------------------------------------------
+
+
+def test_season_stats_find_ages_by_near_names(spark):
+    on_ice = spark.createDataFrame(
+        [("Tim.Stutzle", "2022-23", 70), ("Mathew.Barzal", "2022-23", 60), ("Nobody.Here", "2022-23", 20)], "player_name string, season_yr string, gp int"
+    )
+    bios = spark.createDataFrame(
+        [("Tim Stützle", "2022-23", 20.0, "C"), ("Matthew Barzal", "2022-23", 25.0, "C"), ("Tim Stützle", "2021-22", 19.0, "C")], schemas.SKATER_AGES
+    )
+    from statloom.plans.projection import season_stats
+
+    got = {r["player_name"]: (r["age"], r["position"]) for r in season_stats(on_ice, bios).collect()}
+    assert got == {"Tim.Stutzle": (20.0, "C"), "Mathew.Barzal": (25.0, "C"), "Nobody.Here": (None, None)}
+
+
+def test_results_do_not_depend_on_shuffle_partitions(spark):
+    bars = bars_gap(spark)
+    outs = []
+    for n in ("1", "16"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            _, series = strategy.backtest(strategy.hourly_returns(strategy.price_panel(bars)), "A", 12, 3, 6, 0.5)
+            outs.append(sorted((r["ts"], round(r["net"], 10)) for r in series.collect()))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert outs[0] == outs[1] and len(outs[0]) > 20
