@@ -257,7 +257,7 @@ def amount_columns(spark, d):
 )
 def epoch_columns(spark, d):
     ev = load_table(spark, d, "events", ["event_id", "ts"])
-    seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    seconds = F.expr("timestampdiff(SECOND, CAST('1970-01-01' AS timestamp_ntz), ts)")
     return ev.select("event_id", F.col("ts").alias("opened"), sc.epoch_ms(seconds * 1000).alias("second_start"))
 
 
