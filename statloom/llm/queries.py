@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import contamination, token_files
+from statloom.llm import contamination, mixing, quality, secrets, token_files
 from statloom.llm.common import table
 from statloom.session import shared_folder
 
@@ -77,3 +77,109 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.concat_ws(",", c["item_ids"]), 256).alias("items_sha256"),
         c["contaminated"].alias("contaminated"),
     )
+
+
+@query("op10_quality_classifier")
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "n_chars")
+    model = quality.learn(docs, table(spark, folder, "labels"), ~quality.held_out())
+    return quality.score(docs, model).select(
+        "doc_id",
+        quality.held_out().alias("held_out"),
+        F.col("_score").alias("score"),
+        (F.col("_score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+MIXING_SQL = f"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+  FROM sized GROUP BY source),
+sums AS (
+  SELECT *, sum(3 * source_size) OVER w - 3 * source_size AS given, sum(weight) OVER () - sum(weight) OVER w + weight AS left_weight,
+    sum(source_size) OVER () AS total
+  FROM sources WINDOW w AS (ORDER BY 3 * source_size / weight, source ROWS UNBOUNDED PRECEDING)),
+level AS (
+  SELECT max(CAST(total - given AS DOUBLE) / CAST(left_weight AS DOUBLE)) AS level FROM sums
+  WHERE CAST(total - given AS DOUBLE) / CAST(left_weight AS DOUBLE) * weight <= 3 * source_size),
+goals AS (
+  SELECT source, source_size, least(weight * level, CAST(3 * source_size AS DOUBLE)) AS target,
+    CAST(CAST('0x' || substr(md5('{mixing.SEED}|' || CASE WHEN source IS NULL THEN 'null' ELSE 's|' || source END), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS u
+  FROM sources, level),
+placed AS (
+  SELECT s.doc_id, s.size, g.*, row_number() OVER (PARTITION BY s.source ORDER BY s.size, s.doc_id) AS place,
+    CASE WHEN g.source_size > 0 THEN target / g.source_size ELSE 0 END AS rate
+  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CAST(floor(rate * place + u) - floor(rate * (place - 1) + u) AS BIGINT) * size AS taken
+FROM placed
+"""
+
+
+@query("op2_mixing", MIXING_SQL)
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", mixing.size_of().alias("size"))
+    taken = mixing.copies(docs).withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _spans_sql(pattern: str, kind: int) -> str:
+    """Matches with their places, from what lies between them."""
+    p = pattern.replace("'", "''")
+    return f"""
+      SELECT doc_id, {kind} AS kind, m[i] AS value, list_sum(list_transform(b[1:i], lambda x: length(x)))
+        + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s
+      FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM (
+        SELECT doc_id, string_split_regex(t, '{p}') AS b, regexp_extract_all(t, '{p}') AS m FROM texts))"""
+
+
+def _secrets_sql() -> str:
+    base, more = [], []
+    for kind, (_, pattern, group, least) in enumerate(secrets.BASE):
+        p = pattern.replace("(?i:(password|passwd|secret|token|api_?key))", _either_case("(password|passwd|secret|token|api_?key)"))
+        value = f"regexp_extract(value, '{p.replace(chr(39), chr(39) * 2)}', {group})"
+        base.append(f"SELECT * FROM ({_spans_sql(p, kind)}) WHERE length({value}) >= {least}")
+    for kind, (_, pattern, needs, never, _, limit) in enumerate(secrets.CLASSES, len(secrets.BASE)):
+        more.append(f"""
+          SELECT *, {secrets.most_cost(limit)} AS most FROM ({_spans_sql(pattern, kind)}) WHERE regexp_matches(value, '{needs}')
+          AND NOT regexp_full_match(value, '{never}') AND NOT regexp_matches(value, '{secrets.ALLOWED}')""")
+    names = ", ".join(f"'{k}'" for k in secrets.KINDS)
+    w = secrets.WIDTH
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({" UNION ALL ".join(base)}),
+candidates AS ({" UNION ALL ".join(more)}),
+windows AS (SELECT *, unnest(generate_series(1, length(value) - {w - 1})) AS pos FROM candidates),
+letters AS (SELECT doc_id, kind, s, value, most, pos, unnest(string_split(substr(value, pos, {w}), '')) AS c FROM windows),
+counted AS (SELECT doc_id, kind, s, value, most, pos, c, count(*) AS n FROM letters GROUP BY ALL),
+summed AS (SELECT doc_id, kind, s, value, most, pos, sum(({list(secrets.costs())})[n + 1]) AS cost FROM counted GROUP BY ALL),
+dense AS (SELECT doc_id, kind, value, s FROM summed GROUP BY doc_id, kind, s, value, most HAVING min(cost) <= most),
+new AS (SELECT * FROM dense d WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = d.doc_id
+  AND b.s < d.s + length(d.value) AND d.s < b.s + length(b.value))),
+spans AS (SELECT *, ([{names}])[kind + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(s + length(value) AS BIGINT) AS span FROM
+  (SELECT doc_id, kind, value, s FROM base UNION ALL SELECT doc_id, kind, value, s FROM new)),
+listed AS (SELECT doc_id, count_if(kind = 0) AS n_assign, count_if(kind = 1) AS n_access, count_if(kind = 2) AS n_hex,
+  string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY s, kind) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access,
+  CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN listed USING (doc_id)
+"""
+
+
+def _either_case(words: str) -> str:
+    """Letters of either case by name: the other engine's own flag also folds non-ASCII letters."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+@query("op6_secret_scan", _secrets_sql())
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    spans = F.col("_spans")
+    return found.select(
+        "doc_id",
+        *[secrets.count_of(spans, kind).alias(f"n_{kind}") for kind, *_ in secrets.BASE],
+        F.sha2(secrets.listed(spans, secrets.KINDS[: len(secrets.BASE)]), 256).alias("base_sha256"),
+        secrets.listed(spans, secrets.KINDS).alias("spans"),
+    )
