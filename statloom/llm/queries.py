@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import contamination, mixing, quality, secrets, token_files
+from statloom.llm import chat, contamination, linedup, mixing, quality, secrets, token_files
 from statloom.llm.common import table
 from statloom.session import shared_folder
 
@@ -183,3 +183,43 @@ def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(secrets.listed(spans, secrets.KINDS[: len(secrets.BASE)]), 256).alias("base_sha256"),
         secrets.listed(spans, secrets.KINDS).alias("spans"),
     )
+
+
+CHAT_SQL = """
+WITH told AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM told),
+prefixes AS (SELECT conv_id, place, list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY place) AS p,
+  count(*) OVER (PARTITION BY conv_id) AS n FROM numbered),
+whole AS (SELECT min(conv_id) AS conv_id, n, p FROM prefixes WHERE place = n GROUP BY n, p),
+kept AS (SELECT conv_id, n FROM whole w WHERE NOT EXISTS (SELECT 1 FROM prefixes q WHERE q.place < q.n AND q.place = w.n AND q.p = w.p))
+SELECT kept.conv_id, kept.n AS n_turns,
+  string_agg('<|' || replace(role, '<|', '< |') || '|>' || chr(10) || replace(text, '<|', '< |') || '<|end|>' || chr(10), '' ORDER BY place) AS text
+FROM kept JOIN numbered USING (conv_id) GROUP BY kept.conv_id, kept.n
+"""
+
+
+@query("op1_chat_format", CHAT_SQL)
+def op1_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.format_chats(table(spark, folder, "conversations"))
+
+
+LINES_SQL = """
+WITH lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+windows AS (SELECT doc_id, place - 1 AS place, l[place] AS a, l[place + 1] AS b, l[place + 2] AS c
+  FROM (SELECT doc_id, l, unnest(generate_series(1, len(l) - 2)) AS place FROM lines)),
+firsts AS (SELECT *, min({'d': doc_id, 'p': place}) OVER (PARTITION BY a, b, c) AS f FROM windows WHERE trim(a || b || c) <> ''),
+later AS (SELECT doc_id, place FROM firsts WHERE f <> {'d': doc_id, 'p': place}),
+gone AS (SELECT DISTINCT doc_id, place + k AS place FROM later, (VALUES (0), (1), (2)) AS v(k)),
+kept AS (SELECT doc_id, place, l[place + 1] AS line FROM (SELECT doc_id, l, unnest(generate_series(0, len(l) - 1)) AS place FROM lines)
+  ANTI JOIN gone USING (doc_id, place)),
+texts AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY place) AS t, count(*) AS n FROM kept GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(l), 0) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  CASE WHEN text IS NULL THEN NULL ELSE coalesce(t, '') END AS text
+FROM lines LEFT JOIN texts USING (doc_id)
+"""
+
+
+@query("op5_line_dedup", LINES_SQL)
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = linedup.deduplicate(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_lines.before").alias("n_lines"), F.col("_lines.removed").alias("n_removed"), "text")
