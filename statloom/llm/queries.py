@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import chat, contamination, linedup, mixing, quality, secrets, token_files
+from statloom.llm import chat, contamination, linedup, mixing, quality, secrets, token_files, topk
 from statloom.llm.common import table
 from statloom.session import shared_folder
 
@@ -223,3 +223,18 @@ FROM lines LEFT JOIN texts USING (doc_id)
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = linedup.deduplicate(table(spark, folder, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("_lines.before").alias("n_lines"), F.col("_lines.removed").alias("n_removed"), "text")
+
+
+TOPK_SQL = """
+WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
+"""
+
+
+@query("op8_topk_search", TOPK_SQL)
+def op8_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
