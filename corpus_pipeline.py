@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statloom.llm import contamination, token_files
+from statloom.llm import contamination, jaccard, mixing, quality, token_files
 from statloom.llm.common import table
 from statloom.llm.queries import tokenizer_path
 from statloom.session import shared_folder
@@ -20,11 +20,26 @@ from statloom.session import shared_folder
 ORACLE_SQL = None
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def different(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (shingles of five words, similarity 0.8) one document stays."""
+    return jaccard.keep_first(docs, width=5, least=80)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with too many words of the benchmark go."""
     return contamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture of sources takes them."""
+    return mixing.mix(docs)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in ascending document order; returns what is read back from them."""
     files = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
@@ -33,8 +48,11 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality classifier", good),
+    ("n-gram Jaccard join", different),
     ("benchmark decontamination", decontaminated),
-    ("token files", tokens),
+    ("mixing sources to target weights", mixed),
+    ("token-ID files", tokens),
 ]
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import chat, contamination, linedup, mixing, quality, secrets, token_files, topk
+from statloom.llm import chat, contamination, jaccard, linedup, mixing, quality, secrets, token_files, topk
 from statloom.llm.common import table
 from statloom.session import shared_folder
 
@@ -238,3 +238,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 @query("op8_topk_search", TOPK_SQL)
 def op8_topk_search(spark: SparkSession, folder: str) -> DataFrame:
     return topk.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op9_jaccard_join")
+def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = jaccard.join(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("size").alias("n_shingles"), "component_id")
