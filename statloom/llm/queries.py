@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import chat, contamination, jaccard, linedup, mixing, quality, secrets, token_files, topk
+from statloom.llm import chat, contamination, jaccard, language_model, linedup, mixing, quality, secrets, token_files, topk
 from statloom.llm.common import table
 from statloom.session import shared_folder
 
@@ -244,3 +244,9 @@ def op8_topk_search(spark: SparkSession, folder: str) -> DataFrame:
 def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     found = jaccard.join(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+
+
+@query("op7_language_model")
+def op7_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    scored = language_model.score(table(spark, folder, "documents"))
+    return scored.withColumn("held_out", language_model.held_out())
