@@ -188,6 +188,7 @@ def learn(docs: DataFrame, labels: DataFrame, learns: Column, sample: int = SAMP
     found = sorted(found, key=lambda r: (r["doc_id"], r["feature"], r["value"]))[:sample]
     model = FactorisationMachine()
     if not found:
+        model.vectors[:] = 0
         return model
     sizes = [len(r["feature"]) // 4 for r in found]
     x = Features(
