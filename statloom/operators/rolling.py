@@ -1,4 +1,9 @@
-"""Rolling mean, deviation, correlation and beta along each entity's own order."""
+"""Rolling mean, deviation, correlation and beta along each entity's own order.
+
+A window of w rows is the tail of one block of w rows and the head of the next. Heads and tails are
+growing frames, so the work per row does not depend on w, and their counts, means and sums of squared
+deviations are merged without subtracting totals: rows outside the window never touch its result.
+"""
 
 from __future__ import annotations
 
@@ -9,11 +14,7 @@ from pyspark.sql import functions as F
 
 from statloom.operators.hotgroups import AUTO, HotGroups, with_lookback
 
-# Spark evaluates a sliding frame from scratch on every row (rows * window work). Up to this width
-# that is cheap and exact; above it the sums come from differences of running totals (rows work).
-SHORT_WINDOW = 64
-# relative rounding error of a long running total, with a margin
-NOISE = 64 * 2.2e-16
+CHUNK = "_chunk"
 
 
 def rolling(
@@ -37,78 +38,79 @@ def rolling(
     means, stds = dict(means or {}), dict(stds or {})
     pairs = {name: (y, x, "beta") for name, (y, x) in (betas or {}).items()}
     pairs |= {name: (y, x, "corr") for name, (y, x) in (correlations or {}).items()}
-    build = _short if window <= SHORT_WINDOW else _long
     return with_lookback(
-        df, by, order, window, lambda d, w: build(d, w, window, need, means, stds, pairs), hot
+        df, by, order, window, lambda d, w: _merged(d, w, by, order, window, need, means, stds, pairs), hot
     )
 
 
-def _valid(y: str, x: str, value: Column) -> Column:
-    return F.when(F.col(y).isNotNull() & F.col(x).isNotNull(), value)
-
+def _merged(d, window, by, order, size, need, means, stds, pairs):
+    keys = [*by, CHUNK] if CHUNK in d.columns else [*by]
+    d = d.withColumn("_block", F.floor((F.row_number().over(window) - 1) / size))
+    head = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    tail = Window.partitionBy(*keys, "_block").orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    # what a window is made of: pairs (y, x) over the rows that have both, single columns as (c, c)
+    series = {(c, c): bool(c in stds.values()) for c in dict.fromkeys([*means.values(), *stds.values()])}
+    series |= {(y, x): True for y, x, _ in pairs.values()}
+    names = {p: f"_{i}" for i, p in enumerate(series)}
+
+    def pieces(frame, prefix: str) -> dict[str, Column]:
+        out = {}
+        for (y, x), spread in series.items():
+            yv, xv, n = _valid(y, x, F.col(y)), _valid(y, x, F.col(x)), names[y, x]
+            count = F.count(yv).over(frame)
+            out |= {f"{prefix}n{n}": count, f"{prefix}y{n}": F.avg(yv).over(frame)}
+            if y != x:
+                out |= {f"{prefix}x{n}": F.avg(xv).over(frame), f"{prefix}xx{n}": F.var_pop(xv).over(frame) * count}
+                out[f"{prefix}xy{n}"] = F.covar_pop(yv, xv).over(frame) * count
+            if spread:
+                out[f"{prefix}yy{n}"] = F.var_pop(yv).over(frame) * count
+        return out
+
+    tails = pieces(tail, "_t")
+    d = d.withColumns(tails)
+    heads = pieces(head, "_h")
+    # the tail starts size - 1 rows back; there is none where the head is a whole block
+    earlier = {f"_e{t[2:]}": F.lag(t, size - 1).over(window) for t in tails} if size > 1 else {f"_e{t[2:]}": F.lit(None) for t in tails}
+    whole = {"_whole": F.row_number().over(window) % size == 0}
+    d = d.withColumns(heads | earlier | whole)
+
+    def part(key: str, n: str) -> tuple[Column, Column]:
+        old = F.when(F.col("_whole"), F.lit(0.0)).otherwise(F.coalesce(F.col(f"_e{key}{n}"), F.lit(0.0)))
+        return old, F.coalesce(F.col(f"_h{key}{n}"), F.lit(0.0))
+
+    def total(n: str) -> Column:
+        a, b = part("n", n)
+        return a + b
+
+    def mean(key: str, n: str) -> Column:
+        (a, b), (ma, mb) = part("n", n), part(key, n)
+        return F.when(a == 0, mb).otherwise(ma + F.try_divide((mb - ma) * b, a + b))
+
+    def moment(key: str, first: str, second: str, n: str) -> Column:
+        """The merged sum of (first - mean) * (second - mean)."""
+        (a, b), (ca, cb) = part("n", n), part(key, n)
+        (pa, pb), (qa, qb) = part(first, n), part(second, n)
+        between = F.when((a > 0) & (b > 0), (pb - pa) * (qb - qa) * a * F.try_divide(b, a + b)).otherwise(0.0)
+        return ca + cb + between
 
-def _short(d, window, size, need, means, stds, pairs):
-    w = window.rowsBetween(-(size - 1), 0)
     out = {}
     for name, c in means.items():
-        out[name] = F.when(F.count(c).over(w) >= need, F.avg(c).over(w))
+        n = names[c, c]
+        out[name] = F.when((total(n) >= need) & (total(n) > 0), mean("y", n))
     for name, c in stds.items():
-        out[name] = F.when(F.count(c).over(w) >= max(need, 2), F.stddev_samp(c).over(w))
+        n = names[c, c]
+        out[name] = F.when(total(n) >= max(need, 2), F.sqrt(F.try_divide(moment("yy", "y", "y", n), total(n) - 1)))
     for name, (y, x, kind) in pairs.items():
-        yv, xv = _valid(y, x, F.col(y)), _valid(y, x, F.col(x))
-        cov = F.covar_samp(yv, xv).over(w)
-        if kind == "beta":
-            value = F.try_divide(cov, F.var_samp(xv).over(w))
-        else:
-            value = F.try_divide(cov, F.stddev_samp(yv).over(w) * F.stddev_samp(xv).over(w))
-        out[name] = F.when(F.count(yv).over(w) >= max(need, 2), value)
-    return d.withColumns(out)
-
-
-def _long(d, window, size, need, means, stds, pairs):
-    upto = window.rowsBetween(Window.unboundedPreceding, 0)
-    columns = list(dict.fromkeys([*means.values(), *stds.values(), *[c for y, x, _ in pairs.values() for c in (y, x)]]))
-    # measure from the first value of the series so that sums of squares stay small
-    d = d.withColumns({f"_o_{c}": F.first(c, ignorenulls=True).over(upto) for c in columns})
-    d = d.withColumns({f"_d_{c}": F.col(c) - F.col(f"_o_{c}") for c in columns})
-
-    terms: dict[str, Column] = {}
-    for c in columns:
-        terms |= {f"n_{c}": F.when(F.col(c).isNotNull(), 1.0), f"s_{c}": F.col(f"_d_{c}"), f"q_{c}": F.pow(f"_d_{c}", F.lit(2))}
-    for y, x in dict.fromkeys((y, x) for y, x, _ in pairs.values()):
-        yd, xd = F.col(f"_d_{y}"), F.col(f"_d_{x}")
-        for key, value in {"n": F.lit(1.0), "y": yd, "x": xd, "yy": yd * yd, "xx": xd * xd, "xy": yd * xd}.items():
-            terms[f"{key}_{y}_{x}"] = _valid(y, x, value)
-    totals = {f"_t_{k}": F.sum(F.coalesce(v, F.lit(0.0))).over(upto) for k, v in terms.items()}
-    d = d.withColumns(totals)
-    d = d.withColumns(
-        {f"_r_{k}": F.col(f"_t_{k}") - F.coalesce(F.lag(f"_t_{k}", size).over(window), F.lit(0.0)) for k in terms}
-    )
+        n = names[y, x]
+        xx = moment("yy", "y", "y", n) if x == y else moment("xx", "x", "x", n)
+        xy = xx if x == y else moment("xy", "y", "x", n)
+        below = xx if kind == "beta" else F.sqrt(xx * moment("yy", "y", "y", n))
+        out[name] = F.when(total(n) >= max(need, 2), F.try_divide(xy, below))
+    return d.withColumns(out).drop("_block", *tails, *heads, *earlier, *whole)
 
-    def spread(square: str, total: str, n: str) -> Column:
-        """Sum of squared deviations; differences below the rounding noise count as zero."""
-        value = F.col(f"_r_{square}") - F.try_divide(F.pow(f"_r_{total}", F.lit(2)), F.col(f"_r_{n}"))
-        return F.when(value <= NOISE * F.col(f"_t_{square}"), 0.0).otherwise(value)
 
-    out = {}
-    for name, c in means.items():
-        n = F.col(f"_r_n_{c}")
-        out[name] = F.when(n >= need, F.col(f"_o_{c}") + F.try_divide(F.col(f"_r_s_{c}"), n))
-    for name, c in stds.items():
-        n = F.col(f"_r_n_{c}")
-        out[name] = F.when(n >= max(need, 2), F.sqrt(F.try_divide(spread(f"q_{c}", f"s_{c}", f"n_{c}"), n - 1)))
-    for name, (y, x, kind) in pairs.items():
-        p = f"{y}_{x}"
-        n = F.col(f"_r_n_{p}")
-        cross = F.col(f"_r_xy_{p}") - F.try_divide(F.col(f"_r_y_{p}") * F.col(f"_r_x_{p}"), n)
-        xx = spread(f"xx_{p}", f"x_{p}", f"n_{p}")
-        if kind == "beta":
-            value = F.try_divide(cross, xx)
-        else:
-            value = F.try_divide(cross, F.sqrt(xx * spread(f"yy_{p}", f"y_{p}", f"n_{p}")))
-        out[name] = F.when(n >= max(need, 2), value)
-    d = d.withColumns(out)
-    return d.drop(*[f"_{k}_{c}" for k in "od" for c in columns], *totals, *[f"_r_{k}" for k in terms])
+def _valid(y: str, x: str, value: Column) -> Column:
+    return F.when(F.col(y).isNotNull() & F.col(x).isNotNull(), value)
 
 
 def rolling_z(
@@ -122,11 +124,10 @@ def rolling_z(
 def rolling_means(
     df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, sizes: Sequence[int], min_periods: int | None = None, hot: HotGroups | None | str = AUTO
 ) -> DataFrame:
-    """Rolling means for several window sizes, ``{value}_{size}``, from one sorted pass."""
+    """Rolling means for several window sizes, ``{value}_{size}``, from one set of chunks."""
     def add(d, w):
         for size in sizes:
-            build = _short if size <= SHORT_WINDOW else _long
-            d = build(d, w, size, min_periods or size, {f"{value}_{size}": value}, {}, {})
+            d = _merged(d, w, by, order, size, min_periods or size, {f"{value}_{size}": value}, {}, {})
         return d
 
     return with_lookback(df, by, order, max(sizes), add, hot)
@@ -135,11 +136,10 @@ def rolling_means(
 def rolling_zs(
     df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, sizes: Sequence[int], hot: HotGroups | None | str = AUTO
 ) -> DataFrame:
-    """Rolling z-scores for several window sizes, ``z_{size}``, from one sorted pass."""
+    """Rolling z-scores for several window sizes, ``z_{size}``, from one set of chunks."""
     def add(d, w):
         for size in sizes:
-            build = _short if size <= SHORT_WINDOW else _long
-            d = build(d, w, size, size, {"_mean": value}, {"_std": value}, {})
+            d = _merged(d, w, by, order, size, size, {"_mean": value}, {"_std": value}, {})
             d = d.withColumn(f"z_{size}", F.try_divide(F.col(value) - F.col("_mean"), F.col("_std")))
         return d.drop("_mean", "_std")
 
