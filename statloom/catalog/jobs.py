@@ -483,7 +483,7 @@ def _project_sql() -> str:
                 CASE WHEN age_prev1 + 1 >= 30 THEN '30+' WHEN age_prev1 + 1 >= 27 THEN '27-29' WHEN age_prev1 + 1 <= 26 THEN '26u' END AS age_bucket FROM h{i - 1})""",
             f"t{i} AS (SELECT *, ntile(4) OVER (PARTITION BY age_bucket ORDER BY rate_prev1, player) AS quartile FROM b{i})",
             f"""u{i} AS (SELECT t.player, t.season, t.yr, t.rate_prev1, t.rate_prev2, t.toi_prev1 * (1 + CASE WHEN t.age_bucket = '30+' AND t.quartile IN (1, 2, 3) THEN -0.2::DOUBLE
-                WHEN t.age_bucket = '27-29' AND t.quartile IN (2, 3, 4) THEN 0.025 WHEN t.age_bucket = '26u' THEN 0.2 ELSE 0.01 END) AS toi_prev1, t.icf_prev1 * (1 + c.icf_change) AS icf_prev1, t.age_prev1
+                WHEN t.age_bucket = '27-29' AND t.quartile IN (2, 3, 4) THEN 0.025 WHEN t.age_bucket = '26u' THEN 0.2 WHEN t.age_bucket IS NOT NULL THEN 0.01 END) AS toi_prev1, t.icf_prev1 * (1 + c.icf_change) AS icf_prev1, t.age_prev1
                 FROM t{i} t LEFT JOIN changes c ON c.age_bucket = t.age_bucket AND c.quartile = t.quartile)""",
             f"h{i} AS (SELECT u.*, c0 + ca * u.rate_prev1 + cb * u.toi_prev1 AS fit, s.rate AS actual FROM u{i} u JOIN stats s ON s.player = u.player AND s.season = u.season, coef)",
         ]

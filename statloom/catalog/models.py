@@ -127,9 +127,9 @@ def mix_sql(source: str, start: str, *keys: str, tag: str = "m") -> str:
 )
 def label_codes(spark, d):
     orders = load_table(spark, d, "orders", ["o_orderkey", "o_orderpriority"])
-    levels = en.levels_of(orders, "o_orderpriority")
-    coded = orders.select("o_orderkey", en.label_code("o_orderpriority", levels).alias("code"))
-    return coded.withColumn("back", en.label_value("code", levels))
+    codes = en.code_table(orders, "o_orderpriority")
+    coded = en.with_code(orders, "o_orderpriority", codes).select("o_orderkey", "code")
+    return en.with_value(coded, "code", codes, "back")
 
 
 @query(
@@ -339,19 +339,18 @@ def similar_names(spark, d):
 
 @query(
     "fuzzy_name_join",
-    """WITH l AS (SELECT p_partkey, p_name, p_size FROM part WHERE p_size <= 10),
-            r AS (SELECT p_name AS name, p_size AS size, count(*) AS n FROM part WHERE p_retailprice > 1000 GROUP BY 1, 2)
+    """WITH l AS (SELECT p_partkey, p_name, p_size FROM part),
+            r AS (SELECT p_name AS name, p_size AS size, count(*) AS n FROM part GROUP BY 1, 2)
        SELECT p_partkey, p_name, p_size, name AS matched_name, 1 - jaro_similarity(p_name, name) AS distance, n FROM l LEFT JOIN r
        ON p_size = size AND 1 - jaro_similarity(p_name, name) <= 0.1 + 1e-12""",
     "distance",
 )
 def fuzzy_name_join(spark, d):
-    part = load_table(spark, d, "part", ["p_partkey", "p_name", "p_size", "p_retailprice"])
-    left = part.filter(F.col("p_size") <= 10).drop("p_retailprice")
-    right = part.filter(F.col("p_retailprice") > 1000).groupBy(F.col("p_name").alias("name"), F.col("p_size").alias("size")).agg(
+    part = load_table(spark, d, "part", ["p_partkey", "p_name", "p_size"])
+    right = part.groupBy(F.col("p_name").alias("name"), F.col("p_size").alias("size")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    return fuzzy_left_join(left, right, ("p_name", "name"), {"p_size": "size"}, 0.1, ["n"])
+    return fuzzy_left_join(part, right, ("p_name", "name"), {"p_size": "size"}, 0.1, ["n"])
 
 
 # ---- classifiers ---------------------------------------------------------------------------------
@@ -409,10 +408,9 @@ def partial_dependence(spark, d):
 @query("many_class_scores")
 def many_class_scores(spark, d):
     orders = load_table(spark, d, "orders", ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate"])
-    levels = en.levels_of(orders, "o_orderstatus")
-    rows = orders.withColumns(
+    coded = en.with_code(orders, "o_orderstatus", en.code_table(orders, "o_orderstatus"))
+    rows = coded.withColumns(
         {
-            "code": en.label_code("o_orderstatus", levels),
             "price": F.col("o_totalprice"),
             "month": F.month("o_orderdate").cast("double"),
             "year": F.year("o_orderdate").cast("double"),

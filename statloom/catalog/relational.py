@@ -365,34 +365,28 @@ def first_match_lookup(spark, d):
 
 @query(
     "suffixed_join",
-    """SELECT a.custkey, a.total, a.n, b.total AS total_old, b.n AS n_old FROM
-       (SELECT o_custkey AS custkey, sum(o_totalprice) AS total, count(*) AS n FROM orders WHERE year(o_orderdate) = 1997 GROUP BY 1) a
-       LEFT JOIN (SELECT o_custkey AS custkey, sum(o_totalprice) AS total, count(*) AS n FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1) b
-       ON a.custkey = b.custkey""",
+    """WITH y AS (SELECT o_custkey AS custkey, year(o_orderdate) AS yr, sum(o_totalprice) AS total, count(*) AS n FROM orders GROUP BY 1, 2)
+       SELECT a.custkey, CAST(a.yr AS INTEGER) AS yr, a.total, a.n, b.total AS total_old, b.n AS n_old FROM y a LEFT JOIN y b ON a.custkey = b.custkey AND b.yr = a.yr - 1""",
     "total total_old",
 )
 def suffixed_join(spark, d):
     orders = load_table(spark, d, "orders", ["o_custkey", "o_totalprice", "o_orderdate"])
-
-    def year(y):
-        return (
-            orders.filter(F.year("o_orderdate") == y)
-            .groupBy(F.col("o_custkey").alias("custkey"))
-            .agg(F.sum("o_totalprice").alias("total"), F.count(F.lit(1)).alias("n"))
-        )
-
-    return jn.join_suffixed(year(1997), year(1996), ["custkey"])
+    years = orders.groupBy(F.col("o_custkey").alias("custkey"), F.year("o_orderdate").alias("yr")).agg(
+        F.sum("o_totalprice").alias("total"), F.count(F.lit(1)).alias("n")
+    )
+    before = years.withColumn("yr", F.col("yr") + 1)
+    return jn.join_suffixed(years, before, ["custkey", "yr"])
 
 
 @query(
     "outer_alignment",
     """SELECT day, coalesce(c, 0.0) - coalesce(p, 0.0) AS diff FROM
-       (SELECT CAST(ts AS DATE) AS day, sum(value) AS c FROM events WHERE event_type = 'click' AND value > 95 GROUP BY 1) FULL JOIN
-       (SELECT CAST(ts AS DATE) AS day, sum(value) AS p FROM events WHERE event_type = 'purchase' AND value > 95 GROUP BY 1) USING (day)""",
+       (SELECT CAST(ts AS DATE) AS day, sum(value) AS c FROM events WHERE event_type = 'click' GROUP BY 1) FULL JOIN
+       (SELECT CAST(ts AS DATE) AS day, sum(value) AS p FROM events WHERE event_type = 'purchase' GROUP BY 1) USING (day)""",
     "diff",
 )
 def outer_alignment(spark, d):
-    ev = load_table(spark, d, "events", ["ts", "event_type", "value"]).filter(F.col("value") > 95)
+    ev = load_table(spark, d, "events", ["ts", "event_type", "value"])
 
     def daily(kind, name):
         return (
@@ -433,25 +427,20 @@ def union_by_name(spark, d):
 
 @query(
     "nested_lists",
-    """WITH t AS (SELECT conv_id, turn // 64 AS page, role, turn, text, CAST(row_number() OVER (PARTITION BY conv_id, turn // 64, role ORDER BY turn) - 1 AS INTEGER) AS position
-                  FROM conversations WHERE role IN ('user', 'assistant')),
-            u AS (SELECT * FROM t WHERE role = 'user'), a AS (SELECT * FROM t WHERE role = 'assistant'),
-            k AS (SELECT DISTINCT conv_id, turn // 64 AS page FROM conversations)
-       SELECT conv_id, page, coalesce(position, 0) AS position, u_turn AS turn, u_text AS text, a_turn AS turn_next, a_text AS text_next
-       FROM k LEFT JOIN (SELECT conv_id, page, position, u.turn AS u_turn, u.text AS u_text, a.turn AS a_turn, a.text AS a_text
-                         FROM u FULL JOIN a USING (conv_id, page, position)) USING (conv_id, page)""",
+    """WITH t AS (SELECT conv_id, coalesce(role, '') = 'user' AS asks, turn, text,
+                         CAST(row_number() OVER (PARTITION BY conv_id, coalesce(role, '') = 'user' ORDER BY turn, text) - 1 AS INTEGER) AS position FROM conversations),
+            u AS (SELECT * FROM t WHERE asks), a AS (SELECT * FROM t WHERE NOT asks)
+       SELECT conv_id, position, u.turn AS turn, u.text AS text, a.turn AS turn_next, a.text AS text_next FROM u FULL JOIN a USING (conv_id, position)""",
 )
 def nested_lists(spark, d):
-    conv = load_table(spark, d, "conversations")
-    item = F.struct("turn", "text")
+    conv = load_table(spark, d, "conversations").withColumn("asks", F.coalesce(F.col("role") == "user", F.lit(False)))
 
-    def turns(role):
-        return F.array_sort(F.collect_list(F.when(F.col("role") == role, item)))
+    def turns(kind):
+        return F.array_sort(F.collect_list(F.when(kind, F.struct("turn", "text"))))
 
-    # 64 turns to a record, so that no list grows with the conversation
-    page = F.floor(F.col("turn") / 64).alias("page")
-    nested = conv.groupBy("conv_id", page).agg(turns("user").alias("current"), turns("assistant").alias("future"))
-    return jn.explode_lists(nested, ["conv_id", "page"], "current", "future", "_next", "position")
+    # the lists are the record itself: all turns of users, and all others
+    nested = conv.groupBy("conv_id").agg(turns(F.col("asks")).alias("current"), turns(~F.col("asks")).alias("future"))
+    return jn.explode_lists(nested, ["conv_id"], "current", "future", "_next", "position")
 
 
 @query(

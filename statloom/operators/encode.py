@@ -11,26 +11,30 @@ from statloom.functions.scalar import MIX_MODULUS, mix31
 from statloom.operators.hotgroups import running
 from statloom.operators.windows import number_rows
 
-MOST_LEVELS = 1000
 HASH_CELLS = 1024
 
 
-def levels_of(df: DataFrame, column: str) -> list:
-    """Sorted distinct values of a categorical column; refuses a column that is not categorical."""
-    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(MOST_LEVELS + 1).collect()
-    if len(rows) > MOST_LEVELS:
-        raise ValueError(f"{column} has more than {MOST_LEVELS} levels")
-    return sorted(r[0] for r in rows)
+def code_table(df: DataFrame, column: str) -> DataFrame:
+    """``value``, ``code``: the sorted distinct values of a column numbered from 0, NULL left out."""
+    values = df.select(F.col(column).alias("value")).filter(F.col("value").isNotNull()).distinct()
+    return number_rows(values, [], ["value"], "_place").select("value", (F.col("_place") - 1).cast("int").alias("code"))
+
 
+def with_code(df: DataFrame, column: str, codes: DataFrame, name: str = "code") -> DataFrame:
+    """Add the code of every value; NULL for values that the table does not have."""
+    table = codes.select(F.col("value").alias("_value"), F.col("code").alias(name))
+    return df.join(table, F.col(column) == F.col("_value"), "left").drop("_value")
 
-def label_code(column: str, levels: Sequence) -> Column:
-    """Position of the value among the sorted levels, from 0."""
-    code = F.array_position(F.array(*[F.lit(v) for v in levels]), F.col(column)) - 1
-    return F.when(code >= 0, code.cast("int"))
 
+def with_value(df: DataFrame, code: str, codes: DataFrame, name: str) -> DataFrame:
+    """The value that a code stands for."""
+    table = codes.select(F.col("code").alias("_code"), F.col("value").alias(name))
+    return df.join(table, F.col(code) == F.col("_code"), "left").drop("_code")
 
-def label_value(code: str, levels: Sequence) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in levels]), F.col(code))
+
+def levels_of(df: DataFrame, column: str) -> list:
+    """Sorted distinct values of a column that becomes one output column per value."""
+    return sorted(r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().collect())
 
 
 def one_hot(df: DataFrame, columns: Mapping[str, Sequence | None]) -> DataFrame:

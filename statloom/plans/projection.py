@@ -73,7 +73,8 @@ def yearly_changes(table: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def _ice_time_change(rules: Mapping[tuple[str, int], float]) -> Column:
-    out = F.lit(OTHER_CHANGE)
+    # a season whose player is in no age bucket has no assumed change
+    out = F.when(F.col("age_bucket").isNotNull(), OTHER_CHANGE)
     for (bucket, quartile), value in rules.items():
         out = F.when((F.col("age_bucket") == bucket) & (F.col("quartile") == quartile), value).otherwise(out)
     return out
