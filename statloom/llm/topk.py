@@ -36,7 +36,7 @@ BUCKET = 2048
 BLOCK = 256
 #: Coordinates looked at, and the cosine threshold from which they are.
 FOCUS = 6
-HIGH = 0.5
+HIGH = 0.85
 #: Sums of products below this are exact in float64.
 EXACT = 2.0**52
 
@@ -90,19 +90,9 @@ def _matrix(ids: bytes, vectors: bytes, width: int, to: int) -> tuple[np.ndarray
     return keys, matrix
 
 
-def candidates(query: np.ndarray, length: float, matrix: np.ndarray, lengths: np.ndarray, bound: float) -> np.ndarray:
-    """Rows of a bucket (longest first) whose product with ``query`` may reach ``bound``."""
-    if bound <= 0 or length == 0:
-        return np.arange(len(matrix))
-    slack = 1 - 1e-9  # rounding in lengths must not lose a vector
-    few = int(np.searchsorted(-lengths, -bound * slack / length, "right"))
-    threshold = bound * slack / (length * lengths[0]) if lengths[0] > 0 else 2.0
-    if threshold > 1 or not few:
-        return np.arange(0)
-    if threshold < HIGH:
-        return np.arange(few)
-    rows = np.arange(few)
-    unit = query / length
+def by_coordinates(query: np.ndarray, length: float, matrix: np.ndarray, lengths: np.ndarray, threshold: float) -> np.ndarray:
+    """Rows whose largest-coordinate intervals allow a cosine of ``threshold`` with the query."""
+    rows, unit = np.arange(len(matrix)), query / length
     for f in np.argsort(-np.abs(unit))[:FOCUS]:
         # cosine >= threshold bounds the angle, and with it the distance from the query's coordinate
         least = abs(unit[f]) * threshold - np.sqrt(max(0.0, (1 - threshold**2) * (1 - unit[f] ** 2))) - 1e-9
@@ -110,16 +100,63 @@ def candidates(query: np.ndarray, length: float, matrix: np.ndarray, lengths: np
     return rows
 
 
-def products(query: np.ndarray, matrix: np.ndarray) -> list[int]:
-    """Exact integer inner products."""
-    if np.abs(query).max(initial=0) * np.abs(matrix).max(initial=0) * max(len(query), 1) < EXACT:
-        return (matrix @ query).astype(np.int64).tolist()
-    q = [int(x) for x in query]
-    return [sum(a * int(b) for a, b in zip(q, row)) for row in matrix]
-
-
-def best(ids: np.ndarray, scores: list[int], k: int) -> list[tuple[int, int]]:
-    return sorted(zip((-s for s in scores), ids.tolist()))[:k]
+def _best(scores: np.ndarray, allowed: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the ``k`` best allowed entries of each row, ties to the smaller id."""
+    held = np.where(allowed, scores, -np.inf)
+    if held.shape[1] > k:
+        allowed = allowed & (held >= np.partition(held, -k, axis=1)[:, [-k]])
+    row, column = np.nonzero(allowed)
+    order = np.lexsort((ids[column], -scores[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], column[place < k]
+
+
+def matched(qids, queries, bounds: list[int | None], ids, matrix, k: int) -> list[tuple[int, int, int]]:
+    """(query, row, score): the best ``k`` rows of a bucket for each query, if they reach its bound.
+
+    Queries whose threshold is low meet the bucket together, each with the rows that are long enough.
+    """
+    lengths = np.sqrt((matrix**2).sum(axis=1))
+    if np.abs(queries).max(initial=0) * np.abs(matrix).max(initial=0) * max(matrix.shape[1], 1) >= EXACT:
+        return _exactly(qids, queries, bounds, ids, matrix, k)
+    q_lengths = np.sqrt((queries**2).sum(axis=1))
+    bound = np.array([-np.inf if b is None else float(b) for b in bounds])
+    free = (bound <= 0) | (q_lengths == 0)
+    slack = 1 - 1e-9  # rounding in lengths must not lose a vector
+    need = np.where(free, 0.0, bound * slack / np.maximum(q_lengths, 1e-300))
+    threshold = need / max(lengths.max(initial=0), 1e-300)
+    few = np.where(free, len(lengths), np.searchsorted(-lengths, -need, "right"))
+    # a query of length 0 reaches only bounds up to 0
+    alive = (few > 0) & (threshold <= 1) & ((q_lengths > 0) | (bound <= 0))
+    out: list[tuple[int, int, int]] = []
+
+    def add(which: np.ndarray, rows: np.ndarray, enough: np.ndarray) -> None:
+        scores = queries[which] @ matrix[rows].T
+        allowed = enough & (scores >= bound[which, None]) & (ids[rows] != qids[which, None])
+        r, c = _best(scores, allowed, ids[rows], k)
+        out.extend(zip(qids[which[r]].tolist(), ids[rows[c]].tolist(), scores[r, c].astype(np.int64).tolist()))
+
+    together = np.flatnonzero(alive & (threshold < HIGH))
+    if len(together):
+        rows = np.arange(int(few[together].max()))
+        add(together, rows, rows[None, :] < few[together, None])
+    for q in np.flatnonzero(alive & (threshold >= HIGH)):
+        rows = by_coordinates(queries[q], q_lengths[q], matrix[: few[q]], lengths[: few[q]], threshold[q])
+        if len(rows):
+            add(np.array([q]), rows, np.ones((1, len(rows)), bool))
+    return out
+
+
+def _exactly(qids, queries, bounds, ids, matrix, k: int) -> list[tuple[int, int, int]]:
+    """The same in Python numbers, for products that float64 cannot hold."""
+    whole, out = [[int(x) for x in row] for row in matrix], []
+    for qid, query, bound in zip(qids.tolist(), queries, bounds):
+        q = [int(x) for x in query]
+        scores = [(-sum(a * b for a, b in zip(q, row)), i) for row, i in zip(whole, ids.tolist()) if i != qid]
+        held = [(qid, i, max(-_LONG, min(_LONG, -s))) for s, i in sorted(scores)[:k]]
+        out += [h for h in held if bound is None or h[2] >= bound]
+    return out
 
 
 _HITS = "q_block long, query_id long, vec_id long, score long"
@@ -136,15 +173,8 @@ def _search(pairs: DataFrame, k: int) -> DataFrame:
                 width = max(pair["q_width"], pair["width"])
                 qids, queries = _matrix(pair["q_ids"], pair["q_vectors"], pair["q_width"], width)
                 ids, matrix = _matrix(pair["ids"], pair["vectors"], pair["width"], width)
-                lengths = np.sqrt((matrix**2).sum(axis=1))
-                bounds = {b["query_id"]: b["bound"] for b in pair["bounds"] or ()}
-                out: list[tuple[int, int, int]] = []
-                for qid, query in zip(qids.tolist(), queries):
-                    bound = bounds.get(qid, -_LONG)
-                    rows = candidates(query, float(np.sqrt(query @ query)), matrix, lengths, float(bound))
-                    rows = rows[ids[rows] != qid]
-                    found = best(ids[rows], products(query, matrix[rows]), k)
-                    out += [(qid, i, max(-_LONG, min(_LONG, -s))) for s, i in found if -s >= bound]
+                known = {b["query_id"]: b["bound"] for b in pair["bounds"] or ()}
+                out = matched(qids, queries, [known.get(q) for q in qids.tolist()], ids, matrix, k)
                 columns = [pa.array(c, pa.int64()) for c in (list(zip(*out)) or [(), (), ()])]
                 block = pa.array([pair["q_block"]] * len(out), pa.int64())
                 yield pa.RecordBatch.from_arrays([block, *columns], ["q_block", "query_id", "vec_id", "score"])
@@ -168,7 +198,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, scale: float = 64.0
         F.col("width").alias("q_width"),
     )
     unbounded = F.lit(None).cast("array<struct<query_id:long,bound:long>>")
-    longest = asked.withColumns({"bounds": unbounded, "block": F.lit(0).cast("long")}).join(buckets, "block")
+    longest = asked.withColumns({"bounds": unbounded, "block": F.col("q_block") % 1}).join(buckets, "block")
     lowest = top(_search(longest, k), k).groupBy("q_block", "query_id").agg(F.min("score").alias("bound"), F.count("*").alias("n"))
     # at most one entry per query of a block
     bounds = lowest.filter(F.col("n") >= k).groupBy("q_block").agg(F.collect_list(F.struct("query_id", "bound")).alias("bounds"))
