@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from statloom.catalog.registry import query
-from statloom.functions.scalar import keyed_uniform
+from statloom.functions.scalar import start_lanes, with_uniform
 from statloom.operators import encode as en
 from statloom.operators import learn
 from statloom.operators.fuzzy import fuzzy_left_join, similar_pairs
@@ -104,20 +104,31 @@ def residual_quantiles(spark, d):
 # ---- encoding and splits -------------------------------------------------------------------------
 
 
-def mix_sql(source: str, start: str, *keys: str, tag: str = "m") -> str:
-    """SQL of the keyed scramble: lateral aliases, one multiply and xor-shift step at a time."""
-    steps, previous = [], None
-    for i, key in enumerate(keys):
-        h = f"{tag}{i}"
-        base = f"CAST({key} AS BIGINT)" if previous is None else f"({previous} + CAST({key} AS BIGINT))"
-        steps += [
-            f"{base} % 2147483648 AS {h}a",
-            f"(xor({h}a, {h}a >> 16) * 1540483477) % 2147483648 AS {h}b",
-            f"(xor({h}b, {h}b >> 15) * 1103515245) % 2147483648 AS {h}c",
-            f"xor({h}c, {h}c >> 16) AS {h}",
-        ]
-        previous = h
-    return f"SELECT {start}, {', '.join(steps)} FROM {source}"
+def mix_sql(source: str, start: str, seed: int | None, key: str, tag: str = "m", after: str | None = None) -> str:
+    """SQL of the keyed draw's two lanes, ``{tag}a`` and ``{tag}b``, one scrambling step per sub-select.
+
+    With a seed all bits of a key that is not negative are absorbed; with ``after``, the lanes of that
+    name absorb one number below 2**31.
+    """
+    k = f"CAST({key} AS BIGINT)"
+    if after is None:
+        (a, b), limbs = start_lanes(seed), [f"({k} & 2147483647)", f"(({k} >> 31) & 2147483647)", f"({k} >> 62)"]
+    else:
+        a, b, limbs = f"{after}a", f"{after}b", [k]
+    sql = f"SELECT {start} FROM {source}"
+    for i, limb in enumerate(limbs):
+        x, y = f"{tag}a{i}_", f"{tag}b{i}_"
+        sql = f"SELECT *, ({a} + {limb}) & 2147483647 AS {x}0, xor(CAST({b} AS BIGINT), {limb}) & 2147483647 AS {y}0 FROM ({sql})"
+        for step, (shift, factor) in enumerate(((16, 1540483477), (15, 1103515245))):
+            made = [f"(xor({h}{step}, {h}{step} >> {shift}) * {factor}) & 2147483647 AS {h}{step + 1}" for h in (x, y)]
+            sql = f"SELECT *, {', '.join(made)} FROM ({sql})"
+        a, b = (f"{tag}a", f"{tag}b") if i == len(limbs) - 1 else (x, y)
+        sql = f"SELECT *, xor({x}2, {x}2 >> 16) AS {a}, xor({y}2, {y}2 >> 16) AS {b} FROM ({sql})"
+    return sql
+
+
+def uniform_sql(tag: str) -> str:
+    return f"(({tag}a * 4194304 + ({tag}b >> 9)) / 9007199254740992.0::DOUBLE)"
 
 
 @query(
@@ -144,8 +155,8 @@ def indicator_columns(spark, d):
 
 @query(
     "stratified_split",
-    f"""WITH h AS ({mix_sql('orders', 'o_orderkey, o_orderstatus', '13', 'o_orderkey')}),
-        r AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY m1, o_orderkey) AS rn, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM h)
+    f"""WITH h AS ({mix_sql('orders', 'o_orderkey, o_orderstatus', 13, 'o_orderkey')}),
+        r AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY ma, mb, o_orderkey) AS rn, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM h)
         SELECT o_orderkey, o_orderstatus, rn <= round_even(n * 0.2::DOUBLE, 0) AS is_test FROM r""",
 )
 def stratified_split(spark, d):
@@ -194,17 +205,21 @@ def _guess(spark, d):
 
 TRIALS, SEED = 200, 7
 POOL_SQL = f"""pool AS (SELECT c_custkey AS loan_id, c_mktsegment AS Rating, abs(c_acctbal) AS a1, abs(c_acctbal) * 0.6667 AS a2, abs(c_acctbal) * 0.3334 AS a3,
-      c1 / 2147483648.0::DOUBLE * 0.05 AS p1, c1 / 2147483648.0::DOUBLE * 0.08 AS p2, c1 / 2147483648.0::DOUBLE * 0.1 AS p3
-      FROM ({mix_sql('customer', 'c_custkey, c_mktsegment, c_acctbal', '99', 'c_custkey', tag='c')})),
+      {uniform_sql('c')} * 0.05 AS p1, {uniform_sql('c')} * 0.08 AS p2, {uniform_sql('c')} * 0.1 AS p3
+      FROM ({mix_sql('customer', 'c_custkey, c_mktsegment, c_acctbal', 99, 'c_custkey', tag='c')})),
     valued AS (SELECT *, a1 AS e1, a1 - a1 * 0.3333 / 1.08 AS e2, a1 - a1 * 0.3333 / 1.08 - a1 * 0.3333 / (1.08 * 1.08) AS e3 FROM pool)"""
 
 
 def _draws_sql(trials: int) -> str:
-    u = lambda tag: f"{tag}0 / 2147483648.0::DOUBLE"
-    return f"""trials AS (SELECT * FROM valued CROSS JOIN (SELECT unnest(generate_series(1, {trials})) AS trial)),
-    k AS ({mix_sql('trials', '*', str(SEED), 'loan_id', 'trial')}),
-    y1 AS ({mix_sql('k', '*', 'm2 + 1', tag='u')}), y2 AS ({mix_sql('y1', '*', 'm2 + 2', tag='v')}), y3 AS ({mix_sql('y2', '*', 'm2 + 3', tag='w')}),
-    outcome AS (SELECT *, CASE WHEN {u('u')} <= p1 THEN 1 WHEN {u('v')} <= p2 THEN 2 WHEN {u('w')} <= p3 THEN 3 END AS yr FROM y3)"""
+    years = {1: "u", 2: "v", 3: "w"}
+    drawn, source = [], "k"
+    for year, tag in years.items():
+        drawn.append(f"y{year} AS ({mix_sql(source, '*', None, str(year), tag=tag, after='m')})")
+        source = f"y{year}"
+    return f"""keyed AS ({mix_sql('valued', '*', SEED, 'loan_id', tag='l')}),
+    trials AS (SELECT * FROM keyed CROSS JOIN (SELECT unnest(generate_series(1, {trials})) AS trial)),
+    k AS ({mix_sql('trials', '*', None, 'trial', after='l')}), {', '.join(drawn)},
+    outcome AS (SELECT *, CASE WHEN {uniform_sql('u')} <= p1 THEN 1 WHEN {uniform_sql('v')} <= p2 THEN 2 WHEN {uniform_sql('w')} <= p3 THEN 3 END AS yr FROM y3)"""
 
 
 LOSSES_SQL = f"WITH {POOL_SQL}, {_draws_sql(TRIALS)}, losses AS (SELECT trial, Rating, sum(CASE yr WHEN 1 THEN e1 WHEN 2 THEN e2 WHEN 3 THEN e3 ELSE 0.0 END) AS loss FROM outcome GROUP BY 1, 2)"
@@ -213,7 +228,7 @@ LOSSES_SQL = f"WITH {POOL_SQL}, {_draws_sql(TRIALS)}, losses AS (SELECT trial, R
 def pool(spark, d):
     """Customers as loans: balance as amount, segment as rating, keyed default probabilities."""
     cust = load_table(spark, d, "customer", ["c_custkey", "c_mktsegment", "c_acctbal"])
-    base = keyed_uniform(99, F.col("c_custkey"))
+    cust, base = with_uniform(cust, "_base", 99, "c_custkey"), F.col("_base")
     amount = F.abs("c_acctbal")
     loans = cust.select(
         F.col("c_custkey").alias("loan_id"),

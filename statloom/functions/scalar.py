@@ -134,20 +134,9 @@ def _mix_steps():
     )
 
 
-def mix31(x: Column) -> Column:
-    """Scramble a non-negative integer into [0, 2**31) with multiply and xor-shift steps.
-
-    Plain 64-bit integer arithmetic: it stays inside generated code, does not depend on
-    partitioning, and any SQL engine reproduces it bit for bit.
-    """
-    for step in _mix_steps():
-        x = step(x)
-    return x
-
-
 def with_mixed(df: DataFrame, **values: Column) -> DataFrame:
-    """Add ``mix31`` columns one step at a time. For hot loops: as a single expression every step
-    would be written out, and computed, as often as it is read."""
+    """Add scrambled columns one step at a time. As a single expression every step would be written
+    out, and computed, as often as it is read."""
     names = dict(values)
     first, *rest = _mix_steps()
     df = df.withColumns({n: first(x) for n, x in names.items()})
@@ -156,12 +145,80 @@ def with_mixed(df: DataFrame, **values: Column) -> DataFrame:
     return df
 
 
-def keyed_uniform(*keys: Column | int) -> Column:
-    """A uniform draw in [0, 1) that is a pure function of its integer keys."""
-    h = F.lit(0).cast("bigint")
+def limbs(key: Column) -> list[Column]:
+    """All 64 bits of an integer key as three numbers below 2**31."""
+    k = key.cast("bigint")
+    low = F.lit(MIX_MODULUS - 1)
+    return [k.bitwiseAND(low), F.shiftrightunsigned(k, 31).bitwiseAND(low), F.shiftrightunsigned(k, 62)]
+
+
+def integer_key(key: Column | str, kind: str = "bigint") -> Column:
+    """A key column as an integer: strings by 60 bits of their md5."""
+    key = _c(key)
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint") if kind == "string" else key.cast("bigint")
+
+
+def absorb(a: Column, b: Column, limb: Column) -> tuple[Column, Column]:
+    """What the two lanes of a keyed draw scramble next. One lane adds, the other combines bitwise, so
+    that streams of different keys cannot run alongside each other in both."""
+    return a + limb, b.bitwiseXOR(limb)
+
+
+def start_lanes(seed: int) -> tuple[int, int]:
+    """The lanes after a seed, as plain numbers."""
+    def mix(h: int) -> int:
+        for shift, factor in ((16, MIX_A), (15, MIX_B)):
+            h = ((h ^ (h >> shift)) * factor) & (MIX_MODULUS - 1)
+        return h ^ (h >> 16)
+
+    a, b, seed = 0, 1, seed & (2**64 - 1)
+    for limb in (seed & (MIX_MODULUS - 1), (seed >> 31) & (MIX_MODULUS - 1), seed >> 62):
+        a, b = mix((a + limb) & (MIX_MODULUS - 1)), mix(b ^ limb)
+    return a, b
+
+
+def stirred(df: DataFrame, a: str, b: str, *parts: Column) -> DataFrame:
+    """Let the lanes in columns ``a`` and ``b`` absorb numbers below 2**31, one after the other."""
+    for part in parts:
+        x, y = absorb(F.col(a), F.col(b), part)
+        df = with_mixed(df, **{a: x, b: y})
+    return df
+
+
+def with_lanes(df: DataFrame, a: str, b: str, seed: int, *keys: str) -> DataFrame:
+    """Add two 31-bit lanes that are a pure function of the seed and of all bits of the keys."""
+    first, second = start_lanes(seed)
+    df = df.withColumns({a: F.lit(first).cast("bigint"), b: F.lit(second).cast("bigint")})
     for key in keys:
-        h = mix31(h + (F.lit(key) if isinstance(key, int) else key).cast("bigint"))
-    return h / float(MIX_MODULUS)
+        kind = df.schema[key].dataType.typeName()
+        df = stirred(df, a, b, *limbs(integer_key(key, kind)))
+    return df
+
+
+def uniform_of(a: Column, b: Column) -> Column:
+    """A number in [0, 1) with 53 random bits: 31 of the first lane, 22 of the second."""
+    return (a * 4_194_304 + F.shiftright(b, 9)) / float(2**53)
+
+
+def with_uniform(df: DataFrame, name: str, seed: int, *keys: str) -> DataFrame:
+    """Add a uniform draw in [0, 1) that is a pure function of the seed and the keys."""
+    df = with_lanes(df, "_lane_a", "_lane_b", seed, *keys)
+    return df.withColumn(name, uniform_of(F.col("_lane_a"), F.col("_lane_b"))).drop("_lane_a", "_lane_b")
+
+
+def keyed_uniform(*keys: Column | int) -> Column:
+    """The draw of ``with_uniform`` as one expression, for short tables: the first key is the seed."""
+    def once(x: Column, step) -> Column:
+        # binds x to a name, so that a step may read it more than once
+        return F.get(F.transform(F.array(x), step), F.lit(0))
+
+    a, b = (F.lit(h).cast("bigint") for h in start_lanes(keys[0]))
+    for key in keys[1:]:
+        for limb in limbs(F.lit(key) if isinstance(key, int) else key):
+            a, b = absorb(a, b, limb)
+            for step in _mix_steps():
+                a, b = once(a, step), once(b, step)
+    return uniform_of(a, b)
 
 
 def is_home(team: Column | str, home: Column | str) -> Column:

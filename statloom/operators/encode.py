@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.functions.scalar import MIX_MODULUS, mix31
+from statloom.functions.scalar import MIX_MODULUS, with_lanes
 from statloom.operators.hotgroups import running
 from statloom.operators.windows import number_rows
 
@@ -52,12 +52,13 @@ def stratified_split(
     """Flag exactly ``round(fraction * n)`` rows of every label, in scrambled key order.
 
     Counts per hash cell find the cell in which a label's quota runs out, and only that cell's rows
-    are ordered, so the table itself is neither sorted nor shuffled by label. ``key`` is a unique
-    non-negative integer.
+    are ordered, so the table itself is neither sorted nor shuffled by label. ``key`` is unique, an
+    integer or text.
     """
-    place = mix31(mix31(F.lit(seed)) + F.col(key))
-    rows = df.withColumn("_place", place).withColumn(
-        "_cell", F.floor(F.col("_place") / (MIX_MODULUS / HASH_CELLS)).cast("int")
+    keyed = with_lanes(df, "_lane_a", "_lane_b", seed, key)
+    rows = keyed.withColumn("_place", F.col("_lane_a") * MIX_MODULUS + F.col("_lane_b")).drop("_lane_a", "_lane_b")
+    rows = rows.withColumn(
+        "_cell", F.floor(F.col("_place") / (MIX_MODULUS * MIX_MODULUS // HASH_CELLS)).cast("int")
     )
     cells = rows.groupBy(label, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     quota = cells.groupBy(label).agg(F.bround(F.sum("_n") * fraction).cast("bigint").alias("_quota"))
@@ -84,4 +85,5 @@ def stratified_split(
 
 def with_folds(df: DataFrame, key: str, folds: int, seed: int = 13, name: str = "fold") -> DataFrame:
     """Fold number from a scrambled key, for cross-validation."""
-    return df.withColumn(name, (mix31(mix31(F.lit(seed)) + F.col(key)) % folds).cast("int"))
+    keyed = with_lanes(df, "_lane_a", "_lane_b", seed, key)
+    return keyed.withColumn(name, (F.col("_lane_a") % folds).cast("int")).drop("_lane_a", "_lane_b")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.functions.scalar import MIX_MODULUS, mix31, with_mixed
+from statloom.functions.scalar import absorb, stirred, uniform_of, with_lanes, with_mixed
 
 
 def default_year(draws: Sequence, probabilities: Sequence[str]):
@@ -23,16 +23,20 @@ def draw_defaults(
 ) -> DataFrame:
     """One row per loan and trial with the year of default.
 
-    Each draw depends only on (seed, loan, trial, year), so results do not change with partitioning
+    Each draw depends only on (seed, loan, trial, year), by all bits of an integer loan or by the md5
+    of a text one, so results do not change with partitioning
     or retries. Trials are generated inside the scan stage; nothing is joined or shuffled.
     """
-    keyed = with_mixed(loans, _loan_key=mix31(F.lit(seed)) + F.col(loan))
-    rows = keyed.select("*", F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"))
-    rows = with_mixed(rows, _draw_key=F.col("_loan_key") + F.col("trial"))
+    rows = with_lanes(loans, "_a", "_b", seed, loan)
+    rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"))
+    rows = stirred(rows, "_a", "_b", F.col("trial").cast("bigint"))
     names = [f"_draw{y}" for y in range(1, len(probabilities) + 1)]
-    rows = with_mixed(rows, **{n: F.col("_draw_key") + y for y, n in enumerate(names, start=1)})
-    draws = [F.col(n) / float(MIX_MODULUS) for n in names]
-    return rows.withColumn("default_year", default_year(draws, probabilities)).drop("_loan_key", "_draw_key", *names)
+    mixed = {}
+    for year, n in enumerate(names, start=1):
+        mixed[f"{n}a"], mixed[f"{n}b"] = absorb(F.col("_a"), F.col("_b"), F.lit(year).cast("bigint"))
+    rows = with_mixed(rows, **mixed)
+    draws = [uniform_of(F.col(f"{n}a"), F.col(f"{n}b")) for n in names]
+    return rows.withColumn("default_year", default_year(draws, probabilities)).drop("_a", "_b", *mixed)
 
 
 def with_losses(defaults: DataFrame, exposures: Sequence[str]) -> DataFrame:
