@@ -27,21 +27,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.llm.common import id_remainder, slices, texts
 from statloom.llm.recurrent import GatedModel
-from statloom.llm.words import hashed, split
+from statloom.llm.words import REMEMBERED, hashed, split
 from statloom.session import cut_lineage
 
-HEAD = 1000
-SHARE = 4
+HEAD = 500
+SHARE = 8
 ROUNDS = 3
 #: Bytes of text counted, or scored, at a time.
-COUNTED, SCORED = 8 << 20, 3 << 20
+COUNTED, SCORED = 4 << 20, 3 << 20
 #: Lanes read at a time when nothing is learned.
-SCORE_LANES = 384
+SCORE_LANES = 768
 SHAPES = 8
 
 
@@ -88,16 +89,27 @@ class Vocabulary:
     def symbol_counts(self) -> np.ndarray:
         return np.concatenate([[self.ends], self.counts, self.tail_counts])
 
-    def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of words (0 is the end, then the head, then the tail's shapes) and their hashes."""
-        h = hashed(words)
-        at = np.searchsorted(self.words, h)
-        at[at == len(self.words)] = 0
-        head = self.words[at] == h if len(self.words) else np.zeros(len(h), bool)
-        out = at + 1
-        tail = np.flatnonzero(~head)
-        out[tail] = len(self.words) + 1 + np.fromiter((shape(words[i]) for i in tail), np.int64, len(tail))
-        return out, h
+
+class Symbols(dict):
+    """Symbols of words: 0 is the end, then the head, then the tail's shapes."""
+
+    def __init__(self, known: Vocabulary):
+        super().__init__()
+        self.head = {int(h): i + 1 for i, h in enumerate(known.words)}
+
+    def __missing__(self, word: bytes) -> int:
+        symbol = self.head.get(xxhash.xxh64_intdigest(word))
+        symbol = len(self.head) + 1 + shape(word) if symbol is None else symbol
+        if len(self) < REMEMBERED:
+            self[word] = symbol
+        return symbol
+
+    def of(self, text: bytes) -> np.ndarray:
+        """The symbols of a whole text and its end."""
+        words = split(text)
+        out = np.zeros(len(words) + 1, np.int64)
+        out[:-1] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return out
 
 
 def vocabulary(counts: DataFrame, n_documents: int, head: int = HEAD) -> Vocabulary:
@@ -125,8 +137,9 @@ def fit(training: DataFrame, known: Vocabulary, share: int = SHARE, rounds: int
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             weights, words = start.value
             own, memory, read = GatedModel(words.symbol_counts).set_flat(weights), None, 0
+            symbols = Symbols(words)
             for batch in slices(batches, "text", SCORED):
-                docs = [np.append(words.symbols(split(t))[0], 0) for t in texts(batch, "text")]
+                docs = [symbols.of(t) for t in texts(batch, "text")]
                 memory = own.train(docs, memory)
                 read += sum(map(len, docs))
             if read:
@@ -173,14 +186,14 @@ def _network(docs: DataFrame, known: Vocabulary, model: GatedModel) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, network = shipped.value
-        n_head = len(words.words)
+        n_head, symbols = len(words.words), Symbols(words)
         masses = np.log10(words.tail_counts + words.tail_types + 1)
         # log10(c + 1) of head symbols, and minus the log mass of tail symbols
         base = np.concatenate([np.log10(np.append(words.ends, words.counts) + 1), np.zeros(SHAPES)])
         tails = np.concatenate([np.zeros(n_head + 1), masses])
         seen = np.concatenate([[words.ends > 0], np.ones(n_head, bool), np.zeros(SHAPES, bool)])
         for batch in slices(batches, "text", SCORED):
-            docs = [np.append(words.symbols(split(t))[0], 0) for t in texts(batch, "text")]
+            docs = [symbols.of(t) for t in texts(batch, "text")]
             log_p = network.log_likelihood(docs, SCORE_LANES) / np.log(10)
             yield pa.record_batch(
                 {

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN = 20
+HIDDEN = 16
 WINDOW = 24
 LANES = 128
 RATE = 0.006
@@ -44,6 +44,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _log_total(logits: np.ndarray) -> np.ndarray:
+    """log of the sum of exp over each row; the logits are used up."""
+    most = logits.max(initial=0)
+    logits -= most  # one maximum for all rows is enough while they are alike
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    return np.log(np.maximum(total, np.float32(1e-37))) + most
+
+
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    e = np.exp(logits - logits.max(axis=1, keepdims=True)) if len(logits) else logits
+    return e / e.sum(axis=1, keepdims=True)
+
+
 class GatedModel:
     """``counts``: how often each symbol occurs in training; it sets classes and first biases."""
 
@@ -101,40 +115,41 @@ class GatedModel:
             out[t] = h = new
         return out, saved, h
 
-    def _output(self, h: np.ndarray, target: np.ndarray, gradient: bool):
-        """Natural log probabilities of the targets given their states; optionally the gradients."""
-        p = self.p
-        own = self.class_of[target]
-        logits = h @ p["class"] + p["class_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        rows = np.arange(len(h))
-        log_p = logits[rows, own] - np.log(total)
-        if gradient:
-            d = e / total[:, None]
-            d[rows, own] -= 1
-            g = {"class": h.T @ d, "class_bias": d.sum(axis=0), "word": np.zeros_like(p["word"]), "word_bias": np.zeros_like(p["word_bias"])}
-            dh = d @ p["class"].T
+    def _log_p(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Natural log probabilities of the targets given their states."""
+        p, own, rows = self.p, self.class_of[target], np.arange(len(h))
+        logits = h @ p["class"]
+        logits += p["class_bias"]
+        log_p = logits[rows, own] - _log_total(logits)
+        order = np.argsort(own, kind="stable")
+        h, place = h[order], self.place[target[order]]
+        ends = np.searchsorted(own[order], np.arange(len(self.symbols) + 1))
+        within = np.empty(len(h), np.float32)
+        for c, symbols in enumerate(self.symbols):
+            at = slice(ends[c], ends[c + 1])
+            logits = h[at] @ p["word"][symbols].T
+            logits += p["word_bias"][symbols]
+            within[at] = logits[rows[: len(logits)], place[at]] - _log_total(logits)
+        log_p[order] += within
+        return log_p
+
+    def _gradients(self, h: np.ndarray, target: np.ndarray) -> tuple[dict, np.ndarray]:
+        """Gradients of minus the log probability by the output weights and by the states."""
+        p, own, rows = self.p, self.class_of[target], np.arange(len(h))
+        d = _softmax(h @ p["class"] + p["class_bias"])
+        d[rows, own] -= 1
+        g = {"class": h.T @ d, "class_bias": d.sum(axis=0), "word": np.zeros_like(p["word"]), "word_bias": np.zeros_like(p["word_bias"])}
+        dh = d @ p["class"].T
         order = np.argsort(own, kind="stable")
         ends = np.searchsorted(own[order], np.arange(len(self.symbols) + 1))
         for c, symbols in enumerate(self.symbols):
             at = order[ends[c] : ends[c + 1]]
-            if not len(at):
-                continue
-            logits = h[at] @ p["word"][symbols].T + p["word_bias"][symbols]
-            logits -= logits.max(axis=1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(axis=1)
-            k, r = self.place[target[at]], np.arange(len(at))
-            log_p[at] += logits[r, k] - np.log(total)
-            if gradient:
-                d = e / total[:, None]
-                d[r, k] -= 1
-                g["word"][symbols] = d.T @ h[at]
-                g["word_bias"][symbols] = d.sum(axis=0)
-                dh[at] += d @ p["word"][symbols]
-        return (log_p, g, dh) if gradient else log_p
+            d = _softmax(h[at] @ p["word"][symbols].T + p["word_bias"][symbols])
+            d[rows[: len(at)], self.place[target[at]]] -= 1
+            g["word"][symbols] = d.T @ h[at]
+            g["word_bias"][symbols] = d.sum(axis=0)
+            dh[at] += d @ p["word"][symbols]
+        return g, dh
 
     def _windows(self, documents: list[np.ndarray], most: int = LANES):
         target, before, owner = grid(documents, most)
@@ -152,7 +167,7 @@ class GatedModel:
             h = np.zeros((target.shape[1], self.hidden), np.float32) if h is None else h
             states, _, h = self._states(before, fresh, h, keep=False)
             real = target >= 0
-            log_p = self._output(states[real], target[real], gradient=False)
+            log_p = self._log_p(states[real], target[real])
             out += np.bincount(owner[real], log_p, len(documents))
         return out
 
@@ -168,7 +183,7 @@ class GatedModel:
             n = int(real.sum())
             if not n:
                 continue
-            _, g, d = self._output(states[real], target[real], gradient=True)
+            g, d = self._gradients(states[real], target[real])
             dstates = np.zeros_like(states)
             dstates[real] = d
             g |= self._backward(before, fresh, saved, dstates)

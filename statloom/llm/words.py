@@ -8,7 +8,7 @@ import xxhash
 from statloom.llm.common import lowered
 
 #: Words a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 class Words(dict):
