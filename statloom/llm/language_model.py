@@ -22,6 +22,7 @@ are known by 64-bit hashes.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -63,10 +64,13 @@ def word_counts(training: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", COUNTED):
-            words = [w for t in texts(batch, "text") for w in split(t)]
-            h, first, n = np.unique(hashed(words), return_index=True, return_counts=True)
-            shapes = np.fromiter((shape(words[i]) for i in first), np.int8, len(first))
-            columns = {"word": pa.array(h.view(np.int64)), "shape": pa.array(shapes), "n": pa.array(n, pa.int64())}
+            found: Counter[bytes] = Counter()
+            for t in texts(batch, "text"):
+                found.update(split(t))
+            h = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+            n = np.fromiter(found.values(), np.int64, len(found))
+            shapes = np.fromiter(map(shape, found), np.int8, len(found))
+            columns = {"word": pa.array(h.view(np.int64)), "shape": pa.array(shapes), "n": pa.array(n)}
             yield pa.record_batch(columns)
 
     counted = training.select("text").mapInArrow(run, "word long, shape byte, n long")
