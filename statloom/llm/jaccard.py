@@ -11,13 +11,13 @@ signature, and similar sets share at least one. No link is lost.
 Sets that are equal form a *class*, known by a digest. From then on there is one row per class:
 
 1. Signatures are counted; those of a single class are dropped.
-2. Each class is compared with one centre, the heaviest class of the bucket it most often meets.
-   Links found give labels (connected components).
-3. Buckets that still hold several labels are compared in blocks of bounded size, by *sketches*:
-   the set's elements are added up in cells, and sets that differ in more cells than k cannot link.
-   A block reports a forest of the pairs that may link and would join two labels, one row per member
-   at most. The pairs are verified exactly, labels renewed, pairs that failed excluded, and the step
-   repeated until no block reports a pair.
+2. Each class that is left gets a *sketch*: its elements added up in cells. Sets that differ in more
+   cells than k cannot link, so sketches rule pairs out before any text is compared.
+3. Small buckets give all their pairs, at most ``FEW - 1`` for a member. Those that the sketches leave are
+   verified exactly on the whole texts, and links give labels (connected components).
+4. Large buckets that hold several labels are compared in blocks of bounded size. For each member a block
+   reports the ``PARTNERS`` nearest that may link, have another label and are not yet tested. The pairs are
+   verified, labels renewed, and the step repeated until no block reports a pair.
 
 So a group of near copies never gives a row for each of its pairs, and no pair that could join two
 components stays untested. Components come from repeated joins with cut lineage. Only counts reach
@@ -47,6 +47,10 @@ from statloom.session import cut_lineage
 PIECES, DIFFER = 2, 1
 #: Members of a bucket in one chunk; two chunks are compared in one block.
 BLOCK = 1024
+#: Members of a bucket up to which all its pairs are listed.
+FEW = 16
+#: Pairs that a large bucket reports of a member in one round.
+PARTNERS = 6
 #: Repeated signatures, or documents, up to which a join is told to send them to all tasks.
 SMALL = 3_000_000
 #: Words a Python worker remembers with their hash.
@@ -144,11 +148,11 @@ def signatures(sets: list[np.ndarray], least: int, pieces: int = PIECES, differ:
 
 
 def sketch(values: np.ndarray) -> np.ndarray:
-    """Sums modulo 256 of the elements that fall into each of 2 ** m cells, at least as many as elements.
+    """Sums modulo 256 of the elements that fall into each of 2 ** m cells, at most as many as elements (or 32).
 
     Halving the cells by adding neighbours gives the sketch of the next smaller m.
     """
-    m = max(len(values) - 1, 31).bit_length()
+    m = max(len(values), 32).bit_length() - 1
     h = mix(values ^ ODD[2])
     cell = (h >> np.uint64(64 - m)).astype(np.int64)
     return (np.bincount(cell, (h & np.uint64(0xFF)).astype(float), 1 << m).astype(np.int64) & 0xFF).astype(np.uint8)
@@ -164,38 +168,28 @@ def linked(a: np.ndarray, b: np.ndarray, least: int) -> bool:
     return both > 0 and 100 * both >= least * (len(a) + len(b) - both)
 
 
-def _described(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``size`` and ``class`` of every document."""
+def _described(docs: DataFrame, width: int, least: int) -> DataFrame:
+    """``doc_id``, ``text_hash``, ``size``, ``class``, ``sketch`` and ``signatures`` of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             found = shingles(texts(batch, "text"), width)
+            given = signatures(found, least)
+            ends = np.concatenate([[0], np.cumsum([len(g) for g in given])]).astype(np.int32)
+            values = np.concatenate([*given, np.zeros(0, dtype=np.uint64)]).view(np.int64)
             columns = {
                 "doc_id": batch.column("doc_id").cast(pa.int64()),
                 "text_hash": batch.column("text_hash"),
                 "size": pa.array([len(s) for s in found], pa.int64()),
                 "class": pa.array([digest(s) for s in found], pa.int64()),
+                "sketch": pa.array([sketch(s).tobytes() for s in found], pa.binary()),
+                "signatures": pa.ListArray.from_arrays(pa.array(ends), pa.array(values)),
             }
             yield pa.record_batch(columns)
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, size long, class long")
-
-
-def _signed(docs: DataFrame, width: int, least: int) -> DataFrame:
-    """``class``, ``signature``: one row per signature of every set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 19):
-            found = [s for s in shingles(texts(batch, "text"), width) if len(s)]
-            # copies of a set within a slice need their signatures once
-            different = {digest(s): s for s in found}
-            given = signatures(list(different.values()), least)
-            keys = np.repeat(np.array(list(different), dtype=np.int64), [len(s) for s in given])
-            values = np.concatenate([*given, np.zeros(0, dtype=np.uint64)]).view(np.int64)
-            yield pa.record_batch({"class": pa.array(keys), "signature": pa.array(values)})
-
-    return docs.select("text").mapInArrow(run, "class long, signature long")
+    schema = "doc_id long, text_hash long, size long, class long, sketch binary, signatures array<long>"
+    return rows.mapInArrow(run, schema)
 
 
 def _told_small(df: DataFrame, rows: int) -> DataFrame:
@@ -203,13 +197,15 @@ def _told_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL else df
 
 
-def members(docs: DataFrame, width: int, least: int) -> DataFrame:
-    """``signature``, ``class`` of the signatures that several classes have."""
-    counted = _signed(docs, width, least).groupBy("signature").count()
+def members(first: DataFrame) -> DataFrame:
+    """``signature``, ``class``, ``n`` of the signatures that ``n`` > 1 classes have; ``first`` has a row per class."""
+    signed = first.select("class", F.explode("signatures").alias("signature"))
+    counted = signed.groupBy("signature").count()
     repeated = cut_lineage(counted.filter("count > 1").select("signature"))
-    again = _signed(docs, width, least).join(_told_small(repeated, repeated.count()), "signature", "left_semi")
+    again = signed.join(_told_small(repeated, repeated.count()), "signature", "left_semi")
     different = cut_lineage(again.distinct())
-    return cut_lineage(_several(different, "class"))
+    sizes = different.groupBy("signature").agg(F.count("*").alias("n")).filter("n > 1")
+    return cut_lineage(different.join(sizes, "signature"))
 
 
 def _several(rows: DataFrame, what: str) -> DataFrame:
@@ -218,30 +214,45 @@ def _several(rows: DataFrame, what: str) -> DataFrame:
     return rows.join(ends.select("signature"), "signature", "left_semi")
 
 
-def _centres(found: DataFrame) -> DataFrame:
-    """For each class ``a``, the centre ``b`` it shares most signatures with."""
-    sized = found.join(found.groupBy("signature").agg(F.count("*").alias("n")), "signature")
-    weights = sized.groupBy("class").agg(F.sum("n").alias("weight"))
-    weighed = found.join(weights, "class")
-    heavy = weighed.groupBy("signature").agg(F.max(F.struct("weight", "class")).alias("c"))
-    meets = found.join(heavy.select("signature", F.col("c.class").alias("centre")), "signature").filter("class <> centre")
-    often = meets.groupBy("class", "centre").agg(F.count("*").alias("n"))
-    best = often.groupBy("class").agg(F.max(F.struct("n", "centre")).alias("c"))
-    return _ordered(best.select(F.col("class").alias("a"), F.col("c.centre").alias("b")))
+def _firsts(described: DataFrame) -> DataFrame:
+    """``class`` with the id and text hash of its first document."""
+    first = described.groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("d"))
+    return cut_lineage(first.select("class", F.col("d.doc_id").alias("_id"), F.col("d.text_hash").alias("_hash")))
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _without_copies(described: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The row of the first document of each class."""
+    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    copies = described.select("doc_id", "text_hash", "class").join(firsts, "class").filter(~own)
+    copies = cut_lineage(copies.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
+    return described.join(_told_small(copies, copies.count()), own, "left_anti")
 
 
-def _representatives(docs: DataFrame, described: DataFrame, found: DataFrame) -> DataFrame:
-    """``class`` and the ``text`` of its first document, for the classes in ``found``."""
-    wanted = found.select("class").distinct()
-    first = described.join(wanted, "class", "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("d"))
-    first = cut_lineage(first.select("class", F.col("d.doc_id").alias("_id"), F.col("d.text_hash").alias("_hash")))
+def _representatives(docs: DataFrame, firsts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``class`` and ``text`` of the first document of the classes in ``wanted``."""
+    chosen = cut_lineage(firsts.join(wanted.select("class").distinct(), "class", "left_semi"))
     same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
-    rows = docs.join(_told_small(first, first.count()), same).select("class", docs["text"])
-    return rows.dropDuplicates(["class"])
+    return docs.join(_told_small(chosen, chosen.count()), same).select("class", docs["text"])
+
+
+def _listed(small: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+    """``a``, ``b``: the pairs of small buckets that the sketches leave."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "sketch_a"):
+            sizes = np.array([batch.column(c).to_pylist() for c in ("size_a", "size_b")], dtype=np.int64)
+            most = most_different(sizes[0], sizes[1], least)
+            cells = [[np.frombuffer(x, np.uint8) for x in batch.column(c).to_pylist()] for c in ("sketch_a", "sketch_b")]
+            near = [
+                100 * min(m, n) >= least * max(m, n) and apart(x, y) <= k
+                for m, n, k, x, y in zip(*sizes.tolist(), most.tolist(), *cells)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    left = small.select("signature", F.col("class").alias("a"))
+    pairs = left.join(small.select("signature", F.col("class").alias("b")), "signature").filter("a < b").select("a", "b").distinct()
+    of = {k: sketches.select(F.col("class").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab"}
+    return pairs.join(of["a"], "a").join(of["b"], "b").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, of: DataFrame, width: int, least: int) -> DataFrame:
@@ -253,6 +264,7 @@ def _verified(pairs: DataFrame, of: DataFrame, width: int, least: int) -> DataFr
             found = [linked(x, y, least) for x, y in zip(left, right)]
             yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(found, pa.bool_())})
 
+    of = of.dropDuplicates(["class"])  # rows that repeat a document
     first = pairs.join(of.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
     both = first.join(of.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
     return cut_lineage(both.mapInArrow(run, "a long, b long, linked boolean"))
@@ -287,6 +299,12 @@ def components(links: DataFrame) -> DataFrame:
     return cut_lineage(whole.union(roots).groupBy("class").agg(F.min("label").alias("label")))
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> int:
+    """In how many cells two sketches differ, at the smaller number of cells."""
+    x, y = _folded([a, b])
+    return int(np.count_nonzero(x != y))
+
+
 def _folded(sketches: list[np.ndarray]) -> np.ndarray:
     """Sketches brought to the smallest number of cells among them."""
     size, out = min(len(s) for s in sketches), []
@@ -297,14 +315,14 @@ def _folded(sketches: list[np.ndarray]) -> np.ndarray:
     return np.stack(out)
 
 
-def forest(classes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sketches: list[np.ndarray], side: np.ndarray, failed: list[set], least: int) -> list[tuple[int, int]]:
-    """Pairs that may link, nearest first, as long as they join two labels.
+def nearest(classes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sketches: list[np.ndarray], side: np.ndarray, failed: list[set], least: int) -> set[tuple[int, int]]:
+    """For each member, the ``PARTNERS`` nearest of another label that may link and have not failed.
 
     ``side`` has the chunk of each member: of two chunks, only pairs across them are compared.
     """
-    possible: list[tuple[int, int, int]] = []
     order = np.argsort(sizes, kind="stable")
     sizes, two = sizes[order], len(set(side.tolist())) == 2
+    partners: list[list[tuple[int, int, int]]] = [[] for _ in order]
     for x in range(len(order) - 1):
         end = int(np.searchsorted(sizes, sizes[x] * 100 // least, "right"))
         rest = np.arange(x + 1, end)
@@ -315,42 +333,20 @@ def forest(classes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sketches:
             if not len(some):
                 continue
             cells = _folded([sketches[order[x]], *[sketches[order[y]] for y in some]])
-            apart = np.count_nonzero(cells[1:] != cells[0], axis=1)
-            near = apart <= most_different(sizes[x], sizes[some], least)
-            possible += [(int(d), order[x], order[y]) for d, y in zip(apart[near], some[near])]
-    parent = {label: label for label in labels.tolist()}
-
-    def root(label: int) -> int:
-        while parent[label] != label:
-            parent[label] = label = parent[parent[label]]
-        return label
-
-    out = []
-    for _, x, y in sorted(possible):
-        a, b = sorted((int(classes[x]), int(classes[y])))
-        p, q = root(int(labels[x])), root(int(labels[y]))
-        if p != q and b not in failed[x if a == classes[x] else y]:
-            parent[max(p, q)] = min(p, q)
-            out.append((a, b))
-    return out
-
-
-def _sketched(of: DataFrame, width: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            found = shingles(texts(batch, "text"), width)
-            columns = {
-                "class": batch.column("class"),
-                "size": pa.array([len(s) for s in found], pa.int64()),
-                "sketch": pa.array([sketch(s).tobytes() for s in found], pa.binary()),
-            }
-            yield pa.record_batch(columns)
-
-    return cut_lineage(of.mapInArrow(run, "class long, size long, sketch binary"))
+            differ = np.count_nonzero(cells[1:] != cells[0], axis=1)
+            near = np.flatnonzero(differ <= most_different(sizes[x], sizes[some], least))
+            for k in near.tolist():
+                y = int(some[k])
+                a, b = int(classes[order[x]]), int(classes[order[y]])
+                if max(a, b) not in failed[order[x] if a < b else order[y]]:
+                    pair = (int(differ[k]), min(a, b), max(a, b))
+                    partners[x].append(pair)
+                    partners[y].append(pair)
+    return {(a, b) for found in partners for _, a, b in sorted(found)[:PARTNERS]}
 
 
 def _reported(found: DataFrame, labels: DataFrame, sketches: DataFrame, failed: DataFrame, least: int) -> DataFrame:
-    """``a``, ``b``: what the blocks of buckets with several labels report."""
+    """``a``, ``b``: what the blocks of large buckets with several labels report."""
     labelled = found.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     open_ = cut_lineage(_several(labelled, "label"))
     counts = open_.groupBy("signature").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
@@ -368,7 +364,7 @@ def _reported(found: DataFrame, labels: DataFrame, sketches: DataFrame, failed:
     def run(table: pa.Table) -> pa.Table:
         # one block: at most two chunks of a bucket
         d = table.to_pydict()
-        pairs = forest(
+        pairs = nearest(
             np.array(d["class"]),
             np.array(d["label"]),
             np.array(d["size"]),
@@ -385,24 +381,30 @@ def _reported(found: DataFrame, labels: DataFrame, sketches: DataFrame, failed:
 
 def classes(docs: DataFrame, width: int, least: int) -> tuple[DataFrame, DataFrame]:
     """Every document with its class, and the label of every class that has links."""
-    described = cut_lineage(_described(docs, width))
-    found = members(docs, width, least)
-    of = cut_lineage(_representatives(docs, described, found))
-    verified = _verified(_centres(found), of, width, least)
-    labels, sketches = components(verified.filter("linked")), None
+    described = cut_lineage(_described(docs, width, least))
+    firsts = _firsts(described)
+    first = _without_copies(described, firsts)
+    found = members(first)
+    sketches = first.select("class", "size", "sketch").join(found.select("class").distinct(), "class", "left_semi")
+    sketches = cut_lineage(sketches.dropDuplicates(["class"]))
+    large = found.filter(F.col("n") > FEW).select("signature", "class")
+    pairs = cut_lineage(_listed(found.filter(F.col("n") <= FEW), sketches, least))
+    verified = None
     while True:
-        sketches = _sketched(of, width) if sketches is None else sketches
-        pairs = cut_lineage(_reported(found, labels, sketches, verified.filter("not linked"), least))
+        ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class")))
+        of = cut_lineage(_representatives(docs, firsts, ends))
+        new = _verified(pairs, of, width, least)
+        verified = new if verified is None else cut_lineage(verified.unionByName(new))
+        labels = components(verified.filter("linked"))
+        pairs = cut_lineage(_reported(large, labels, sketches, verified.filter("not linked"), least))
         if pairs.isEmpty():
             return described, labels
-        verified = cut_lineage(verified.unionByName(_verified(pairs, of, width, least)))
-        labels = components(verified.filter("linked"))
 
 
 def join(docs: DataFrame, width: int = 4, least: int = 85) -> DataFrame:
     """``doc_id``, ``text_hash``, ``size`` and ``component_id`` (smallest id reachable) of every document."""
     described, labels = classes(docs, width, least)
-    whole = described.join(labels, "class", "left").withColumn("_part", F.coalesce("label", "class"))
+    whole = described.select("doc_id", "text_hash", "size", "class").join(labels, "class", "left").withColumn("_part", F.coalesce("label", "class"))
     first = whole.filter("size > 0").groupBy("_part").agg(F.min("doc_id").alias("first"))
     out = whole.join(first, "_part", "left")
     component = F.when(F.col("size") > 0, F.col("first")).otherwise(F.col("doc_id"))
