@@ -7,9 +7,9 @@ the known tail words of that shape, + 1 for all unknown ones together). The scor
 log10 probability of all its words and its end, the state carried from its first word to its last.
 
 The network is fitted in a few rounds of data-parallel reading: each task starts from the same
-weights, reads its training documents once, and the weights are averaged by tokens read. The rounds
-together read one of ``SHARE`` training documents, chosen by hash, so the work grows with the input; counts,
-vocabulary and tail masses cover all of them. Averages are the only thing on the driver, of a fixed size.
+weights, reads its training documents once, and the weights are averaged by tokens read. Every training
+document is read in one of the rounds, chosen by a hash of its id (a null id: of its text). Counts, vocabulary
+and tail masses cover all of them too. Averages are the only thing on the driver, of a fixed size.
 
 Counts of tail words reach the documents by a join: per slice of text one row for each different tail
 word with the documents it occurs in. The head, which holds the words that could be a hot key, is a
@@ -37,8 +37,8 @@ from statloom.llm.recurrent import GatedModel
 from statloom.llm.words import REMEMBERED, hashed, split
 from statloom.session import cut_lineage
 
-HEAD = 500
-SHARE = 8
+HEAD = 1000
+SHARE = 1
 ROUNDS = 3
 #: Bytes of text counted, or scored, at a time.
 COUNTED, SCORED = 4 << 20, 3 << 20
@@ -131,10 +131,15 @@ def vocabulary(counts: DataFrame, n_documents: int, head: int = HEAD) -> Vocabul
     return Vocabulary(words, np.array([r["n"] for r in rows], np.int64), n_documents, tokens, types, tail_counts, tail_types)
 
 
+def turn_key() -> Column:
+    """What decides in which round a document is read: its id, or its text where that is null."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit("turn"), "text")).otherwise(F.xxhash64(F.lit("turn"), "doc_id"))
+
+
 def fit(training: DataFrame, known: Vocabulary, share: int = SHARE, rounds: int = ROUNDS) -> GatedModel:
     """Average the weights of one reading per task, round by round."""
     model, context = GatedModel(known.symbol_counts), training.sparkSession.sparkContext
-    turn = F.pmod(F.xxhash64(F.lit("turn"), F.coalesce("doc_id", F.lit(0))), F.lit(share * rounds))
+    turn = F.pmod(turn_key(), F.lit(share * rounds))
     for k in range(rounds):
         start = context.broadcast((model.flat(), known))  # a fixed size
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN = 16
+HIDDEN = 20
 WINDOW = 24
 LANES = 128
 RATE = 0.006

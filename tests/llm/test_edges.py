@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from statloom.llm import chat, contamination, jaccard, language_model, linedup, mixing, quality, secrets, token_files, topk
 from statloom.llm.queries import tokenizer_path
+from statloom.llm.recurrent import GatedModel
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _part int, size long, rank int"
 LONG = " ".join(f"word{k % 977}" for k in range(40_000))
@@ -410,6 +411,20 @@ def test_language_model_counts_and_edges(spark):
     assert len(twice) == 3 and twice[0]["train_tokens"] == twice[1]["train_tokens"]
 
 
+@pytest.mark.parametrize("i", [0, 1, 3, None])
+def test_language_model_reads_every_training_document(spark, i):
+    docs = documents(spark, ["a b a b c"], ids=[i])
+    known = language_model.vocabulary(language_model.word_counts(docs), 1)
+    unread = GatedModel(known.symbol_counts).flat()
+    assert not np.array_equal(language_model.fit(docs, known).flat(), unread)
+
+
+def test_language_model_spreads_null_ids_over_rounds(spark):
+    docs = documents(spark, [f"text {k}" for k in range(60)], ids=[None] * 60)
+    turns = docs.groupBy(F.pmod(language_model.turn_key(), F.lit(language_model.ROUNDS))).count().collect()
+    assert len(turns) == language_model.ROUNDS
+
+
 # --- quality classifier ----------------------------------------------------------------------------
 
 
