@@ -462,7 +462,7 @@ def yearly_changes(spark, d):
     return projection.yearly_changes(projection.model_table(stats(spark, d)), ["player", "season"])
 
 
-HOLDOUT, LAST_TRAIN, STEPS = "1998-99", "1998", 2
+HOLDOUT, LAST_TRAIN, STEPS = "1998-99", "1998", 3
 
 
 def _project_sql() -> str:

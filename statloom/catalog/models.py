@@ -203,7 +203,7 @@ def _guess(spark, d):
 
 # ---- loan pool -----------------------------------------------------------------------------------
 
-TRIALS, SEED = 200, 7
+TRIALS, SEED = 10_000, 7
 POOL_SQL = f"""pool AS (SELECT c_custkey AS loan_id, c_mktsegment AS Rating, abs(c_acctbal) AS a1, abs(c_acctbal) * 0.6667 AS a2, abs(c_acctbal) * 0.3334 AS a3,
       {uniform_sql('c')} * 0.05 AS p1, {uniform_sql('c')} * 0.08 AS p2, {uniform_sql('c')} * 0.1 AS p3
       FROM ({mix_sql('customer', 'c_custkey, c_mktsegment, c_acctbal', 99, 'c_custkey', tag='c')})),

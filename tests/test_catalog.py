@@ -28,3 +28,12 @@ def test_matches_sql(spark, con, name):
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLE and n not in SLOW])
 def test_runs(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0
+
+
+def test_losses_have_the_trials_of_the_reference(spark):
+    trials = QUERIES["loss_by_trial"](spark, SMALL).agg({"trial": "max", "*": "count"}).first()
+    assert sorted(trials) == [10_000, 10_000]
+
+
+def test_projection_has_the_seasons_of_the_reference():
+    assert "h3" in ORACLE["projected_seasons"]
