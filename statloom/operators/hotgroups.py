@@ -1,14 +1,15 @@
 """Windows over groups that may be too large for one task.
 
 A Spark window sends a whole group to one task. When one entity owns a large share of all rows that
-task never ends, so groups above a row limit are cut into consecutive chunks along the ordering
-column and every window is evaluated per (group, chunk):
+task never ends, so once a group is above a row limit the table is partitioned by ranges of
+(group, order) and every window is evaluated per (group, chunk):
 
-* frames that reach a bounded number of rows back get those rows copied in front of each chunk;
-* running totals and fills get the combined totals of the earlier chunks added.
+* running totals and fills get the combined totals of the earlier ranges added;
+* frames that reach a bounded number of rows back are cut by row number, and those rows are copied
+  in front of each chunk.
 
-Both give the same values as the uncut window. What is kept on the driver is one short entry per
-chunk, so it is bounded by (all rows / row limit), not by the data itself.
+Both give the same values as the uncut window, for order columns of any type that sorts. Nothing
+that grows with the data is on the driver or broadcast.
 """
 
 from __future__ import annotations
@@ -16,11 +17,14 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Callable, Sequence
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from statloom.session import cut_lineage
+
 LIMIT_CONF = "statloom.maxGroupRows"
 DEFAULT_LIMIT = 2_000_000
 AUTO = "auto"
@@ -52,17 +56,25 @@ def _piece(order: str, most_bounds: int) -> Column:
 
 
 class HotGroups:
-    """The groups above the limit with their cut points, chunk ids and row counts."""
+    """States that a group is above the limit.
+
+    The cut points at quantiles of a number, date or time are found when they are first asked for;
+    ``running`` and ``with_lookback`` do not need them.
+    """
 
     def __init__(self, df: DataFrame, by: Sequence[str], order: str, limit: int):
         self.by = list(by)
         self.order = order
         self.limit = limit
+        self.df = df
         self.spark = df.sparkSession
         self.key_types = [df.schema[c].dataType for c in self.by]
         self.order_type = df.schema[order].dataType
-        # each entry: key tuple, bounds, rows per piece, chunk of each piece
-        self.entries: list[tuple[tuple, list, list[int], list[int]]] = []
+
+    @cached_property
+    def entries(self) -> list[tuple[tuple, list, list[int], list[int]]]:
+        """Of each group: key tuple, bounds, rows per piece, chunk of each piece."""
+        return _cut_points(self)
 
     def _frame(self, extra: list[T.StructField], rows: list[tuple]) -> DataFrame:
         fields = [T.StructField(f"_key{i}", t) for i, t in enumerate(self.key_types)]
@@ -98,54 +110,22 @@ class HotGroups:
         )
         return self._drop_keys(out.drop("_chunk_of"))
 
-    def expand(self, df: DataFrame, lookback: int) -> DataFrame:
-        """Add ``_chunk`` and ``_home``; the last ``lookback`` rows before a chunk join it too."""
-        rows = []
-        for key, bounds, sizes, chunk_of in self.entries:
-            targets = [[c] for c in chunk_of]
-            for start in range(1, len(chunk_of)):
-                if chunk_of[start] == chunk_of[start - 1]:
-                    continue
-                seen, piece = 0, start - 1
-                while seen < lookback and piece >= 0:
-                    targets[piece].append(chunk_of[start])
-                    seen += sizes[piece]
-                    piece -= 1
-            rows.append((*key, bounds, targets))
-        table = self._frame(
-            [
-                self._bounds_field(),
-                T.StructField("_targets", T.ArrayType(T.ArrayType(T.IntegerType()))),
-            ],
-            rows,
-        )
-        out = (
-            df.join(table, _match(self.by), "left")
-            .withColumn(
-                "_to",
-                F.when(F.col("_bounds").isNull(), F.array(F.lit(0))).otherwise(
-                    F.get("_targets", _piece(self.order, self._most_bounds()))
-                ),
-            )
-            .select("*", F.posexplode("_to").alias("_at", "_chunk"))
-            .withColumn("_home", F.col("_at") == 0)
-            .drop("_targets", "_to", "_at")
-        )
-        return self._drop_keys(out)
-
 
 def find_hot(
     df: DataFrame, by: Sequence[str], order: str, limit: int | None = None
 ) -> HotGroups | None:
-    """Groups of ``df`` above the row limit, or None. ``order`` is numeric, a date or a time."""
+    """Whether a group of ``df`` is above the row limit: ``HotGroups``, or None."""
     limit = limit or row_limit(df)
-    by = list(by)
+    large = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
+    return HotGroups(df, by, order, limit) if large.limit(1).count() else None
+
+
+def _cut_points(hot: HotGroups) -> list[tuple[tuple, list, list[int], list[int]]]:
+    df, by, order, limit = hot.df, hot.by, hot.order, hot.limit
+    entries = []
     large = (
         df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit).collect()
     )
-    if not large:
-        return None
-    hot = HotGroups(df, by, order, limit)
     # groups of like size share one pass, so cuts in total stay within 4 * PIECES * rows / limit
     size_classes: dict[int, list] = defaultdict(list)
     for row in large:
@@ -179,8 +159,8 @@ def find_hot(
                     chunk, filled = chunk + 1, 0
                 filled += size
                 chunk_of.append(chunk)
-            hot.entries.append((key, bounds, sizes[key], chunk_of))
-    return hot
+            entries.append((key, bounds, sizes[key], chunk_of))
+    return entries
 
 
 def with_lookback(
@@ -193,15 +173,19 @@ def with_lookback(
 ) -> DataFrame:
     """Apply ``add(df, window)`` whose frames reach at most ``lookback`` rows back.
 
-    A ``HotGroups`` passed in must have been found on these very rows, as its counts decide how many
-    rows are copied in front of each chunk.
+    With a large group, rows are numbered in order, every chunk gets equally many of them, and the
+    last ``lookback`` rows before a chunk join it too.
     """
     if hot == AUTO:
         hot = find_hot(df, by, order[0])
     if hot is None:
         return add(df, Window.partitionBy(*by).orderBy(*order))
-    window = Window.partitionBy(*by, "_chunk").orderBy(*order)
-    return add(hot.expand(df, lookback), window).filter("_home").drop("_chunk", "_home")
+    size = max(hot.limit, lookback)
+    numbered = running(df, by, order, sums={"_row": F.lit(1).cast("bigint")}, hot=hot)
+    own, last = (F.floor((F.col("_row") - 1 + n) / size) for n in (0, lookback))
+    cut = numbered.withColumn("_chunk", F.explode(F.sequence(own, last))).withColumn("_home", F.col("_chunk") == own)
+    window = Window.partitionBy(*by, "_chunk").orderBy(*order, "_row")
+    return add(cut, window).filter("_home").drop("_chunk", "_home", "_row")
 
 
 def running(
@@ -241,9 +225,11 @@ def running(
     if hot is None:
         return df.withColumns(frames(Window.partitionBy(*by).orderBy(*order)))
 
-    parts = hot.assign(df)
+    # written, so that a range keeps its number whatever is computed again later
+    ranges = df.repartitionByRange(*[F.col(c).asc() for c in (*by, *order)])
+    parts = cut_lineage(ranges.withColumn("_chunk", F.spark_partition_id()))
     at = F.struct(*order)
-    totals = hot.only(parts).groupBy(*by, "_chunk").agg(
+    totals = parts.groupBy(*by, "_chunk").agg(
         *[F.sum(x).alias(name) for name, x in sums.items()],
         *[
             F.max_by(x, F.when((F.col(x) if isinstance(x, str) else x).isNotNull(), at)).alias(name)
@@ -258,10 +244,7 @@ def running(
         *[F.last(name, ignorenulls=True).over(before).alias(f"_carry_{name}") for name in fills],
     )
     local = parts.withColumns(frames(Window.partitionBy(*by, "_chunk").orderBy(*order)))
-    # one carry row per chunk of a hot group: bounded by all rows / row limit
-    out = local.join(
-        F.broadcast(carry), _match(by) & (F.col("_chunk") == F.col("_key_chunk")), "left"
-    )
+    out = local.join(carry, _match(by) & (F.col("_chunk") == F.col("_key_chunk")), "left")
     fixed = {
         name: F.when(
             F.col(name).isNotNull() | F.col(f"_carry_{name}").isNotNull(),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from statloom.operators import hotgroups as hg
 from statloom.operators.crosssection import average_rank, demean_and_scale
+from statloom.operators.encode import code_table
 from statloom.operators.rolling import rolling, rolling_z
 from statloom.operators.windows import (
     expanding,
@@ -91,6 +92,23 @@ def test_cut_windows_equal_plain_windows(series, spark, op):
     both(series, spark, op)
 
 
+@pytest.mark.parametrize("column", ["word", "flag"])
+def test_order_of_any_type_works_above_the_limit(series, spark, column):
+    d = series.withColumns({"word": F.concat(F.lit("w"), F.col("t").cast("string")), "flag": F.col("t") > 30})
+    both(d, spark, lambda d: number_rows(d, BY, [column, "id"], "rn"))
+    both(d, spark, lambda d: shifted(d, BY, [column, "id"], ["x"], [1, 7, 90]))
+
+
+def test_text_levels_above_the_limit_get_codes(spark):
+    spark.conf.set(hg.LIMIT_CONF, "50")
+    try:
+        words = spark.range(300).select(F.format_string("w%03d", "id").alias("w"))
+        got = {r["value"]: r["code"] for r in code_table(words, "w").collect()}
+    finally:
+        spark.conf.unset(hg.LIMIT_CONF)
+    assert got == {f"w{k:03}": k for k in range(300)}
+
+
 def test_running_over_everything(series, spark):
     spark.conf.set(hg.LIMIT_CONF, "100")
     try:
