@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -45,3 +45,8 @@ def lowered(text: bytes) -> bytes:
 def id_remainder(name: str, divisor: int) -> Column:
     """crc32 of the id written as text, modulo ``divisor`` (null id: of the empty text)."""
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % divisor
+
+
+def row_of(docs: DataFrame, keep: Sequence[str] | None = None) -> Column:
+    """The columns ``keep`` of ``docs`` (all) as one struct ``row``, where no name clashes with a result's."""
+    return F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]).alias("row")

@@ -8,7 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import chat, contamination, jaccard, language_model, linedup, mixing, quality, secrets, token_files, topk
+from statloom.llm import (
+    chat,
+    contamination,
+    filter_audit,
+    jaccard,
+    language_model,
+    licenses,
+    linedup,
+    mixing,
+    quality,
+    resampling,
+    secrets,
+    token_files,
+    topk,
+)
 from statloom.llm.common import table
 from statloom.session import shared_folder
 
@@ -250,3 +264,114 @@ def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 def op7_language_model(spark: SparkSession, folder: str) -> DataFrame:
     scored = language_model.score(table(spark, folder, "documents"))
     return scored.withColumn("held_out", language_model.held_out())
+
+
+AUDIT_SQL = """
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+read AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+  min(doc_id) OVER (PARTITION BY t) AS first FROM texts),
+told AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+judged AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [
+    len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first, false)] AS fails FROM read LEFT JOIN told USING (doc_id)),
+counted AS (SELECT part, fails, good, toxic, count(*) AS n FROM judged GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+orders AS (SELECT a.c || b.c || d.c || e.c || f.c AS filter_order FROM letters a, letters b, letters d, letters e, letters f
+  WHERE len(list_distinct([a.c, b.c, d.c, e.c, f.c])) = 5),
+places AS (SELECT filter_order, CAST(step AS INTEGER) AS step, ascii(filter_order[step]) - 64 AS f,
+  list_transform(string_split(filter_order[1:step - 1], ''), lambda x: ascii(x) - 64) AS earlier
+  FROM orders, (SELECT unnest(generate_series(1, 5)) AS step)),
+met AS (SELECT part, filter_order, step, f, n, good, toxic, fails[f] AS failing, fails,
+  step > 1 AND len(list_filter(earlier, lambda x: coalesce(fails[x], false))) > 0 AS gone FROM counted, places),
+stepped AS (SELECT part, filter_order, step, f,
+  CAST(sum(CASE WHEN NOT gone AND NOT failing THEN n ELSE 0 END) AS BIGINT) AS kept,
+  CAST(sum(CASE WHEN NOT gone AND failing THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN gone AND failing THEN n ELSE 0 END) AS BIGINT) AS redundant,
+  CAST(sum(CASE WHEN failing AND len(list_filter(fails, lambda x: x)) = 1 THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN NOT gone AND failing AND good THEN n ELSE 0 END) AS BIGINT) AS good_lost,
+  CAST(sum(CASE WHEN NOT gone AND failing AND toxic THEN n ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM met GROUP BY ALL)
+SELECT * EXCLUDE (f), CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM stepped
+"""
+
+
+@query("op13_filter_audit", AUDIT_SQL)
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def _licenses_sql() -> str:
+    phrases = ", ".join(f"('{label}', string_split('{p}', ' '))" for p, label in licenses.PHRASES.items())
+    templates = ", ".join(f"('{label}', list_distinct(string_split('{p}', ' ')))" for p, label in licenses.TEMPLATES.items())
+    return rf"""
+WITH read AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{licenses.SEPARATORS}'), lambda x: x <> '') AS w FROM documents),
+phrases(label, line) AS (VALUES {phrases}),
+templates(label, words) AS (VALUES {templates}),
+starts AS (SELECT r, w, unnest(generate_series(0, len(w) - 1)) AS s FROM read),
+places AS (SELECT r, s, label FROM starts JOIN phrases ON w[s + 1] = line[1] WHERE w[s + 1:s + len(line)] = line),
+blocks AS (SELECT r, w[s + 1:s + {licenses.BLOCK}] AS b FROM starts WHERE s % {licenses.STRIDE} = 0),
+met AS (SELECT r, label, len(list_intersect(words, b)) / len(words) AS share FROM blocks, templates
+  WHERE len(list_intersect(words, b)) >= ceil(round({licenses.LEAST} * len(words), 9))),
+base AS (SELECT r, count(*) AS n, min(s) AS first_word, max(s) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM places GROUP BY r),
+named AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM (SELECT r, label, 1.0 AS share FROM places UNION ALL SELECT * FROM met) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM read LEFT JOIN base USING (r) LEFT JOIN named USING (r)
+"""
+
+
+@query("op11_license_scan", _licenses_sql())
+def op11_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(table(spark, folder, "documents"), keep=["doc_id"])
+    base = F.filter("spans", lambda s: s["phrase"])
+    starts = F.transform(base, lambda s: s["start"].cast("long"))
+    return found.select(
+        "row.doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        licenses.labels(base).alias("base_labels"),
+        licenses.labels(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["share"])), F.lit(0.0)).alias("score"),
+    )
+
+
+RESAMPLING_SQL = f"""
+WITH RECURSIVE told AS (
+  SELECT 0 AS kind, doc_id, row_number() OVER () AS r, text FROM documents UNION ALL SELECT 1, NULL, row_number() OVER (), text FROM benchmark),
+read AS (SELECT kind, doc_id, r, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM told),
+runs AS (SELECT kind, r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM read, (VALUES (1), (2), (3)) AS v(n)),
+counted AS (SELECT kind, r, array_to_string(w[i:i + n - 1], ' ') AS feature, count(*) AS n FROM runs GROUP BY ALL),
+bits AS (SELECT b, b AS c, 0 AS k FROM (SELECT unnest(generate_series(0, 255)) AS b)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+lookup AS (SELECT b, c FROM bits WHERE k = 8),
+hashed AS (SELECT DISTINCT feature, hex(encode(feature)) AS h, CAST(4294967295 AS BIGINT) AS c, 0 AS p FROM counted
+  UNION ALL SELECT feature, h, xor(hashed.c >> 8, lookup.c), p + 1 FROM hashed
+    JOIN lookup ON lookup.b = xor(hashed.c & 255, CAST('0x' || h[2 * p + 1:2 * p + 2] AS BIGINT)) WHERE 2 * p < length(h)),
+buckets AS (SELECT feature, xor(c, 4294967295) % {resampling.BUCKETS} AS bucket FROM hashed WHERE 2 * p = length(h)),
+placed AS (SELECT kind, r, bucket, sum(n) AS n FROM counted JOIN buckets USING (feature) GROUP BY ALL),
+sums AS (SELECT bucket, coalesce(sum(n) FILTER (kind = 0), 0) AS s, coalesce(sum(n) FILTER (kind = 1), 0) AS t FROM placed GROUP BY bucket),
+gains AS (SELECT bucket, floor({resampling.SCALE} * ln((t + 1.0::DOUBLE) * ((SELECT sum(s) FROM sums) + {resampling.BUCKETS})
+  / ((s + 1.0::DOUBLE) * ((SELECT sum(t) FROM sums) + {resampling.BUCKETS})))) AS gain FROM sums),
+weights AS (SELECT r, CAST(sum(n * gain) AS BIGINT) AS weight FROM placed JOIN gains USING (bucket) WHERE kind = 0 GROUP BY r),
+scored AS (SELECT doc_id, r, len(w) AS n_words, coalesce(weight, 0) AS weight,
+    CAST(greatest(len(w), 0) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0) AS BIGINT) AS n_features,
+    coalesce(weight, 0) + CAST(floor(-{resampling.SCALE} * ln(-ln((CAST('0x' || substr(sha256('{resampling.SEED}:'
+      || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM read LEFT JOIN weights USING (r) WHERE kind = 0),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, r) AS rank, count(*) OVER () AS n
+  FROM scored WHERE n_words >= {resampling.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= {resampling.PERCENT} * n // 100 THEN rank END AS rank
+FROM scored LEFT JOIN ranked USING (r)
+"""
+
+
+@query("op12_importance_resampling", RESAMPLING_SQL)
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    found = resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"), keep=["doc_id"])
+    return found.select("row.doc_id", "n_features", "weight", "score", "rank")
