@@ -13,6 +13,7 @@ from statloom.operators import aggregate as ag
 from statloom.operators import joins as jn
 from statloom.operators import project as pr
 from statloom.operators.hotgroups import with_group_stats
+from statloom.operators.selection import quantiles
 from statloom.sources.files import load_table
 
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -599,7 +600,7 @@ def price_histogram(spark, d):
     "value",
 )
 def value_quantiles(spark, d):
-    return ag.quantiles(load_table(spark, d, "events", ["event_type", "value"]), ["event_type"], "value", [0.05, 0.5, 0.95])
+    return quantiles(load_table(spark, d, "events", ["event_type", "value"]), ["event_type"], "value", [0.05, 0.5, 0.95])
 
 
 @query(

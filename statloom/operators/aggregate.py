@@ -8,7 +8,8 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.operators.hotgroups import running, with_group_stats
+from statloom.operators.hotgroups import with_group_stats
+from statloom.operators.selection import quantiles
 
 
 def conversion_rates(
@@ -79,43 +80,6 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], by: Sequence[str]
     return wide.select(*by, F.inline(F.array(*cells)))
 
 
-def quantiles(
-    df: DataFrame, by: Sequence[str], value: str, points: Sequence[float]
-) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per (group, point).
-
-    Equal values are counted before the shuffle and ranks run over the distinct values, so neither a
-    repeated value nor a large group has to fit in one task.
-    """
-    by = list(by)
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    ranked = running(counts, by, ["_value"], sums={"_upto": "_n"})
-    # totals come from the rows themselves: counting them needs neither the ranks nor the values
-    if by:
-        totals = df.groupBy(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(by)]).agg(F.count(value).alias("_total"))
-        same = F.lit(True)
-        for i, c in enumerate(by):
-            same = same & F.col(c).eqNullSafe(F.col(f"_key{i}"))
-        ranked = ranked.join(totals, same)
-    else:
-        ranked = ranked.withColumn("_total", df.agg(F.count(value)).scalar())
-    wanted = F.explode(F.array(*[F.lit(float(p)) for p in points]))
-    at = (F.col("_total") - 1) * F.col("point")
-    low, high = F.floor(at), F.ceil(at)
-    covers = lambda pos: (pos >= F.col("_upto") - F.col("_n")) & (pos < F.col("_upto"))
-    hits = ranked.select("*", wanted.alias("point")).filter(covers(low) | covers(high))
-    ends = hits.groupBy(*by, "point").agg(
-        F.min("_value").alias("_lo"), F.max("_value").alias("_hi"), F.max(at - low).alias("_f")
-    )
-    return ends.select(
-        *by, "point", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("value")
-    )
-
-
 def _long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], list(columns), "variable", "value"

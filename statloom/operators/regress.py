@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.functions.scalar import bucket_label, half_even
-from statloom.operators.aggregate import quantiles
+from statloom.operators.selection import quantiles
 
 INTERCEPT = "(intercept)"
 
