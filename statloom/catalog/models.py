@@ -8,6 +8,7 @@ from statloom.catalog.registry import query
 from statloom.functions.scalar import start_lanes, with_uniform
 from statloom.operators import encode as en
 from statloom.operators import learn
+from statloom.operators.ann import approximate_nearest, recall
 from statloom.operators.fuzzy import fuzzy_left_join, similar_pairs
 from statloom.operators.knn import nearest, price_path, weighted_estimate
 from statloom.operators.joins import lookup
@@ -338,6 +339,40 @@ def weighted_price_estimate(spark, d):
     return price_path(guess, "share", 95.5, (104, 113.5), digits=None)
 
 
+def order_points(spark, d):
+    """Orders by price, day and lines, scaled within their priority: open ones are compared with closed ones."""
+    from statloom.operators.aggregate import standardise
+
+    lines = load_table(spark, d, "lineitem", ["l_orderkey"]).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("lines"))
+    orders = load_table(spark, d, "orders", ["o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice", "o_orderdate"])
+    rows = lookup(orders.withColumn("day", F.unix_date(F.to_date("o_orderdate"))), lines, ["o_orderkey"], ["lines"]).fillna(0, ["lines"])
+    features = ["o_totalprice", "day", "lines"]
+    scaled = cut_lineage(standardise(rows, ["o_orderpriority"], features).select("o_orderkey", "o_orderstatus", "o_orderpriority", *[f"{f}_z" for f in features]))
+    subjects = scaled.filter(F.col("o_orderstatus") == "P").withColumnRenamed("o_orderkey", "subject")
+    return subjects, scaled.filter(F.col("o_orderstatus") != "P"), [f"{f}_z" for f in features]
+
+
+@query("approximate_orders")
+def approximate_orders(spark, d):
+    subjects, pool, features = order_points(spark, d)
+    return approximate_nearest(subjects, pool, ["o_orderpriority"], features, 5, "subject", "o_orderkey")
+
+
+@query(
+    "approximate_orders_recall",
+    """WITH s AS (SELECT o_orderpriority, count(*) AS a FROM orders WHERE o_orderstatus = 'P' GROUP BY 1),
+            c AS (SELECT o_orderpriority, count(*) AS b FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1)
+       SELECT o_orderpriority, CAST(a * least(b, 5) AS BIGINT) AS n, true AS enough FROM s JOIN c USING (o_orderpriority)""",
+)
+def approximate_orders_recall(spark, d):
+    """At least 0.9 of the exact neighbours of all open orders are found, in every segment."""
+    subjects, pool, features = order_points(spark, d)
+    found = approximate_nearest(subjects, pool, ["o_orderpriority"], features, 5, "subject", "o_orderkey")
+    exact = nearest(subjects, pool, ["o_orderpriority"], features, 5, "subject", "o_orderkey")
+    measured = recall(found, exact, ["o_orderpriority"], "subject")
+    return measured.select("o_orderpriority", "n", (F.col("recall") >= 0.9).alias("enough"))
+
+
 # ---- names ---------------------------------------------------------------------------------------
 
 

@@ -108,8 +108,25 @@ def nearest(
         .select(*cells, "_sid", *features)
     )
 
+    found = closest_in_cells(visits, placed, segment, cells, features, k, block_rows)
+    best = top_per_group(found, [*segment, "_sid"], ["distance", "_cid"], k, rank="position")
+    return best.select(
+        *segment, F.col("_sid").alias(subject), "position", F.col("_cid").alias(match), "distance"
+    )
+
+
+def closest_in_cells(
+    visits: DataFrame, placed: DataFrame, segment: Sequence[str], cells: Sequence[str], features: Sequence[str], k: int, block_rows: int
+) -> DataFrame:
+    """segment, _sid, _cid, distance: of every cell that a subject visits at least its ``k`` closest candidates.
+
+    ``visits`` has ``cells``, _sid and the features, ``placed`` the same with _cid. Cells of any size are
+    met in blocks of about ``block_rows`` rows on both sides; each pair of blocks gives k rows a subject.
+    """
+    segment, cells, features = list(segment), list(cells), list(features)
+    sizes = placed.groupBy(*cells).agg(F.count(F.lit(1)).alias("_n"))
     # block counts on both sides keep every task's share bounded
-    blocks = reach.join(visits.groupBy(*cells).agg(F.count(F.lit(1)).alias("_v")), cells).select(
+    blocks = sizes.join(visits.groupBy(*cells).agg(F.count(F.lit(1)).alias("_v")), cells).select(
         *cells,
         F.ceil(F.col("_n") / block_rows).cast("int").alias("_cblocks"),
         F.ceil(F.col("_v") / block_rows).cast("int").alias("_vblocks"),
@@ -157,11 +174,7 @@ def nearest(
             parts.append(pd.DataFrame(part))
         return pd.concat(parts, ignore_index=True)
 
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(closest_in_block, schema)
-    best = top_per_group(found, [*segment, "_sid"], ["distance", "_cid"], k, rank="position")
-    return best.select(
-        *segment, F.col("_sid").alias(subject), "position", F.col("_cid").alias(match), "distance"
-    )
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(closest_in_block, schema)
 
 
 def weighted_estimate(
