@@ -9,6 +9,7 @@ from statloom.functions.scalar import start_lanes, with_uniform
 from statloom.operators import encode as en
 from statloom.operators import learn
 from statloom.operators.ann import approximate_nearest, recall
+from statloom.operators.dependence import grid_points, partial_dependences
 from statloom.operators.fuzzy import fuzzy_left_join, similar_pairs
 from statloom.operators.knn import nearest, price_path, weighted_estimate
 from statloom.operators.joins import lookup
@@ -449,10 +450,10 @@ def grid_search_scores(spark, d):
 
 @query("partial_dependence")
 def partial_dependence(spark, d):
+    """All features at 100 points between their 5th and 95th percentiles, for a forest of 100 trees."""
     train, _ = doc_split(spark, d)
-    model = learn.forest(10, 4).fit(train)
-    points = train.agg(F.percentile_approx("words", [0.05, 0.25, 0.5, 0.75, 0.95])).first()[0]
-    return learn.partial_dependence(model, train, DOC_FEATURES, "words", points)
+    model = learn.forest(100, 10).fit(train)
+    return partial_dependences(model, train, DOC_FEATURES, grid_points(train, DOC_FEATURES))
 
 
 @query("many_class_scores")

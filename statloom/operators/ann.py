@@ -55,9 +55,9 @@ def approximate_nearest(
     k: int,
     subject: str,
     candidate: str,
-    tables: int = 4,
+    tables: int = 3,
     directions: int = 2,
-    probes: int = 5,
+    probes: int = 4,
     bucket_rows: int = 1024,
     block_rows: int = BLOCK_ROWS,
     seed: int = 29,

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.scalar import MIX_MODULUS, with_lanes
-from statloom.operators.hotgroups import running
 from statloom.operators.windows import number_rows
 
 HASH_CELLS = 1024
@@ -57,12 +56,14 @@ def stratified_split(
     """
     keyed = with_lanes(df, "_lane_a", "_lane_b", seed, key)
     rows = keyed.withColumn("_place", F.col("_lane_a") * MIX_MODULUS + F.col("_lane_b")).drop("_lane_a", "_lane_b")
-    rows = rows.withColumn(
-        "_cell", F.floor(F.col("_place") / (MIX_MODULUS * MIX_MODULUS // HASH_CELLS)).cast("int")
-    )
+    # never NULL: a test for NULL would be pushed below the scrambling steps, each of which reads the one
+    # before it more than once, and be written out in full
+    cell = F.floor(F.col("_place") / (MIX_MODULUS * MIX_MODULUS // HASH_CELLS)).cast("int")
+    rows = rows.withColumn("_cell", F.coalesce(cell, F.lit(-1)))
     cells = rows.groupBy(label, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     quota = cells.groupBy(label).agg(F.bround(F.sum("_n") * fraction).cast("bigint").alias("_quota"))
-    filled = running(cells, [label], ["_cell"], sums={"_upto": "_n"})
+    # a label has at most HASH_CELLS + 1 cells
+    filled = cells.withColumn("_upto", F.sum("_n").over(Window.partitionBy(label).orderBy("_cell")))
     last_cell = (
         filled.join(quota, label)
         .filter((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_n") < F.col("_quota")))

@@ -39,3 +39,12 @@ def test_text_keys_and_partitioning(spark):
     one = with_uniform(ids, "u", 9, "key").orderBy("id").collect()
     two = with_uniform(ids.repartition(7), "u", 9, "key").orderBy("id").collect()
     assert one == two and 0.45 < np.mean([r["u"] for r in one]) < 0.55 and len({r["u"] for r in one}) == 1000
+
+
+def test_split_plan_does_not_write_out_the_scrambling(spark):
+    """No expression of the optimised plan grows with the power of the scrambling steps."""
+    from statloom.operators.encode import stratified_split
+
+    rows = spark.range(100).withColumn("label", F.col("id") % 3)
+    plan = stratified_split(rows, "label", "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert max(map(len, plan.splitlines())) < 2000
