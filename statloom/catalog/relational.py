@@ -12,6 +12,7 @@ from statloom.functions.text import dotted_name
 from statloom.operators import aggregate as ag
 from statloom.operators import joins as jn
 from statloom.operators import project as pr
+from statloom.operators.gram import wide_correlations
 from statloom.operators.hotgroups import with_group_stats
 from statloom.operators.selection import quantiles
 from statloom.sources.files import load_table
@@ -569,6 +570,20 @@ def correlations(spark, d):
     return ag.correlation_matrix(li, NUMERIC)
 
 
+@query(
+    "embedding_correlations",
+    """WITH v AS (SELECT vec_id, i, CASE WHEN (vec_id + i) % 7 <> 0 THEN CAST(embedding[i + 1] AS DOUBLE) END AS x
+              FROM embeddings, (SELECT unnest(generate_series(0, 63)) AS i))
+       SELECT 'c' || a.i AS var1, 'c' || b.i AS var2, corr(a.x, b.x) AS r FROM v a JOIN v b USING (vec_id) GROUP BY ALL""",
+    "r",
+)
+def embedding_correlations(spark, d):
+    """All components of the embeddings against each other, a seventh of them missing."""
+    vectors = load_table(spark, d, "embeddings", ["vec_id", "embedding"])
+    columns = {f"c{i}": F.when((F.col("vec_id") + i) % 7 != 0, F.get("embedding", F.lit(i)).cast("double")) for i in range(64)}
+    return wide_correlations(vectors.select(*[c.alias(n) for n, c in columns.items()]), list(columns))
+
+
 def _profile_sql():
     one = """SELECT '{c}' AS variable, count({c}) AS n, count(*) - count({c}) AS missing, avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS min,
              quantile_cont({c}, 0.25) AS q25, quantile_cont({c}, 0.5) AS q50, quantile_cont({c}, 0.75) AS q75, max({c}) AS max, skewness({c}) AS skew
