@@ -248,3 +248,91 @@ def alpha_statistics(spark, d):
     bench = rets.filter(F.col("symbol") == BENCH).select("ts", F.col("ret").alias("bench"))
     _, alpha = bt.alpha_test(series.select("ts", "ret").join(bench, "ts", "left"), "ts", "ret", "bench")
     return bt.alpha_stats(alpha, "bench", strategy.HOURS_PER_YEAR)
+
+
+# ---- the strategy at its own windows and settings --------------------------------------------------
+
+# The events last 30 days: too few hours for windows of 8,760 rows, but enough minutes.
+FULL_BETA, FULL_MA, FULL_Z, FULL_LIMIT, PERIODS = 365 * 24, 72, 365 * 12, 3.0, 365 * 24 * 60
+FULL_SWEEP = ([60, 72, 84, 96], [365 * z for z in (12, 24, 48, 60)], [2.5, 2.75, 3.0, 3.25, 3.5])
+
+
+def minute_returns(spark, d):
+    ev = load_table(spark, d, "events", ["ts", "event_type", "value"])
+    bars = ev.groupBy(F.date_trunc("minute", "ts").alias("ts"), F.col("event_type").alias("symbol")).agg(F.avg("value").alias("close"))
+    return strategy.panel_returns(strategy.price_panel(bars, step="1 minute"))
+
+
+def _full_book_sql(mas, zs, limits) -> str:
+    """Weights and portfolio returns of all settings, long form."""
+    ma = " UNION ALL ".join(
+        f"SELECT {m} AS ma_window, ts, symbol, CASE WHEN count(*) OVER w = {m} THEN avg(resid) OVER w END AS ma FROM res WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS {m - 1} PRECEDING)"
+        for m in mas
+    )
+    z = " UNION ALL ".join(
+        f"SELECT ma_window, {z} AS z_window, ts, symbol, ma, CASE WHEN count(*) OVER w = {z} THEN (ma - avg(ma) OVER w) / stddev_samp(ma) OVER w END AS z FROM ma WINDOW w AS (PARTITION BY ma_window, symbol ORDER BY ts ROWS {z - 1} PRECEDING)"
+        for z in zs
+    )
+    at = "ma_window, z_window, threshold"
+    return f"""WITH bars AS (SELECT date_trunc('minute', ts) AS ts, event_type AS symbol, avg(value) AS close FROM events GROUP BY 1, 2),
+    span AS (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 1 MINUTE)) AS ts FROM bars),
+    grid AS (SELECT span.ts, s.symbol FROM span CROSS JOIN (SELECT DISTINCT symbol FROM bars) s),
+    prices AS (SELECT g.ts, g.symbol, last_value(b.close IGNORE NULLS) OVER (PARTITION BY g.symbol ORDER BY g.ts ROWS UNBOUNDED PRECEDING) AS price
+               FROM grid g LEFT JOIN bars b ON g.ts = b.ts AND g.symbol = b.symbol),
+    raw AS (SELECT ts, symbol, price / lag(price) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret FROM prices),
+    rets AS (SELECT * FROM raw WHERE ts IN (SELECT ts FROM raw GROUP BY ts HAVING count(ret) = (SELECT count(DISTINCT symbol) FROM prices))),
+    j AS (SELECT r.ts, r.symbol, r.ret, b.ret AS bench FROM rets r JOIN rets b ON b.ts = r.ts AND b.symbol = '{BENCH}' WHERE r.symbol <> '{BENCH}'),
+    res AS (SELECT * FROM (SELECT ts, symbol, CASE WHEN count(*) OVER w = {FULL_BETA} THEN ret - covar_samp(ret, bench) OVER w / var_samp(bench) OVER w * bench END AS resid
+            FROM j WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS {FULL_BETA - 1} PRECEDING)) WHERE resid IS NOT NULL),
+    ma AS (SELECT * FROM ({ma}) WHERE ma IS NOT NULL),
+    sig AS (SELECT ma_window, z_window, ts, symbol, z, ma * z AS signal FROM ({z}) WHERE z IS NOT NULL),
+    masked AS (SELECT ma_window, z_window, threshold, ts, symbol, CASE WHEN abs(z) >= threshold THEN signal ELSE 0.0 END AS m
+               FROM sig, (SELECT unnest({list(map(float, limits))}::DOUBLE[]) AS threshold)),
+    rk AS (SELECT {at}, ts, symbol, rank() OVER (PARTITION BY {at}, ts ORDER BY m) + (count(*) OVER (PARTITION BY {at}, ts, m) - 1) / 2.0::DOUBLE AS r FROM masked),
+    c AS (SELECT {at}, ts, symbol, r - avg(r) OVER (PARTITION BY {at}, ts) AS c FROM rk),
+    wt AS (SELECT * FROM (SELECT {at}, ts, symbol, c / nullif(sum(abs(c)) OVER (PARTITION BY {at}, ts), 0) AS weight FROM c) WHERE weight IS NOT NULL),
+    held AS (SELECT *, lag(weight) OVER (PARTITION BY {at}, symbol ORDER BY ts) AS before FROM wt),
+    earned AS (SELECT {at}, h.ts, coalesce(sum(before * ret), 0.0) AS ret, sum(abs(weight - coalesce(before, 0))) AS turnover
+               FROM held h LEFT JOIN rets r ON r.ts = h.ts AND r.symbol = h.symbol GROUP BY {at}, h.ts),
+    firsts AS (SELECT {at}, min(ts) AS first FROM wt GROUP BY {at}),
+    cal AS (SELECT {at}, t.ts FROM firsts, (SELECT DISTINCT ts FROM rets) t WHERE t.ts >= first),
+    port AS (SELECT {at}, ts, coalesce(ret, 0.0) AS ret, coalesce(turnover, 0.0) AS turnover FROM cal FULL JOIN earned USING ({at}, ts))"""
+
+
+_ONE_FULL_BOOK = _full_book_sql([FULL_MA], [FULL_Z], [FULL_LIMIT])
+
+
+@query(
+    "full_window_backtest",
+    f"{_ONE_FULL_BOOK} SELECT ts, ret, turnover, ret - turnover * 0.002 AS net FROM port",
+    "ret turnover net",
+)
+def full_window_backtest(spark, d):
+    """The strategy with its windows of 8,760, 72 and 4,380 rows and its threshold of 3, by the minute."""
+    _, series = strategy.backtest(minute_returns(spark, d), BENCH, FULL_BETA, FULL_MA, FULL_Z, FULL_LIMIT)
+    return series
+
+
+@query(
+    "full_window_alpha",
+    f"""{_ONE_FULL_BOOK}, x AS (SELECT p.ts, p.ret, coalesce(r.ret, 0.0) AS bench FROM port p LEFT JOIN rets r ON r.ts = p.ts AND r.symbol = '{BENCH}'),
+        a AS (SELECT bench, ret - (SELECT regr_slope(ret, bench) FROM x) * bench AS alpha FROM x)
+        SELECT avg(alpha) AS alpha_mean, avg(alpha) / stddev_samp(alpha) * sqrt({PERIODS}) AS information_ratio, corr(alpha, bench) AS alpha_benchmark_corr FROM a""",
+    "alpha_mean information_ratio alpha_benchmark_corr",
+)
+def full_window_alpha(spark, d):
+    rets = minute_returns(spark, d)
+    _, series = strategy.backtest(rets, BENCH, FULL_BETA, FULL_MA, FULL_Z, FULL_LIMIT)
+    bench = rets.filter(F.col("symbol") == BENCH).select("ts", F.col("ret").alias("bench"))
+    _, alpha = bt.alpha_test(series.select("ts", "ret").join(bench, "ts", "left"), "ts", "ret", "bench")
+    return bt.alpha_stats(alpha, "bench", PERIODS)
+
+
+@query(
+    "full_parameter_sweep",
+    f"{_full_book_sql(*FULL_SWEEP)} SELECT ma_window, z_window, threshold, avg(ret) / stddev_samp(ret) * sqrt({PERIODS}) AS sharpe FROM port GROUP BY 1, 2, 3",
+    "sharpe",
+)
+def full_parameter_sweep(spark, d):
+    """All 80 settings, by the minute."""
+    return strategy.sweep(minute_returns(spark, d), BENCH, FULL_BETA, *FULL_SWEEP, periods=PERIODS)

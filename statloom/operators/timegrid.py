@@ -25,23 +25,24 @@ def _bar_start(time: str | Column, hours: int, first: dt.datetime) -> Column:
     return F.window(time, f"{hours} hours", startTime=f"{offset} seconds").start
 
 
-def _grid(df: DataFrame, time: str, entity: str, first, last, hours: int) -> DataFrame:
+def _grid(df: DataFrame, time: str, entity: str, first, last, hours: int, step: str | None = None) -> DataFrame:
     kind = df.schema[time].dataType.simpleString()
     stamps = F.expr(
-        f"sequence(cast('{first}' as {kind}), cast('{last}' as {kind}), interval {hours} hours)"
+        f"sequence(cast('{first}' as {kind}), cast('{last}' as {kind}), interval {step or f'{hours} hours'})"
     )
     return df.select(entity).distinct().select(F.explode(stamps).alias(time), entity)
 
 
-def regular_grid(df: DataFrame, time: str, entity: str, hours: int = 1) -> DataFrame:
+def regular_grid(df: DataFrame, time: str, entity: str, hours: int = 1, step: str | None = None) -> DataFrame:
     """One row per entity and time step between the first and last time of the whole table.
 
-    Only the first and last timestamps reach the driver; the grid itself is generated per entity.
+    ``step`` ("1 minute") stands for steps that are not whole hours. Only the first and last timestamps
+    reach the driver; the grid itself is generated per entity.
     """
     span = _span(df, time)
     if span is None:
         return df
-    grid = _grid(df, time, entity, *span, hours)
+    grid = _grid(df, time, entity, *span, hours, step)
     return grid.join(df, [time, entity], "left")
 
 

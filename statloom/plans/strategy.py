@@ -33,10 +33,16 @@ from statloom.session import cut_lineage
 HOURS_PER_YEAR = 365 * 24
 
 
-def price_panel(bars: DataFrame, price: str = "close") -> DataFrame:
-    """Hourly prices on a regular grid, gaps carried forward."""
+def price_panel(bars: DataFrame, price: str = "close", step: str | None = None) -> DataFrame:
+    """Prices on a regular grid, hourly or of another ``step``, gaps carried forward."""
     panel = bars.select("ts", "symbol", F.col(price).cast("double").alias("price"))
-    return forward_fill(regular_grid(panel, "ts", "symbol"), ["symbol"], ["ts"], ["price"])
+    return forward_fill(regular_grid(panel, "ts", "symbol", step=step), ["symbol"], ["ts"], ["price"])
+
+
+def panel_returns(prices: DataFrame) -> DataFrame:
+    """Returns from row to row at the times where every symbol has one, whatever the step of the grid."""
+    returns = simple_return(prices, ["symbol"], ["ts"], "price", "ret").select("ts", "symbol", "ret")
+    return cut_lineage(complete_cross_sections(cut_lineage(returns), "ts", "symbol", "ret"))
 
 
 def hourly_returns(prices: DataFrame, last_day: dt.date | None = None, hours: int = 1) -> DataFrame:
