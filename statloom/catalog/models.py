@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from statloom.catalog.registry import query
 from statloom.functions.scalar import start_lanes, with_uniform
 from statloom.operators import encode as en
-from statloom.operators import learn
+from statloom.operators import histtrees, learn
 from statloom.operators.ann import approximate_nearest, recall
 from statloom.operators.dependence import grid_points, partial_dependences
 from statloom.operators.fuzzy import fuzzy_left_join, similar_pairs
@@ -470,3 +470,47 @@ def many_class_scores(spark, d):
     train, test = gamepoints.training_rows(rows, "code", "o_orderkey", ["price", "month", "year"])
     model = learn.many_class_boosted_trees(rounds=3, depth=3, rate=0.1).fit(cut_lineage(train))
     return learn.micro_scores(model.transform(test))
+
+
+# ---- boosted trees on shared bins ------------------------------------------------------------------
+
+# the reference's grid of depths, rates and folds; its rounds are ten times as many (see README)
+GRID = {"rounds": [5, 10, 20], "rate": [0.01, 0.1, 0.2], "depth": [3, 5, 7]}
+
+
+def order_rows(spark, d):
+    orders = load_table(spark, d, "orders", ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate"])
+    coded = en.with_code(orders, "o_orderstatus", en.code_table(orders, "o_orderstatus"))
+    return coded.withColumns(
+        {"price": F.col("o_totalprice"), "month": F.month("o_orderdate").cast("double"), "year": F.year("o_orderdate").cast("double")}
+    )
+
+
+@query("softmax_boosted_scores")
+def softmax_boosted_scores(spark, d):
+    """Three classes on the soft-max objective: 75 rounds of depth 5 at a rate of 0.075."""
+    features = ["price", "month", "year"]
+    train, test = gamepoints.training_rows(order_rows(spark, d), "code", "o_orderkey", features)
+    train, test = cut_lineage(train.drop("features")), cut_lineage(test.drop("features"))
+    bins = histtrees.find_bins(train, features)
+    table = histtrees.bin_rows(train, bins, "label", "o_orderkey")
+    model = histtrees.fit(table, bins, [histtrees.Setting(rounds=75, depth=5, rate=0.075)], classes=3)
+    return learn.micro_scores(histtrees.predicted(model, test))
+
+
+@query("boosted_tree_full_scores")
+def boosted_tree_full_scores(spark, d):
+    """100 rounds of depth 6 at a rate of 0.3."""
+    train, test = doc_split(spark, d)
+    bins = histtrees.find_bins(train, DOC_FEATURES)
+    table = histtrees.bin_rows(train, bins, "label", "doc_id")
+    model = histtrees.fit(table, bins, [histtrees.Setting(rounds=100, depth=6, rate=0.3)])
+    return learn.binary_scores(histtrees.predicted(model, test))
+
+
+@query("boosted_grid_scores")
+def boosted_grid_scores(spark, d):
+    """27 combinations on 5 folds, all trees grown together."""
+    rows = gamepoints.training_rows(doc_rows(spark, d), "quality", "doc_id", DOC_FEATURES, folds=5)[0]
+    train = cut_lineage(rows.drop("features"))
+    return histtrees.search(train, DOC_FEATURES, "label", "doc_id", "fold", 5, GRID)
