@@ -13,7 +13,7 @@ from statloom.operators.dependence import grid_points, partial_dependences
 from statloom.operators.fuzzy import fuzzy_left_join, similar_pairs
 from statloom.operators.knn import nearest, price_path, weighted_estimate
 from statloom.operators.joins import lookup
-from statloom.operators.regress import fit_ols, residual_buckets, residual_shape
+from statloom.operators.regress import fit_ols, fit_ols_by_factors, residual_buckets, residual_shape
 from statloom.plans import gamepoints, loanpool
 from statloom.session import cut_lineage
 from statloom.sources.files import load_table
@@ -56,16 +56,28 @@ def regression_summary(spark, d):
     return fit_ols(line_rows(spark, d), "y", ["a", "b"]).summary_table(spark)
 
 
+@query(
+    "factored_regression",
+    f"""WITH {LINE_X}, {_MOMENTS}, g AS (SELECT *, sqrt(rv * n / (n - 3)) AS sigma, saa * sbb - sab * sab AS det FROM f)
+        SELECT '(intercept)' AS term, c0 AS estimate, c0 / (sigma * sqrt((1 + (ma * ma * sbb - 2 * ma * mb * sab + mb * mb * saa) / det) / n)) AS t_value FROM g
+        UNION ALL SELECT 'a', ca, ca / (sigma * sqrt(sbb / det / n)) FROM g UNION ALL SELECT 'b', cb, cb / (sigma * sqrt(saa / det / n)) FROM g""",
+    "estimate t_value",
+    4,
+)
+def factored_regression(spark, d):
+    return fit_ols_by_factors(line_rows(spark, d), "y", ["a", "b"]).coefficient_table(spark).select("term", "estimate", "t_value")
+
+
 @query("regression_with_p_values")
 def regression_with_p_values(spark, d):
     """t and p need the Student distribution, which SQL lacks."""
-    return fit_ols(line_rows(spark, d), "y", ["a", "b"]).coefficient_table(spark)
+    return fit_ols_by_factors(line_rows(spark, d), "y", ["a", "b"]).coefficient_table(spark)
 
 
 @query("regression_intervals")
 def regression_intervals(spark, d):
     rows = line_rows(spark, d)
-    return fit_ols(rows, "y", ["a", "b"]).predict(rows, 0.95)
+    return fit_ols_by_factors(rows, "y", ["a", "b"]).predict(rows, 0.95)
 
 
 BREAKS, TARGETS = [-1, 5, 10, 15, 20, 25, 30, 50], [-1, 20, 40, 60, 70, 110]

@@ -1,4 +1,5 @@
-"""Ordinary least squares from one aggregation pass, with intervals and residual summaries."""
+"""Ordinary least squares, from one aggregation pass or from merged triangular factors, with intervals
+and residual summaries."""
 
 from __future__ import annotations
 
@@ -9,6 +10,7 @@ from functools import reduce
 from itertools import combinations_with_replacement
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,6 +138,79 @@ def fit_ols(df: DataFrame, target: str, features: Sequence[str]) -> LinearFit:
     )
 
 
+#: Tasks' factors are merged in so many groups before the last merge.
+MERGE_GROUPS = 256
+#: A column whose part that earlier columns do not explain is smaller, relative to its length, is left out.
+DEPENDENT = 1e-10
+
+
+def triangular_factor(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, int] | None:
+    """The factor R of the QR decomposition of (1, columns) over the complete rows, and their number.
+
+    Every batch is reduced to a triangle of (columns + 1)^2 numbers; triangles are stacked and reduced
+    again, inside a task, then in groups of tasks, then in one. Squares of values are never summed, so
+    nearly dependent columns keep all their digits.
+    """
+    width = len(columns) + 1
+
+    def reduce_rows(batches):
+        r, n = np.zeros((0, width)), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.column_stack([np.ones(batch.num_rows), *[c.to_numpy(zero_copy_only=False) for c in batch.columns]])
+            r, n = np.linalg.qr(np.vstack([r, x]), mode="r"), n + batch.num_rows
+        if n:
+            yield pa.RecordBatch.from_pydict({"r": pa.array([r.tobytes()], pa.binary()), "n": pa.array([n], pa.int64())})
+
+    def merge(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(b).reshape(-1, width) for b in table.column("r").to_pylist()]
+        r = np.linalg.qr(np.vstack(parts), mode="r")
+        n = sum(table.column("n").to_pylist())
+        return pa.Table.from_pydict({"r": pa.array([r.tobytes()], pa.binary()), "n": pa.array([n], pa.int64())})
+
+    complete = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]).dropna()
+    parts = complete.mapInArrow(reduce_rows, "r binary, n long")
+    grouped = parts.groupBy((F.spark_partition_id() % MERGE_GROUPS).alias("g")).applyInArrow(merge, "r binary, n long")
+    row = grouped.groupBy(F.lit(0).alias("g")).applyInArrow(merge, "r binary, n long").first()
+    if row is None:
+        return None
+    return np.frombuffer(row["r"]).reshape(-1, width), row["n"]
+
+
+def fit_ols_by_factors(df: DataFrame, target: str, features: Sequence[str]) -> LinearFit:
+    """Like ``fit_ols``, by merged triangular factors: for features that nearly depend on each other."""
+    found = triangular_factor(df, [*features, target])
+    if found is None or found[1] < 2:
+        raise ValueError("a linear fit needs at least two complete rows")
+    r, n = found
+    lengths = np.linalg.norm(r, axis=0)
+    kept = [0]
+    for i in range(1, len(features) + 1):
+        tried = np.linalg.qr(r[:, [*kept, i]], mode="r")
+        if len(tried) > len(kept) and abs(tried[len(kept), len(kept)]) > DEPENDENT * lengths[i]:
+            kept.append(i)
+    r = np.linalg.qr(r[:, [*kept, len(features) + 1]], mode="r")
+    r = np.vstack([r, np.zeros((max(len(kept) + 1 - len(r), 0), len(kept) + 1))])
+    top, right = r[: len(kept), : len(kept)], r[: len(kept), -1]
+    coefficients = np.linalg.solve(top, right)
+    back = np.linalg.solve(top, np.eye(len(kept)))
+    rss, spread = float(r[len(kept), -1] ** 2), float((r[1:, -1] ** 2).sum())
+    free = n - len(kept)
+    r2 = 1 - rss / spread if spread > 0 else float("nan")
+    by_index = dict(zip(kept, map(float, coefficients)))
+    return LinearFit(
+        target=target,
+        features=tuple(features),
+        coefficients=(by_index[0], *[by_index.get(i) for i in range(1, len(features) + 1)]),
+        inverse=back @ back.T,
+        n=n,
+        sigma=math.sqrt(rss / free) if free > 0 else float("nan"),
+        r2=float(r2),
+        adjusted_r2=float(1 - (1 - r2) * (n - 1) / free) if free > 0 else float("nan"),
+    )
+
+
 def residual_buckets(
     predicted: DataFrame, actual: str, pace: float, error_breaks: Sequence[float], target_breaks: Sequence[float]
 ) -> DataFrame:
