@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from statloom.catalog.registry import query
@@ -80,3 +81,29 @@ def parquet_by_flag(spark, d):
     files.write_parquet(files.load_table(spark, d, "lineitem", ["l_returnflag", "l_quantity"]), path, ["l_returnflag"])
     rows = spark.read.parquet(path).filter(F.col("l_returnflag") != "N")
     return rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+def laid_out_orders(spark, d):
+    """Orders and customers, both dealt by customer into eight buckets."""
+    orders = files.load_table(spark, d, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"])
+    customers = files.load_table(spark, d, "customer", ["c_custkey", "c_mktsegment"]).withColumnRenamed("c_custkey", "o_custkey")
+    by, order = ["o_custkey"], ["o_orderdate", "o_orderkey"]
+    return (
+        files.write_laid_out(orders, by, order, 8, _place(spark, "orders")),
+        files.write_laid_out(customers, by, [], 8, _place(spark, "customers")),
+    )
+
+
+@query(
+    "laid_out_totals",
+    """SELECT o_orderkey, o_custkey, c_mktsegment, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS spent
+       FROM orders JOIN customer ON c_custkey = o_custkey""",
+    "spent",
+    4,
+)
+def laid_out_totals(spark, d):
+    """Running totals per customer and the customer's segment, without moving a row."""
+    orders, customers = laid_out_orders(spark, d)
+    spent = F.sum("o_totalprice").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    totals = orders.select("o_orderkey", "o_custkey", spent.alias("spent"))
+    return totals.hint("merge").join(customers, "o_custkey").select("o_orderkey", "o_custkey", "c_mktsegment", "spent")

@@ -160,6 +160,16 @@ def view_by_choices(spark, d):
     )
 
 
+@query(
+    "member_of_many",
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')",
+)
+def member_of_many(spark, d):
+    """Line items of urgent orders: most others are dropped where they are read."""
+    urgent = load_table(spark, d, "orders", ["o_orderkey", "o_orderpriority"]).filter(F.col("o_orderpriority") == "1-URGENT")
+    return pr.one_of_many(load_table(spark, d, "lineitem", LINE_KEY), "l_orderkey", urgent.select("o_orderkey"))
+
+
 @query(
     "member_of_table",
     "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",

@@ -5,6 +5,11 @@ share that many characters, counted with repetition. Treating (letter, occurrenc
 and sorting them rarest first, two sets with a large overlap must already share a few elements among
 their first ones. Names are joined on triples of those first elements, so only pairs that could
 match are ever formed, and none that does match is missed.
+
+Any order of the elements is right as long as both sides use it; the rarest of the two lists come first,
+as they are counted there, so letters that most names share end up in no key. A key that is frequent
+nevertheless is met in blocks: its names are dealt into pieces on either side, and every piece of one side
+meets every piece of the other as a key of its own.
 """
 
 from __future__ import annotations
@@ -17,10 +22,14 @@ from pyspark.sql import functions as F
 
 from statloom.functions.text import jaro_similarity
 from statloom.operators.joins import lookup
+from statloom.session import cut_lineage
 
-# Letters from least to most used in English text; others count as rarest.
-RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate"
 EPS = 1e-9
+#: Elements (letter and occurrence) whose frequency is known; all others count as rarest.
+KNOWN = 400
+#: Names of one key that one block holds of either side.
+BLOCK_CONF = "statloom.nameBlockRows"
+BLOCK = 2_000
 
 
 def _least_overlap(n: float, g: float) -> int:
@@ -38,16 +47,24 @@ def _key_size(g: float, longest: int = 256) -> int:
     return 3
 
 
-def _elements(name: Column) -> Column:
-    """Distinct elements 'rank letter occurrence' of a name, rarest letters first."""
+def _occurrences(name: Column) -> Column:
+    """Distinct elements 'letter occurrence' of a name."""
     letters = F.filter(F.split(name, ""), lambda ch: ch != "")
+    seen = lambda ch, i: F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda x: x == ch))
+    return F.transform(letters, lambda ch, i: F.concat_ws(" ", ch, seen(ch, i).cast("string")))
+
 
-    def element(ch: Column, i: Column) -> Column:
-        seen = F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda x: x == ch))
-        rank = F.instr(F.lit(RARE_FIRST), F.lower(ch))
-        return F.concat_ws(" ", F.lpad(rank.cast("string"), 2, "0"), ch, seen.cast("string"))
+def _common_first(names: DataFrame) -> list[str]:
+    """The ``KNOWN`` most frequent elements, most frequent first."""
+    counts = names.select(F.explode("_el").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    return [r["x"] for r in counts.orderBy(F.desc("n"), "x").limit(KNOWN).collect()]
 
-    return F.array_sort(F.transform(letters, element))
+
+def _rare_first(elements: Column, common: Sequence[str]) -> Column:
+    """Elements as 'rank element', those that are rarest in the lists first."""
+    known = F.array(*map(F.lit, reversed(common))) if common else F.lit([]).cast("array<string>")
+    ranked = lambda x: F.concat_ws(" ", F.lpad(F.array_position(known, x).cast("string"), 4, "0"), x)
+    return F.array_sort(F.transform(elements, ranked))
 
 
 def _keys(elements: Column, g: float, size: int) -> Column:
@@ -71,6 +88,28 @@ def _keys(elements: Column, g: float, size: int) -> Column:
     return F.when(width < size, F.array(F.xxhash64(F.concat_ws("|", elements)))).otherwise(triples)
 
 
+def _in_blocks(l: DataFrame, r: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Add pieces ``_lp`` and ``_rp`` to the key: frequent keys are dealt into several on either side.
+
+    The table of frequent keys has at most (rows / block) rows, and is joined by its size.
+    """
+    block = int(l.sparkSession.conf.get(BLOCK_CONF, str(BLOCK)))
+    count = lambda df, n: df.groupBy(*key).agg(F.count(F.lit(1)).alias(n))
+    both = count(l, "_nl").join(count(r, "_nr"), list(key)).filter((F.col("_nl") > block) | (F.col("_nr") > block))
+    pieces = lambda n: F.ceil(F.col(n) / block).cast("int")
+    heavy = cut_lineage(both.select(*key, pieces("_nl").alias("_ls"), pieces("_nr").alias("_rs")))
+    if not heavy.limit(1).count():
+        one = {"_lp": F.lit(0), "_rp": F.lit(0)}
+        return l.withColumns(one), r.withColumns(one)
+
+    def dealt(df: DataFrame, name: str, own: str, other: str, own_n: str, other_n: str) -> DataFrame:
+        n, m = F.coalesce(own_n, F.lit(1)), F.coalesce(other_n, F.lit(1))
+        out = df.join(heavy, list(key), "left").withColumn(own, F.pmod(F.xxhash64(name), n).cast("int"))
+        return out.withColumn(other, F.explode(F.sequence(F.lit(0), m - 1))).drop("_ls", "_rs")
+
+    return dealt(l, "name_l", "_lp", "_rp", "_ls", "_rs"), dealt(r, "name_r", "_rp", "_lp", "_rs", "_ls")
+
+
 def similar_pairs(
     left: DataFrame,
     right: DataFrame,
@@ -89,25 +128,26 @@ def similar_pairs(
     exact = dict(exact or {})
     size = _key_size(g)
 
-    def side(df: DataFrame, keys: Sequence[str], column: str, tag: str) -> DataFrame:
-        names = df.select(
-            *[F.col(c).alias(f"_e{i}") for i, c in enumerate(keys)], F.col(column).alias(f"name_{tag}")
-        )
-        return (
-            names.dropna()
-            .filter(F.length(f"name_{tag}") > 0)
-            .distinct()
-            .withColumn(f"_el_{tag}", _elements(F.col(f"name_{tag}")))
-            .withColumn("_key", F.explode(F.array_distinct(_keys(F.col(f"_el_{tag}"), g, size))))
-        )
-
     e = [f"_e{i}" for i in range(len(exact))]
-    l = side(left, list(exact.keys()), name[0], "l")
-    r = side(right, list(exact.values()), name[1], "r")
+
+    def listed(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+        names = df.select(*[F.col(c).alias(f"_e{i}") for i, c in enumerate(keys)], F.col(column).alias("_name"))
+        names = names.dropna().filter(F.length("_name") > 0).distinct()
+        return cut_lineage(names.withColumn("_el", _occurrences(F.col("_name"))))
+
+    lists = listed(left, list(exact.keys()), name[0]), listed(right, list(exact.values()), name[1])
+    common = _common_first(lists[0].select("_el").unionByName(lists[1].select("_el")))
+
+    def side(names: DataFrame, tag: str) -> DataFrame:
+        keyed = names.withColumn("_el", _rare_first(F.col("_el"), common))
+        keyed = keyed.withColumn("_key", F.explode(F.array_distinct(_keys(F.col("_el"), g, size))))
+        return cut_lineage(keyed.withColumnsRenamed({"_name": f"name_{tag}", "_el": f"_el_{tag}"}))
+
+    l, r = _in_blocks(side(lists[0], "l"), side(lists[1], "r"), [*e, "_key"])
     nl, nr = F.size("_el_l"), F.size("_el_r")
     shared = F.size(F.array_intersect("_el_l", "_el_r"))
     pairs = (
-        l.join(r, [*e, "_key"])
+        l.join(r, [*e, "_key", "_lp", "_rp"])
         .filter((F.least(nl, nr) >= (g - 1) * F.greatest(nl, nr) - EPS) & (shared * (nl + nr) >= g * nl * nr - EPS))
         .select(*e, "name_l", "name_r")
         .distinct()

@@ -36,6 +36,40 @@ def one_of(df: DataFrame, column: str, values: Sequence | DataFrame) -> DataFram
     return df.filter(F.col(column).isin(list(values)))
 
 
+#: Bits of a membership filter for each member, and bits it has at most (1 MiB).
+FILTER_BITS, MOST_FILTER_BITS = 12, 1 << 23
+_BITMAP = 32_768
+
+
+def _bit(value: Column, salt: int, bits: int) -> Column:
+    return F.pmod(F.xxhash64(value, F.lit(salt)), F.lit(bits)) + 1
+
+
+def one_of_many(df: DataFrame, column: str, members: DataFrame) -> DataFrame:
+    """Membership in a large one-column table: a Bloom filter of the members drops rows where they are read,
+    before the semi-join shuffles the others.
+
+    The filter is built by an aggregate, has a bounded number of bits and is only a help: the semi-join
+    decides. A member table too large for the filter makes it pass more rows, never fewer.
+    """
+    (name,) = members.columns
+    keys = members.select(F.col(name).alias("_member")).where(F.col("_member").isNotNull())
+    bits = max(_BITMAP, min(MOST_FILTER_BITS, FILTER_BITS * keys.count()))
+    places = F.explode(F.array(*[_bit(F.col("_member"), salt, bits) for salt in (1, 2, 3)])).alias("h")
+    maps = keys.select(places).groupBy(F.bitmap_bucket_number("h").alias("b"))
+    maps = maps.agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bitmap"))
+    table = maps.agg(F.map_from_entries(F.collect_list(F.struct("b", "bitmap"))).alias("m")).scalar()
+
+    def marked(salt: int) -> Column:
+        h = _bit(F.col(column), salt, bits)
+        place = F.bitmap_bit_position(h)
+        byte = F.substring(F.try_element_at(table, F.bitmap_bucket_number(h)), (F.floor(place / 8) + 1).cast("int"), F.lit(1))
+        return F.call_function("shiftright", F.conv(F.hex(byte), 16, 10).cast("int"), (place % 8).cast("int")).bitwiseAND(1) == 1
+
+    likely = df.filter(_all_of(marked(salt) for salt in (1, 2, 3)))
+    return likely.join(keys, F.col(column) == F.col("_member"), "left_semi")
+
+
 def drop_missing(df: DataFrame, columns: Sequence[str] | None = None, how: str = "any") -> DataFrame:
     return df.dropna(how=how, subset=list(columns) if columns else None)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,3 +57,17 @@ def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> Non
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+
+
+def write_laid_out(df: DataFrame, entity: Sequence[str], order: Sequence[str], buckets: int, path: str, name: str | None = None) -> DataFrame:
+    """Write a table dealt into buckets by entity and sorted by entity and order, and return it as read back.
+
+    Windows over the entity, and joins with a table laid out by the same keys into as many buckets, then
+    read their rows where they lie, without a shuffle. Rows are dealt before writing, so a bucket is one
+    file; ``name`` registers the table under a name of its own.
+    """
+    spark = df.sparkSession
+    name = name or f"laid_out_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, *entity)
+    dealt.write.bucketBy(buckets, *entity).sortBy(*entity, *order).option("path", path).saveAsTable(name, format="parquet")
+    return spark.table(name)
