@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import functions as F
 
 from statloom.catalog.registry import query
@@ -413,7 +415,13 @@ def contract_estimates(spark, d):
     return out.select("subject_id", "cap_hit_pct")
 
 
-@query("contract_trajectories")
+@query(
+    "contract_trajectories",
+    f"""WITH {COMPS_SQL}, who AS (SELECT subject_id, position, contract_id FROM near UNION ALL SELECT DISTINCT subject_id, 0, subject_id FROM near)
+        SELECT w.subject_id, CAST(w.position AS INTEGER) AS position, w.contract_id, t.nhl_id, c.seasonId, c.july_1_age, c.points, c.pointsPerGame
+        FROM who w LEFT JOIN t ON t.contract_id = w.contract_id LEFT JOIN career c ON c.playerId = t.nhl_id""",
+    "pointsPerGame",
+)
 def contract_trajectories(spark, d):
     table = contract_table(spark, d)
     return contracts.trajectories(contracts.comparables(table, CURRENT), table, careers(spark, d), ["points", "pointsPerGame"])
@@ -465,16 +473,39 @@ def yearly_changes(spark, d):
 HOLDOUT, LAST_TRAIN, STEPS = "1998-99", "1998", 3
 
 
-def _project_sql() -> str:
-    """The projection unrolled: one set of tables per season forward, two-regressor closed form."""
-    from statloom.catalog.models import _MOMENTS
+def _least_squares_sql(source: str, target: str, features: Sequence[str]) -> list[str]:
+    """Tables that end in ``coef`` (c0, c1, ..): features are made orthogonal one after the other."""
+    k = len(features)
+    centred = ", ".join(f"{f} - avg({f}) OVER () AS q0_{j}" for j, f in enumerate(features))
+    means = ", ".join(f"avg({f}) AS m{j}" for j, f in enumerate(features))
+    parts = [
+        f"means AS (SELECT avg({target}) AS my, {means} FROM {source})",
+        f"o0 AS (SELECT {target} - avg({target}) OVER () AS y0, {centred} FROM {source})",
+    ]
+    for i in range(k):
+        z = f"q{i}_{i}"
+        g = [f"sum({z} * q{i}_{j}) / sum({z} * {z}) AS g{i}_{j}" for j in range(i + 1, k)]
+        parts.append(f"g{i} AS (SELECT {', '.join([f'sum({z} * y{i}) / sum({z} * {z}) AS h{i}', *g])} FROM o{i})")
+        left = [f"q{i}_{j} - g{i}_{j} * {z} AS q{i + 1}_{j}" for j in range(i + 1, k)]
+        parts.append(f"o{i + 1} AS (SELECT {', '.join([f'y{i} - h{i} * {z} AS y{i + 1}', *left])} FROM o{i}, g{i})")
+    joined = f"SELECT * FROM means, {', '.join(f'g{i}' for i in range(k))}"
+    for i in reversed(range(k)):
+        later = "".join(f" - g{i}_{j} * c{j + 1}" for j in range(i + 1, k))
+        joined = f"SELECT *, h{i}{later} AS c{i + 1} FROM ({joined})"
+    parts.append(f"coef AS (SELECT *, my{''.join(f' - m{j} * c{j + 1}' for j in range(k))} AS c0 FROM ({joined}))")
+    return parts
+
+
+def _project_sql(features: Sequence[str], final: str | None = None) -> str:
+    """The projection unrolled: one set of tables per season forward."""
+    def fit(row: str) -> str:
+        return "c0" + "".join(f" + c{j + 1} * {row}.{f}" for j, f in enumerate(features)) + " AS fit"
 
     parts = [
         STATS_SQL,
-        f"x AS (SELECT target AS y, rate_prev1 AS a, toi_prev1 AS b FROM model WHERE season < '{LAST_TRAIN}')",
-        _MOMENTS,
-        "coef AS (SELECT c0, ca, cb FROM f)",
-        f"""h0 AS (SELECT m.player, m.season, m.yr, m.rate_prev1, m.rate_prev2, m.toi_prev1, m.icf_prev1, m.age_prev1, c0 + ca * m.rate_prev1 + cb * m.toi_prev1 AS fit, m.target AS actual
+        f"x AS (SELECT target, {', '.join(features)} FROM model WHERE season < '{LAST_TRAIN}')",
+        *_least_squares_sql("x", "target", features),
+        f"""h0 AS (SELECT m.player, m.season, m.yr, m.rate_prev1, m.rate_prev2, m.toi_prev1, m.icf_prev1, m.age_prev1, {fit('m')}, m.target AS actual
             FROM model m, coef WHERE season = '{HOLDOUT}')""",
     ]
     for i in range(1, STEPS + 1):
@@ -485,32 +516,49 @@ def _project_sql() -> str:
             f"""u{i} AS (SELECT t.player, t.season, t.yr, t.rate_prev1, t.rate_prev2, t.toi_prev1 * (1 + CASE WHEN t.age_bucket = '30+' AND t.quartile IN (1, 2, 3) THEN -0.2::DOUBLE
                 WHEN t.age_bucket = '27-29' AND t.quartile IN (2, 3, 4) THEN 0.025 WHEN t.age_bucket = '26u' THEN 0.2 WHEN t.age_bucket IS NOT NULL THEN 0.01 END) AS toi_prev1, t.icf_prev1 * (1 + c.icf_change) AS icf_prev1, t.age_prev1
                 FROM t{i} t LEFT JOIN changes c ON c.age_bucket = t.age_bucket AND c.quartile = t.quartile)""",
-            f"h{i} AS (SELECT u.*, c0 + ca * u.rate_prev1 + cb * u.toi_prev1 AS fit, s.rate AS actual FROM u{i} u JOIN stats s ON s.player = u.player AND s.season = u.season, coef)",
+            f"h{i} AS (SELECT u.*, {fit('u')}, s.rate AS actual FROM u{i} u JOIN stats s ON s.player = u.player AND s.season = u.season, coef)",
         ]
-    final = " UNION ALL ".join(
+    every = " UNION ALL ".join(
         f"SELECT player, season, {i} AS horizon, rate_prev1, rate_prev2, toi_prev1, icf_prev1, age_prev1, fit, actual FROM h{i}" for i in range(STEPS + 1)
     )
-    return f"WITH {', '.join(parts)} SELECT * FROM ({final})"
+    return f"WITH {', '.join(parts)}, every AS ({every}) {final or 'SELECT * FROM every'}"
+
+
+TWO = ("rate_prev1", "toi_prev1")
 
 
-def _projected(spark, d):
+def _projected(spark, d, features=TWO):
     table = projection.cut_lineage(projection.model_table(stats(spark, d)))
-    fit = projection.train(table, F.col("season") < LAST_TRAIN, ["rate_prev1", "toi_prev1"])
+    fit = projection.train(table, F.col("season") < LAST_TRAIN, features)
     changes = projection.yearly_changes(table, ["player", "season"])
     actuals = stats(spark, d).select("player", "season", F.col("rate").alias("actual"))
     return projection.project(table.filter(F.col("season") == HOLDOUT), fit, changes, actuals, STEPS)
 
 
-@query("projected_seasons", _project_sql(), "rate_prev1 rate_prev2 toi_prev1 icf_prev1 age_prev1 fit actual")
+PROJECTED = ["player", "season", "horizon", "rate_prev1", "rate_prev2", "toi_prev1", "icf_prev1", "age_prev1", "fit", "actual"]
+
+
+@query("projected_seasons", _project_sql(TWO), "rate_prev1 rate_prev2 toi_prev1 icf_prev1 age_prev1 fit actual")
 def projected_seasons(spark, d):
-    return _projected(spark, d).select(
-        "player", "season", "horizon", "rate_prev1", "rate_prev2", "toi_prev1", "icf_prev1", "age_prev1", "fit", "actual"
-    )
+    return _projected(spark, d).select(*PROJECTED)
+
+
+@query("projected_seasons_all_features", _project_sql(projection.FEATURES), "rate_prev1 rate_prev2 toi_prev1 icf_prev1 age_prev1 fit actual", 4)
+def projected_seasons_all_features(spark, d):
+    """Three seasons forward with all five regressors."""
+    return _projected(spark, d, projection.FEATURES).select(*PROJECTED)
+
+
+_EDGES = list(zip(projection.ERROR_BREAKS, projection.ERROR_BREAKS[1:]))
+_SHARES = f"""SELECT season, error_bucket, count(*) AS n, count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY season) AS share
+    FROM (SELECT season, CASE {' '.join(f"WHEN e > {a} AND e <= {b} THEN '({a},{b}]'" for a, b in _EDGES)} END AS error_bucket
+          FROM (SELECT season, abs(round_even((actual - fit) * {projection.PACE}, 0)) AS e FROM every)) GROUP BY season, error_bucket"""
 
 
-@query("projection_error_shares")
+@query("projection_error_shares", _project_sql(projection.FEATURES, _SHARES), "share")
 def projection_error_shares(spark, d):
-    return projection.error_shares(_projected(spark, d))
+    """How far the projections of all five regressors are off, three seasons forward."""
+    return projection.error_shares(_projected(spark, d, projection.FEATURES))
 
 
 @query("projection_with_all_features")

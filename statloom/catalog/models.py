@@ -167,6 +167,17 @@ def indicator_columns(spark, d):
     return en.one_hot(orders, {"o_orderstatus": None}).drop("o_orderstatus")
 
 
+@query(
+    "indicator_rows",
+    """SELECT o_orderkey, 'o_orderpriority' AS "column", o_orderpriority AS level FROM orders WHERE o_orderpriority <> (SELECT min(o_orderpriority) FROM orders)
+       UNION ALL SELECT o_orderkey, 'o_clerk_day', CAST(CAST(o_orderdate AS DATE) AS VARCHAR) FROM orders WHERE o_orderdate > (SELECT min(o_orderdate) FROM orders)""",
+)
+def indicator_rows(spark, d):
+    """Priorities and days of orders: far more levels than columns could hold."""
+    orders = load_table(spark, d, "orders", ["o_orderkey", "o_orderpriority", "o_orderdate"])
+    return en.indicator_rows(orders.withColumn("o_clerk_day", F.to_date("o_orderdate")), ["o_orderkey"], ["o_orderpriority", "o_clerk_day"])
+
+
 @query(
     "stratified_split",
     f"""WITH h AS ({mix_sql('orders', 'o_orderkey, o_orderstatus', 13, 'o_orderkey')}),

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from statloom.catalog.registry import query
 from statloom.functions import scalar as sc
-from statloom.functions.text import dotted_name
+from statloom.functions.text import dotted_name, fold_unicode
 from statloom.operators import aggregate as ag
 from statloom.operators import joins as jn
 from statloom.operators import project as pr
 from statloom.operators.gram import wide_correlations
 from statloom.operators.hotgroups import with_group_stats
 from statloom.operators.selection import quantiles
+from statloom.plans import contracts
 from statloom.sources.files import load_table
 
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -283,6 +284,29 @@ def folded_names(spark, d):
     return docs.select(dotted_name(raw).alias("name")).distinct()
 
 
+@query(
+    "folded_texts",
+    r"""SELECT doc_id, md5(regexp_replace(strip_accents(replace(coalesce(text, ''), 'ß', 'ss')), '[^\x00-\x7F]', '', 'g')) AS folded FROM documents""",
+)
+def folded_texts(spark, d):
+    """Whole texts in plain ASCII, letters outside the table of accents included."""
+    docs = load_table(spark, d, "documents", ["doc_id", "text"])
+    return docs.select("doc_id", F.md5(fold_unicode(F.coalesce("text", F.lit("")))).alias("folded"))
+
+
+@query(
+    "display_units",
+    """SELECT c_custkey, round_even(c_acctbal / 10000 * 100, 2) AS pct_gp, round_even(round_even(abs(c_acctbal), 2) / 60, 2) AS "timeOnIcePerGame",
+              round_even(c_acctbal / 7, 2) AS "pointsPerGame" FROM customer""",
+    "pct_gp timeOnIcePerGame pointsPerGame",
+)
+def display_units(spark, d):
+    """Balances as shares, seconds and rates in the units of the comparison table."""
+    cust = load_table(spark, d, "customer", ["c_custkey", "c_acctbal"])
+    rows = cust.select("c_custkey", (F.col("c_acctbal") / 10000).alias("pct_gp"), F.abs("c_acctbal").alias("timeOnIcePerGame"), (F.col("c_acctbal") / 7).alias("pointsPerGame"))
+    return contracts.display_units(rows)
+
+
 @query(
     "flag_columns",
     f"""SELECT {LINE_KEY_SQL}, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS home,

@@ -27,6 +27,22 @@ def half_even(x: Column | str, digits: int = 0) -> Column:
     return F.bround(_c(x), digits)
 
 
+def scaled_rint(x: Column | str, digits: int = 2) -> Column:
+    """Round half to even after scaling, where ``half_even`` judges the decimal digits of the number: the
+    two differ where scaling itself ends half-way."""
+    return F.rint(_c(x) * float(10**digits)) / float(10**digits)
+
+
+def percent(x: Column | str, digits: int = 2) -> Column:
+    """A share as a rounded percentage."""
+    return scaled_rint(_c(x) * 100, digits)
+
+
+def minutes(seconds: Column | str, digits: int = 2) -> Column:
+    """Seconds as rounded minutes."""
+    return scaled_rint(_c(seconds) / 60, digits)
+
+
 def age_in_years(on: Column | str, born: Column | str) -> Column:
     return F.floor(F.datediff(_c(on), _c(born)) / 365.25).cast("int")
 

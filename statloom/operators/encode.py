@@ -31,9 +31,30 @@ def with_value(df: DataFrame, code: str, codes: DataFrame, name: str) -> DataFra
     return df.join(table, F.col(code) == F.col("_code"), "left").drop("_code")
 
 
-def levels_of(df: DataFrame, column: str) -> list:
-    """Sorted distinct values of a column that becomes one output column per value."""
-    return sorted(r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().collect())
+#: Levels that become output columns at most.
+MOST_LEVELS = 1000
+
+
+def levels_of(df: DataFrame, column: str, most: int = MOST_LEVELS) -> list:
+    """Sorted distinct values of a column that becomes one output column per value.
+
+    More than ``most`` are an error, found without collecting them; ``indicator_rows`` has no limit.
+    """
+    found = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} levels: use indicator_rows")
+    return sorted(r[0] for r in found)
+
+
+def indicator_rows(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The ones of ``one_hot`` in long form, ``column`` and ``level``, for any number of levels.
+
+    As there, the smallest level of a column and NULL have no row.
+    """
+    long = df.select(*ids, *[F.col(c).cast("string").alias(c) for c in columns]).unpivot(list(ids), list(columns), "column", "level")
+    first = df.select(*[F.min(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "_column", "_first")
+    rows = long.where(F.col("level").isNotNull())
+    return rows.join(first, (F.col("column") == F.col("_column")) & (F.col("level") != F.col("_first"))).drop("_column", "_first")
 
 
 def one_hot(df: DataFrame, columns: Mapping[str, Sequence | None]) -> DataFrame:

@@ -14,22 +14,17 @@ that grows with the data is on the driver or broadcast.
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
 from collections.abc import Callable, Sequence
-from functools import cached_property
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from statloom.session import cut_lineage
 
 LIMIT_CONF = "statloom.maxGroupRows"
 DEFAULT_LIMIT = 2_000_000
 AUTO = "auto"
-# quantile cuts per chunk: chunk sizes stay within about 1/PIECES of the limit
-PIECES = 8
 
 
 def row_limit(df: DataFrame) -> int:
@@ -43,72 +38,11 @@ def _match(names: Sequence[str]) -> Column:
     return cond
 
 
-def _piece(order: str, most_bounds: int) -> Column:
-    """How many of the sorted ``_bounds`` are <= the row's order value (binary search)."""
-    steps = [2**i for i in range(max(most_bounds, 1).bit_length() - 1, -1, -1)]
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda pos, step: F.when(
-            F.get(F.col("_bounds"), pos + step - 1) <= F.col(order), pos + step
-        ).otherwise(pos),
-    )
-
-
+@dataclass(frozen=True)
 class HotGroups:
-    """States that a group is above the limit.
-
-    The cut points at quantiles of a number, date or time are found when they are first asked for;
-    ``running`` and ``with_lookback`` do not need them.
-    """
-
-    def __init__(self, df: DataFrame, by: Sequence[str], order: str, limit: int):
-        self.by = list(by)
-        self.order = order
-        self.limit = limit
-        self.df = df
-        self.spark = df.sparkSession
-        self.key_types = [df.schema[c].dataType for c in self.by]
-        self.order_type = df.schema[order].dataType
-
-    @cached_property
-    def entries(self) -> list[tuple[tuple, list, list[int], list[int]]]:
-        """Of each group: key tuple, bounds, rows per piece, chunk of each piece."""
-        return _cut_points(self)
-
-    def _frame(self, extra: list[T.StructField], rows: list[tuple]) -> DataFrame:
-        fields = [T.StructField(f"_key{i}", t) for i, t in enumerate(self.key_types)]
-        return F.broadcast(self.spark.createDataFrame(rows, T.StructType(fields + extra)))
-
-    def _bounds_field(self) -> T.StructField:
-        return T.StructField("_bounds", T.ArrayType(self.order_type))
-
-    def _most_bounds(self) -> int:
-        return max(len(bounds) for _, bounds, _, _ in self.entries)
+    """States that a group is above the limit."""
 
-    def keys(self) -> DataFrame:
-        return self._frame([], [key for key, *_ in self.entries])
-
-    def only(self, df: DataFrame) -> DataFrame:
-        """The rows of the hot groups."""
-        return df.join(self.keys(), _match(self.by), "left_semi")
-
-    def _drop_keys(self, df: DataFrame) -> DataFrame:
-        return df.drop("_bounds", *[f"_key{i}" for i in range(len(self.by))])
-
-    def assign(self, df: DataFrame) -> DataFrame:
-        """Add ``_chunk``: 0 for ordinary groups, increasing with the order value in hot ones."""
-        table = self._frame(
-            [self._bounds_field(), T.StructField("_chunk_of", T.ArrayType(T.IntegerType()))],
-            [(*key, bounds, chunk_of) for key, bounds, _, chunk_of in self.entries],
-        )
-        out = df.join(table, _match(self.by), "left").withColumn(
-            "_chunk",
-            F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(
-                F.get("_chunk_of", _piece(self.order, self._most_bounds()))
-            ),
-        )
-        return self._drop_keys(out.drop("_chunk_of"))
+    limit: int
 
 
 def find_hot(
@@ -117,50 +51,7 @@ def find_hot(
     """Whether a group of ``df`` is above the row limit: ``HotGroups``, or None."""
     limit = limit or row_limit(df)
     large = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
-    return HotGroups(df, by, order, limit) if large.limit(1).count() else None
-
-
-def _cut_points(hot: HotGroups) -> list[tuple[tuple, list, list[int], list[int]]]:
-    df, by, order, limit = hot.df, hot.by, hot.order, hot.limit
-    entries = []
-    large = (
-        df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit).collect()
-    )
-    # groups of like size share one pass, so cuts in total stay within 4 * PIECES * rows / limit
-    size_classes: dict[int, list] = defaultdict(list)
-    for row in large:
-        size_classes[int(math.log2(row["_rows"] / limit))].append(tuple(row[c] for c in by))
-    slim = df.select(*dict.fromkeys([*by, order]))
-    for size_class, keys in size_classes.items():
-        pieces = PIECES * 2 ** (size_class + 1)
-        points = [i / pieces for i in range(1, pieces)]
-        rows = slim.join(hot._frame([], keys), _match(by), "left_semi")
-        cuts = {
-            tuple(r[c] for c in by): sorted(set(r["_cuts"] or []))
-            for r in rows.groupBy(*by)
-            .agg(F.percentile_approx(order, points, 10 * pieces).alias("_cuts"))
-            .collect()
-        }
-        table = hot._frame([hot._bounds_field()], [(*k, b) for k, b in cuts.items()])
-        sizes = {k: [0] * (len(b) + 1) for k, b in cuts.items()}
-        most = max(len(b) for b in cuts.values())
-        for r in (
-            rows.join(table, _match(by))
-            .withColumn("_piece", _piece(order, most))
-            .groupBy(*by, "_piece")
-            .agg(F.count(F.lit(1)).alias("_rows"))
-            .collect()
-        ):
-            sizes[tuple(r[c] for c in by)][r["_piece"]] = r["_rows"]
-        for key, bounds in cuts.items():
-            chunk_of, chunk, filled = [], 0, 0
-            for size in sizes[key]:
-                if filled and filled + size > limit:
-                    chunk, filled = chunk + 1, 0
-                filled += size
-                chunk_of.append(chunk)
-            entries.append((key, bounds, sizes[key], chunk_of))
-    return entries
+    return HotGroups(limit) if large.limit(1).count() else None
 
 
 def with_lookback(

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.functions.scalar import age_in_years, half_even, july_first, signing_season
+from statloom.functions.scalar import age_in_years, half_even, july_first, minutes, percent, scaled_rint, signing_season
 from statloom.operators.aggregate import standardise
 from statloom.operators.hotgroups import find_hot, with_group_stats
 from statloom.operators.joins import explode_lists, lookup
@@ -146,11 +146,23 @@ def estimates(
 
 def comparison_rows(comps: DataFrame, table: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Subject (position 0) and its matches with their contract and stat columns."""
+    comps = cut_lineage(comps)  # read twice
     subjects = comps.select("subject_id").distinct().select("subject_id", F.lit(0).alias("position"), F.col("subject_id").alias("contract_id"))
     long = comps.select("subject_id", "position", "contract_id").unionByName(subjects)
     return lookup(long, table, ["contract_id"], columns)
 
 
+def display_units(comps: DataFrame, digits: int = 2) -> DataFrame:
+    """Units of the comparison table: share of games in percent, ice time in minutes, both rounded."""
+    return comps.withColumns(
+        {
+            "pct_gp": percent("pct_gp", digits),
+            "timeOnIcePerGame": minutes(scaled_rint("timeOnIcePerGame", digits), digits),
+            "pointsPerGame": scaled_rint("pointsPerGame", digits),
+        }
+    )
+
+
 def trajectories(comps: DataFrame, table: DataFrame, careers: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Every season of the subject and its matches, by age."""
     players = comparison_rows(comps, table, ["nhl_id"])

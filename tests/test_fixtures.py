@@ -379,3 +379,25 @@ def test_results_do_not_depend_on_shuffle_partitions(spark):
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", before)
     assert outs[0] == outs[1] and len(outs[0]) > 20
+
+
+def test_levels_are_bounded_and_long_form_is_not(spark):
+    from statloom.operators.encode import indicator_rows, levels_of
+
+    df = spark.createDataFrame([(1, "b", "x"), (2, "a", None), (3, None, "y"), (4, "c", "x")], "id long, u string, v string")
+    assert levels_of(df, "u", 3) == ["a", "b", "c"]
+    with pytest.raises(ValueError):
+        levels_of(df, "u", 2)
+    from tests.conftest import rows
+
+    assert rows(indicator_rows(df, ["id"], ["u", "v"])) == [(1, "u", "b"), (3, "v", "y"), (4, "u", "c")]
+    wide = one_hot(df, {"u": None, "v": None})
+    ones = sum(v for r in wide.drop("id", "u", "v").collect() for v in r)
+    assert ones == 3
+
+
+def test_display_units_round_half_to_even(spark):
+    from statloom.plans.contracts import display_units
+
+    df = spark.createDataFrame([(0.12345, 1234.5, 0.125), (None, None, None)], "pct_gp double, timeOnIcePerGame double, pointsPerGame double")
+    assert [tuple(r) for r in display_units(df).collect()] == [(12.34, 20.58, 0.12), (None, None, None)]

@@ -59,15 +59,6 @@ def both(series, spark, op):
         ]
 
 
-def test_chunks_stay_near_the_limit_and_in_order(series):
-    hot = hg.find_hot(series, BY, "t", limit=100)
-    parts = hot.assign(hot.only(series))
-    per = parts.groupBy("e", "_chunk").agg(F.count("*").alias("n"), F.min("t").alias("a"), F.max("t").alias("b")).orderBy("_chunk").collect()
-    assert len(per) >= 5
-    assert all(p["n"] <= 160 for p in per)
-    assert all(p["b"] < q["a"] for p, q in zip(per, per[1:]))
-
-
 @pytest.mark.parametrize(
     "op",
     [
