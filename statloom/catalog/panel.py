@@ -330,7 +330,7 @@ def full_window_alpha(spark, d):
 
 @query(
     "full_parameter_sweep",
-    f"{_full_book_sql(*FULL_SWEEP)} SELECT ma_window, z_window, threshold, avg(ret) / stddev_samp(ret) * sqrt({PERIODS}) AS sharpe FROM port GROUP BY 1, 2, 3",
+    f"{_full_book_sql(*FULL_SWEEP)} SELECT ma_window, z_window, threshold, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt({PERIODS}) AS sharpe FROM port GROUP BY 1, 2, 3",
     "sharpe",
 )
 def full_parameter_sweep(spark, d):

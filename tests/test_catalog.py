@@ -8,7 +8,7 @@ from tests.oracle import compare, connect
 
 QUERIES, ORACLE = queries(), oracle_sql()
 # too slow for a unit test; run by hand and by the correctness gate
-SLOW = {"grid_search_scores"}
+SLOW = {"grid_search_scores", "softmax_boosted_scores", "boosted_tree_full_scores"}
 
 
 @pytest.fixture(scope="module")

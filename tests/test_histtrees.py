@@ -88,7 +88,7 @@ def test_models_grown_together_equal_models_grown_alone(spark, monkeypatch):
     df = frame(spark, x, y, fold)
     bins = ht.find_bins(df, NAMES, 8)
     table = ht.bin_rows(df, bins, "label", "id", "fold")
-    settings = [Setting(5, 2, 0.3), Setting(3, 4, 0.1, row_share=0.7), Setting(4, 3, 0.2, left_out=1)]
+    settings = [Setting(3, 2, 0.3), Setting(2, 3, 0.1, row_share=0.7), Setting(3, 2, 0.2, left_out=1)]
     together = ht.fit(table, bins, settings)
     for m, s in enumerate(settings):
         if s.row_share < 1:
