@@ -26,7 +26,7 @@ from statloom.session import cut_lineage
 
 EPS = 1e-9
 #: Elements (letter and occurrence) whose frequency is known; all others count as rarest.
-KNOWN = 400
+KNOWN = 200
 #: Names of one key that one block holds of either side.
 BLOCK_CONF = "statloom.nameBlockRows"
 BLOCK = 2_000
@@ -62,7 +62,8 @@ def _common_first(names: DataFrame) -> list[str]:
 
 def _rare_first(elements: Column, common: Sequence[str]) -> Column:
     """Elements as 'rank element', those that are rarest in the lists first."""
-    known = F.array(*map(F.lit, reversed(common))) if common else F.lit([]).cast("array<string>")
+    # one constant; a letter that is the separator itself only changes the order, on both sides alike
+    known = F.split(F.lit("\x00".join(reversed(common))), "\x00")
     ranked = lambda x: F.concat_ws(" ", F.lpad(F.array_position(known, x).cast("string"), 4, "0"), x)
     return F.array_sort(F.transform(elements, ranked))
 
@@ -97,10 +98,10 @@ def _in_blocks(l: DataFrame, r: DataFrame, key: Sequence[str]) -> tuple[DataFram
     count = lambda df, n: df.groupBy(*key).agg(F.count(F.lit(1)).alias(n))
     both = count(l, "_nl").join(count(r, "_nr"), list(key)).filter((F.col("_nl") > block) | (F.col("_nr") > block))
     pieces = lambda n: F.ceil(F.col(n) / block).cast("int")
-    heavy = cut_lineage(both.select(*key, pieces("_nl").alias("_ls"), pieces("_nr").alias("_rs")))
-    if not heavy.limit(1).count():
+    if both.isEmpty():
         one = {"_lp": F.lit(0), "_rp": F.lit(0)}
         return l.withColumns(one), r.withColumns(one)
+    heavy = cut_lineage(both.select(*key, pieces("_nl").alias("_ls"), pieces("_nr").alias("_rs")))
 
     def dealt(df: DataFrame, name: str, own: str, other: str, own_n: str, other_n: str) -> DataFrame:
         n, m = F.coalesce(own_n, F.lit(1)), F.coalesce(other_n, F.lit(1))
@@ -132,14 +133,14 @@ def similar_pairs(
 
     def listed(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
         names = df.select(*[F.col(c).alias(f"_e{i}") for i, c in enumerate(keys)], F.col(column).alias("_name"))
-        names = names.dropna().filter(F.length("_name") > 0).distinct()
-        return cut_lineage(names.withColumn("_el", _occurrences(F.col("_name"))))
+        return names.dropna().filter(F.length("_name") > 0)
 
     lists = listed(left, list(exact.keys()), name[0]), listed(right, list(exact.values()), name[1])
-    common = _common_first(lists[0].select("_el").unionByName(lists[1].select("_el")))
+    every = lists[0].select("_name").unionByName(lists[1].select("_name")).distinct()
+    common = _common_first(every.select(_occurrences(F.col("_name")).alias("_el")))
 
     def side(names: DataFrame, tag: str) -> DataFrame:
-        keyed = names.withColumn("_el", _rare_first(F.col("_el"), common))
+        keyed = names.distinct().withColumn("_el", _rare_first(_occurrences(F.col("_name")), common))
         keyed = keyed.withColumn("_key", F.explode(F.array_distinct(_keys(F.col("_el"), g, size))))
         return cut_lineage(keyed.withColumnsRenamed({"_name": f"name_{tag}", "_el": f"_el_{tag}"}))
 
