@@ -448,7 +448,8 @@ def doc_rows(spark, d):
 
 
 def doc_split(spark, d):
-    train, test = gamepoints.training_rows(doc_rows(spark, d), "quality", "doc_id", DOC_FEATURES, folds=3)
+    # written once: the split reads its rows several times, and the texts need not be
+    train, test = gamepoints.training_rows(cut_lineage(doc_rows(spark, d)), "quality", "doc_id", DOC_FEATURES, folds=3)
     return cut_lineage(train), cut_lineage(test)
 
 
@@ -534,6 +535,6 @@ def boosted_tree_full_scores(spark, d):
 @query("boosted_grid_scores")
 def boosted_grid_scores(spark, d):
     """27 combinations on 5 folds, all trees grown together."""
-    rows = gamepoints.training_rows(doc_rows(spark, d), "quality", "doc_id", DOC_FEATURES, folds=5)[0]
+    rows = gamepoints.training_rows(cut_lineage(doc_rows(spark, d)), "quality", "doc_id", DOC_FEATURES, folds=5)[0]
     train = cut_lineage(rows.drop("features"))
     return histtrees.search(train, DOC_FEATURES, "label", "doc_id", "fold", 5, GRID)
