@@ -50,3 +50,11 @@ def id_remainder(name: str, divisor: int) -> Column:
 def row_of(docs: DataFrame, keep: Sequence[str] | None = None) -> Column:
     """The columns ``keep`` of ``docs`` (all) as one struct ``row``, where no name clashes with a result's."""
     return F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]).alias("row")
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name made from ``name`` that ``docs`` does not have (names differ in more than case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

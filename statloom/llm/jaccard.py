@@ -8,14 +8,21 @@ parts, and each part into n2 pieces. With n1 * (k2 + 1) > k, similar sets differ
 elements of some part, so they agree in n2 - k2 of its pieces: every such subset of pieces gives one
 signature, and similar sets share at least one. No link is lost.
 
+There are ``SPARE`` times as many parts as that takes, so similar sets share at least m signatures, and
+each set drops its m - 1 with the fewest elements: of equal signatures both sets drop the same ones last.
+So empty pieces, which any two sets may share, hardly ever make a signature.
+
 Sets that are equal form a *class*, known by a digest. From then on there is one row per class:
 
 1. Signatures are counted; those of a single class are dropped.
 2. Each class that is left gets a *sketch*: its elements added up in cells. Sets that differ in more
    cells than k cannot link, so sketches rule pairs out before any text is compared.
-3. Small buckets give all their pairs, at most ``FEW - 1`` for a member. Those that the sketches leave are
-   verified exactly on the whole texts, and links give labels (connected components).
-4. Large buckets that hold several labels are compared in blocks of bounded size. For each member a block
+3. In each bucket of several labels (connected components of the links found so far) a member meets one end
+   of the bucket, the smallest or largest of another label; of these it is paired with the one met most often.
+   Pairs that the sketches leave are verified exactly on the whole texts. ``ROUNDS`` times, which joins most
+   groups of near copies with one pair a member.
+4. Small buckets that still hold several labels give all their pairs across labels, at most ``FEW - 1`` for a member.
+5. Large buckets that hold several labels are compared in blocks of bounded size. For each member a block
    reports the ``PARTNERS`` nearest that may link, have another label and are not yet tested. The pairs are
    verified, labels renewed, and the step repeated until no block reports a pair.
 
@@ -33,6 +40,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +48,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import lowered, slices, texts
+from statloom.llm.common import fresh, lowered, slices, texts
 from statloom.session import cut_lineage
 
 #: Pieces of a part, and how many of them may differ.
 PIECES, DIFFER = 2, 1
+#: Parts of the feature domain, as a multiple of the least number that loses no link.
+SPARE = 1.3
+#: How often members meet the ends of their buckets before buckets are compared member by member.
+ROUNDS = 2
 #: Members of a bucket in one chunk; two chunks are compared in one block.
 BLOCK = 1024
 #: Members of a bucket up to which all its pairs are listed.
@@ -112,7 +124,11 @@ def digest(values: np.ndarray) -> int:
 
 
 def signatures(sets: list[np.ndarray], least: int, pieces: int = PIECES, differ: int = DIFFER) -> list[np.ndarray]:
-    """PartEnum signatures of each set; none where only equal sets can link."""
+    """PartEnum signatures of each set; none where only equal sets can link.
+
+    Linked sets agree in at least ``shared`` of the ``total`` signatures of a band, so the first
+    total - shared + 1 in one common order hold an equal one. The order is by elements, most first.
+    """
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     ends, bounds = bands(least, 1 << max(int(sizes.max(initial=1)), 1).bit_length())
     own = np.searchsorted(ends, sizes)
@@ -121,8 +137,12 @@ def signatures(sets: list[np.ndarray], least: int, pieces: int = PIECES, differ:
     out: list[list[np.ndarray]] = [[] for _ in sets]
     for up in (0, 1):
         band = own + up
-        parts = np.where((sizes > 0) & (bounds[band] > 0), bounds[band] // (differ + 1) + 1, 0)
+        most = bounds[band]
+        parts = np.where((sizes > 0) & (most > 0), (most * SPARE).astype(np.int64) // (differ + 1) + 1, 0)
         cells = parts * pieces
+        total = parts * comb(pieces, differ)
+        shared = cells - most if pieces - differ == 1 else parts - most // (differ + 1)
+        taken = np.where(parts > 0, total - shared + 1, 0)
         first = np.cumsum(cells) - cells
         which = np.repeat(np.arange(len(sets)), sizes)
         used = cells[which] > 0
@@ -134,16 +154,22 @@ def signatures(sets: list[np.ndarray], least: int, pieces: int = PIECES, differ:
         sums = sums.reshape(-1, pieces)
         part_of = np.arange(len(sums), dtype=np.uint64) - np.repeat(np.cumsum(parts) - parts, parts).astype(np.uint64)
         salt = np.repeat(band, parts).astype(np.uint64) * ODD[2] + part_of * ODD[3]
-        chosen = []
+        held = np.bincount(at, minlength=n).reshape(-1, pieces)
+        chosen, elements = [], []
         for c, subset in enumerate(combinations(range(pieces), pieces - differ)):
-            total = salt + np.uint64(c)
+            value = salt + np.uint64(c)
             for p in subset:
-                total = mix(total + sums[:, p])
-            chosen.append(total)
-        table = np.stack(chosen, axis=1) if len(sums) else np.zeros((0, 1), dtype=np.uint64)
-        starts = np.cumsum(parts) - parts
-        for d in np.flatnonzero(parts):
-            out[d].append(table[starts[d] : starts[d] + parts[d]].ravel())
+                value = mix(value + sums[:, p])
+            chosen.append(value)
+            elements.append(held[:, list(subset)].sum(axis=1))
+        table, elements = np.stack(chosen, axis=1).ravel(), np.stack(elements, axis=1).ravel()
+        of = np.repeat(np.arange(len(sets)), total)
+        order = np.lexsort((-elements, of))  # stable: ties stay in the order of the parts
+        place = np.arange(len(of)) - np.repeat(np.cumsum(total) - total, total)
+        table = table[order[place < taken[of]]]
+        starts = np.cumsum(taken) - taken
+        for d in np.flatnonzero(taken):
+            out[d].append(table[starts[d] : starts[d] + taken[d]])
     return [np.concatenate(x) if x else np.zeros(0, dtype=np.uint64) for x in out]
 
 
@@ -235,8 +261,8 @@ def _representatives(docs: DataFrame, firsts: DataFrame, wanted: DataFrame) -> D
     return docs.join(_told_small(chosen, chosen.count()), same).select("class", docs["text"])
 
 
-def _listed(small: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
-    """``a``, ``b``: the pairs of small buckets that the sketches leave."""
+def _likely(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+    """The pairs ``a``, ``b`` that the sketches leave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "sketch_a"):
@@ -249,12 +275,33 @@ def _listed(small: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
             ]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    left = small.select("signature", F.col("class").alias("a"))
-    pairs = left.join(small.select("signature", F.col("class").alias("b")), "signature").filter("a < b").select("a", "b").distinct()
     of = {k: sketches.select(F.col("class").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab"}
     return pairs.join(of["a"], "a").join(of["b"], "b").mapInArrow(run, "a long, b long")
 
 
+def _labelled(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with their label, the class itself where it has no link yet."""
+    return found.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+
+
+def _met(labelled: DataFrame) -> DataFrame:
+    """``a``, ``b``: each member with the end of another label that it meets in most buckets, ties to the smallest."""
+    own = F.struct("label", "class")
+    ends = labelled.groupBy("signature").agg(F.min(own).alias("low"), F.max(own).alias("high")).filter("low.label <> high.label")
+    other = F.when(F.col("label") != F.col("low.label"), F.col("low.class")).otherwise(F.col("high.class"))
+    met = labelled.join(ends, "signature").groupBy("class", other.alias("other")).agg(F.count("*").alias("n"))
+    best = met.groupBy("class").agg(F.min(F.struct(-F.col("n"), "other")).alias("best"))
+    return best.select(F.least("class", "best.other").alias("a"), F.greatest("class", "best.other").alias("b")).distinct()
+
+
+def _listed(small: DataFrame, labels: DataFrame) -> DataFrame:
+    """``a``, ``b``: the pairs of small buckets across labels."""
+    rows = cut_lineage(_several(_labelled(small, labels), "label"))
+    left = rows.select("signature", F.col("class").alias("a"), F.col("label").alias("label_a"))
+    right = rows.select("signature", F.col("class").alias("b"), F.col("label").alias("label_b"))
+    return left.join(right, "signature").filter("a < b AND label_a <> label_b").select("a", "b").distinct()
+
+
 def _verified(pairs: DataFrame, of: DataFrame, width: int, least: int) -> DataFrame:
     """``a``, ``b`` with ``linked``: the exact comparison of the two whole texts."""
 
@@ -347,8 +394,7 @@ def nearest(classes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sketches
 
 def _reported(found: DataFrame, labels: DataFrame, sketches: DataFrame, failed: DataFrame, least: int) -> DataFrame:
     """``a``, ``b``: what the blocks of large buckets with several labels report."""
-    labelled = found.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    open_ = cut_lineage(_several(labelled, "label"))
+    open_ = cut_lineage(_several(_labelled(found, labels), "label"))
     counts = open_.groupBy("signature").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
     placed = open_.join(counts, "signature").withColumn("side", chunk)
@@ -381,24 +427,38 @@ def _reported(found: DataFrame, labels: DataFrame, sketches: DataFrame, failed:
 
 def classes(docs: DataFrame, width: int, least: int) -> tuple[DataFrame, DataFrame]:
     """Every document with its class, and the label of every class that has links."""
+    docs = docs.select("doc_id", "text")
     described = cut_lineage(_described(docs, width, least))
     firsts = _firsts(described)
     first = _without_copies(described, firsts)
     found = members(first)
     sketches = first.select("class", "size", "sketch").join(found.select("class").distinct(), "class", "left_semi")
     sketches = cut_lineage(sketches.dropDuplicates(["class"]))
-    large = found.filter(F.col("n") > FEW).select("signature", "class")
-    pairs = cut_lineage(_listed(found.filter(F.col("n") <= FEW), sketches, least))
-    verified = None
-    while True:
+    verified, labels = None, found.select("class", F.col("class").alias("label")).limit(0)
+
+    def compare(pairs: DataFrame) -> None:
+        """Verify pairs that were not tested before and renew the labels."""
+        nonlocal verified, labels
         ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class")))
         of = cut_lineage(_representatives(docs, firsts, ends))
         new = _verified(pairs, of, width, least)
         verified = new if verified is None else cut_lineage(verified.unionByName(new))
         labels = components(verified.filter("linked"))
+
+    def untested(pairs: DataFrame) -> DataFrame:
+        return pairs if verified is None else pairs.join(verified, ["a", "b"], "left_anti")
+
+    for _ in range(ROUNDS):
+        met = untested(_met(_labelled(found, labels)))
+        compare(cut_lineage(_likely(met, sketches, least)))
+    listed = untested(_listed(found.filter(F.col("n") <= FEW), labels))
+    compare(cut_lineage(_likely(listed, sketches, least)))
+    large = found.filter(F.col("n") > FEW).select("signature", "class")
+    while True:
         pairs = cut_lineage(_reported(large, labels, sketches, verified.filter("not linked"), least))
         if pairs.isEmpty():
             return described, labels
+        compare(pairs)
 
 
 def join(docs: DataFrame, width: int = 4, least: int = 85) -> DataFrame:
@@ -412,13 +472,23 @@ def join(docs: DataFrame, width: int = 4, least: int = 85) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, width: int = 5, least: int = 80) -> DataFrame:
-    """One document of each component, the one with the smallest id; columns unchanged.
+    """One document of each component, the one with the smallest id (null last); columns unchanged.
 
-    Documents without words and without id stay. Rows that repeat an id and text stay together.
+    Of rows that repeat its id, one with the smallest text hash stays, and of rows that repeat both, one.
+    Documents without words all stay.
     """
-    found = join(docs, width, least)
-    stay = (F.col("size") == 0) | F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
-    kept = found.filter(stay).select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).distinct()
-    kept = cut_lineage(kept)
-    same = docs["doc_id"].eqNullSafe(F.col("_kept_id")) & (F.xxhash64(docs["text"]) == F.col("_kept_hash"))
-    return docs.join(_told_small(kept, kept.count()), same, "left_semi")
+    number, hashed, chosen = (fresh(docs, x) for x in ("number", "hash", "of"))
+    described, labels = classes(docs, width, least)
+    whole = described.filter("size > 0").select("doc_id", "text_hash", "class").join(labels, "class", "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    kept = whole.groupBy(F.coalesce("label", "class").alias("part")).agg(first)
+    kept = kept.select(F.col("first.doc_id").alias(chosen), F.col("first.text_hash").alias(hashed))
+    empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    same = F.col("doc_id").eqNullSafe(F.col(chosen)) & (F.xxhash64("text") == F.col(hashed))
+    rows = docs.filter(~empty).join(cut_lineage(kept), same, "left_semi")
+    # rows alike in id and text: all but one are dropped, partly before the shuffle
+    repeated = whole.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = cut_lineage(repeated.select(F.col("doc_id").alias(chosen), F.col("text_hash").alias(hashed)))
+    alike = rows.join(repeated, same, "left_semi").groupBy("doc_id", F.xxhash64("text").alias(hashed))
+    one = alike.agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(number)).select(f"{number}.*")
+    return rows.join(repeated, same, "left_anti").unionByName(one).unionByName(docs.filter(empty))

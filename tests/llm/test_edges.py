@@ -364,6 +364,19 @@ def test_jaccard_matches_brute_force(spark, monkeypatch, width, least, block):
     assert [got[i] for i in range(len(texts))] == brute_components(texts, width, least)
 
 
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_jaccard_large_buckets_match_brute_force(spark, monkeypatch, rounds):
+    for name, value in (("BLOCK", 9), ("FEW", 2), ("PARTNERS", 1), ("ROUNDS", rounds)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = np.random.default_rng(29)
+    texts = [t for words, changes in ((40, 6), (130, 14)) for t in near_copies(rng, 60, words, changes)]
+    # a passage that texts of one length share without linking
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts += [f"{passage} " + " ".join(f"q{k}-{j}" for j in range(70)) for k in range(20)]
+    got = {r["doc_id"]: (r["size"], r["component_id"]) for r in jaccard.join(documents(spark, texts), 5, 80).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, 5, 80)
+
+
 def test_jaccard_signatures_share_one(spark):
     rng = np.random.default_rng(1)
     for size in (6, 7, 13, 40, 200, 900):
@@ -382,10 +395,19 @@ def test_jaccard_keeps_one(spark):
     docs = documents(spark, ["a b c d e f g", "a b c d e f g", None, "", "x y", "x y"], ids=[5, 3, 1, None, None, 9])
     kept = jaccard.keep_first(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "9", "None", "None"]
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "9", "None"]
     assert jaccard.join(nothing(spark)).count() == 0
 
 
+def test_jaccard_keeps_one_of_repeated_rows_and_null_ids(spark):
+    near = list(near_copies(np.random.default_rng(3), 4, 60, 1))
+    docs = documents(spark, [*near, near[0], "a b", "a b", "a b", *["c d"] * 5, "", ""], ids=[None] * 4 + [None, 4, 4, 2, *[7] * 5, 8, 8])
+    docs = docs.select("*", *[F.lit(0).alias(c) for c in ("number", "hash", "of", "class", "label", "_id", "_hash")])
+    kept = jaccard.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "7", "8", "8", "None"]
+
+
 # --- language model --------------------------------------------------------------------------------
 
 
