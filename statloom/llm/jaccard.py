@@ -14,7 +14,7 @@ So empty pieces, which any two sets may share, hardly ever make a signature.
 
 Sets that are equal form a *class*, known by a digest. From then on there is one row per class:
 
-1. Signatures are counted; those of a single class are dropped.
+1. Signatures are dealt by ranges and read in order; those of a single class are dropped.
 2. Each class that is left gets a *sketch*: its elements added up in cells. Sets that differ in more
    cells than k cannot link, so sketches rule pairs out before any text is compared.
 3. In each bucket of several labels (connected components of the links found so far) a member meets one end
@@ -24,7 +24,7 @@ Sets that are equal form a *class*, known by a digest. From then on there is one
 4. Small buckets that still hold several labels give all their pairs across labels, at most ``FEW - 1`` for a member.
 5. Large buckets that hold several labels are compared in blocks of bounded size. For each member a block
    reports the ``PARTNERS`` nearest that may link, have another label and are not yet tested. The pairs are
-   verified, labels renewed, and the step repeated until no block reports a pair.
+   verified, labels renewed, and the step repeated for the buckets whose blocks had more to report.
 
 So a group of near copies never gives a row for each of its pairs, and no pair that could join two
 components stays untested. Components come from repeated joins with cut lineage. Only counts reach
@@ -223,13 +223,49 @@ def _told_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL else df
 
 
+def _neighbours(signed: DataFrame) -> DataFrame:
+    """The rows of ``signature``, ``class`` whose signature other classes have too, and few others, each once.
+
+    The rows are dealt by ranges of both columns, so a frequent signature spreads over tasks, and each range is
+    read in order: a row stays if the one before or after it has its signature, or if it stands next to
+    the end of its range, where the neighbour is not seen. The shuffle is the only one that all signatures meet.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        first = True
+        for batch in batches:
+            rows = np.stack([batch.column(c).to_numpy() for c in ("signature", "class")], axis=1)
+            rows = np.concatenate([*held, rows])
+            new = np.ones(len(rows), dtype=bool)
+            new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+            rows = rows[new]
+            same = rows[1:, 0] == rows[:-1, 0]
+            keep = np.zeros(len(rows), dtype=bool)
+            keep[1:] |= same
+            keep[:-1] |= same
+            if first and len(rows) > 1:
+                keep[0], first = True, False
+            # the last row is held back, with the one before if they belong together, and read again with the next batch
+            held = [rows[-2:] if keep[-1:].any() else rows[-1:]]
+            keep[-1:] = False
+            yield _signed(rows[keep])
+        if held:
+            yield _signed(held[0])
+
+    dealt = signed.repartitionByRange("signature", "class").sortWithinPartitions("signature", "class")
+    return dealt.mapInArrow(run, "signature long, class long")
+
+
+def _signed(rows: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch({"signature": pa.array(rows[:, 0]), "class": pa.array(rows[:, 1])})
+
+
 def members(first: DataFrame) -> DataFrame:
     """``signature``, ``class``, ``n`` of the signatures that ``n`` > 1 classes have; ``first`` has a row per class."""
-    signed = first.select("class", F.explode("signatures").alias("signature"))
-    counted = signed.groupBy("signature").count()
-    repeated = cut_lineage(counted.filter("count > 1").select("signature"))
-    again = signed.join(_told_small(repeated, repeated.count()), "signature", "left_semi")
-    different = cut_lineage(again.distinct())
+    signed = first.select(F.explode("signatures").alias("signature"), "class")
+    # rows next to the end of a batch may come twice
+    different = cut_lineage(_neighbours(signed)).distinct()
     sizes = different.groupBy("signature").agg(F.count("*").alias("n")).filter("n > 1")
     return cut_lineage(different.join(sizes, "signature"))
 
@@ -279,8 +315,10 @@ def _likely(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
     return pairs.join(of["a"], "a").join(of["b"], "b").mapInArrow(run, "a long, b long")
 
 
-def _labelled(found: DataFrame, labels: DataFrame) -> DataFrame:
+def _labelled(found: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Members with their label, the class itself where it has no link yet."""
+    if labels is None:
+        return found.withColumn("label", F.col("class"))
     return found.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
 
 
@@ -317,33 +355,50 @@ def _verified(pairs: DataFrame, of: DataFrame, width: int, least: int) -> DataFr
     return cut_lineage(both.mapInArrow(run, "a long, b long, linked boolean"))
 
 
+def _forest(edges: DataFrame) -> bool:
+    """Whether ``edges`` are stars already: no node has two smaller ones, or both a smaller and a larger one."""
+    ends = edges.select(F.col("a").alias("u"), F.lit(1).alias("is")).union(edges.select(F.col("b").alias("u"), F.lit(0).alias("is")))
+    up = ends.groupBy("u").agg(F.sum("is").alias("up"), F.min("is").alias("least"))
+    return up.filter("up > 1 OR up > least").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``class``, ``label`` (the smallest class reachable) for every class in ``links`` (``a``, ``b``).
 
-    Alternating stars: every node's larger neighbours, then its smaller ones, are tied to the smallest.
+    Alternating stars: every node's larger neighbours, then its smaller ones, are tied to the smallest,
+    until only stars are left.
     """
-    edges, before = cut_lineage(links.select("a", "b").filter("a <> b").distinct()), None
-    while True:
+    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
+    edges = cut_lineage(edges.distinct())
+    while not _forest(edges):
         for larger in (True, False):
             both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
             if larger:
                 both = both.union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-            else:
-                both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
             lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
             tied = both.join(lowest, "u")
             tied = tied.filter("v > u") if larger else tied
             new = tied.select(F.col("v").alias("a"), F.col("low").alias("b"))
             if not larger:
                 new = new.union(lowest.select(F.col("u").alias("a"), F.col("low").alias("b")))
+            new = new.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
             edges = cut_lineage(new.filter("a <> b").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     whole = edges.select(F.col("a").alias("class"), F.col("b").alias("label"))
-    roots = whole.select(F.col("label").alias("class"), "label")
-    return cut_lineage(whole.union(roots).groupBy("class").agg(F.min("label").alias("label")))
+    return whole.union(whole.select(F.col("label").alias("class"), "label").distinct())
+
+
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The labels after new ``links`` (``a``, ``b``): components of the labels that the links tie, passed on to their classes."""
+    if labels is None:
+        return cut_lineage(components(links))
+    of = {k: labels.select(F.col("class").alias(k), F.col("label").alias(f"label_{k}")) for k in "ab"}
+    ties = links.join(of["a"], "a", "left").join(of["b"], "b", "left")
+    ties = ties.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    roots = components(ties).select(F.col("class").alias("label"), F.col("label").alias("root"))
+    known = labels.join(roots, "label", "left").select("class", F.coalesce("root", "label").alias("label"))
+    # classes without a label until now are their own
+    new = roots.select(F.col("label").alias("class"), F.col("root").alias("label")).join(labels, "class", "left_anti")
+    return cut_lineage(known.unionByName(new))
 
 
 def apart(a: np.ndarray, b: np.ndarray) -> int:
@@ -362,8 +417,8 @@ def _folded(sketches: list[np.ndarray]) -> np.ndarray:
     return np.stack(out)
 
 
-def nearest(classes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sketches: list[np.ndarray], side: np.ndarray, failed: list[set], least: int) -> set[tuple[int, int]]:
-    """For each member, the ``PARTNERS`` nearest of another label that may link and have not failed.
+def nearest(classes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sketches: list[np.ndarray], side: np.ndarray, failed: list[set], least: int) -> tuple[set[tuple[int, int]], bool]:
+    """For each member, the ``PARTNERS`` nearest of another label that may link and have not failed; whether others are left.
 
     ``side`` has the chunk of each member: of two chunks, only pairs across them are compared.
     """
@@ -389,28 +444,56 @@ def nearest(classes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sketches
                     pair = (int(differ[k]), min(a, b), max(a, b))
                     partners[x].append(pair)
                     partners[y].append(pair)
-    return {(a, b) for found in partners for _, a, b in sorted(found)[:PARTNERS]}
+    given = {(a, b) for found in partners for _, a, b in sorted(found)[:PARTNERS]}
+    return given, any((a, b) not in given for found in partners for _, a, b in found)
+
+
+def _placed(open_: DataFrame) -> DataFrame:
+    """The members of each block: ``signature``, ``block``, ``side``, ``class``, ``label``.
+
+    A bucket of up to ``BLOCK`` members is a block. In a larger one each label with more than half as many has chunks
+    of its own and the other labels share chunks; two chunks make a block unless both are of one label.
+    So a large label meets the others in its bucket, but not itself.
+    """
+    counts = open_.groupBy("signature", "label").agg(F.count("*").alias("n"))
+    totals = counts.groupBy("signature").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("n") * 2 <= BLOCK, F.col("n"))).alias("rest"))
+    alone = (F.col("total") > BLOCK) & (F.col("n") * 2 > BLOCK)
+    shared = F.when(F.col("total") > BLOCK, F.col("rest")).otherwise(BLOCK)
+    kinds = counts.join(totals, "signature").select(
+        "signature",
+        "label",
+        F.when(alone, F.col("label")).alias("of"),
+        F.ceil(F.when(alone, F.col("n")).otherwise(shared) / BLOCK).alias("chunks"),
+    )
+    kinds = cut_lineage(kinds)
+    chunk = F.struct("of", F.pmod(F.xxhash64("class"), F.col("chunks")).alias("k")).alias("chunk")
+    rows = open_.join(kinds, ["signature", "label"]).select("signature", "class", "label", chunk)
+    chunks = kinds.select("signature", "of", "chunks").distinct()
+    chunks = chunks.select("signature", "of", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("k"))
+    chunks = chunks.select("signature", F.struct("of", "k").alias("chunk"))
+    pairs = chunks.withColumnRenamed("chunk", "p").join(chunks.withColumnRenamed("chunk", "q"), "signature")
+    pairs = pairs.filter((F.col("p") <= F.col("q")) & (F.col("p.of").isNull() | ~F.col("p.of").eqNullSafe(F.col("q.of"))))
+    block = F.xxhash64("p.of", "p.k", "q.of", "q.k").alias("block")
+    left = pairs.select("signature", F.col("p").alias("chunk"), block, F.lit(0).alias("side"))
+    right = pairs.filter("p <> q").select("signature", F.col("q").alias("chunk"), block, F.lit(1).alias("side"))
+    return rows.join(left.union(right), ["signature", "chunk"]).drop("chunk")
 
 
 def _reported(found: DataFrame, labels: DataFrame, sketches: DataFrame, failed: DataFrame, least: int) -> DataFrame:
-    """``a``, ``b``: what the blocks of large buckets with several labels report."""
+    """``signature``, ``a``, ``b``, ``more``: what the blocks of large buckets with several labels report.
+
+    ``more``: the block holds other pairs that may link.
+    """
     open_ = cut_lineage(_several(_labelled(found, labels), "label"))
-    counts = open_.groupBy("signature").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
-    chunk = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
-    placed = open_.join(counts, "signature").withColumn("side", chunk)
-    # every pair of chunks of a bucket is a block; a bucket of one chunk is a block of its own
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    placed = placed.withColumn("_other", other).select(
-        "signature", F.least("side", "_other").alias("left"), F.greatest("side", "_other").alias("right"), "side", "class", "label"
-    )
     lists = failed.groupBy("a").agg(F.collect_list("b").alias("failed")).withColumnRenamed("a", "class")
     told = sketches.join(lists, "class", "left")
-    rows = placed.join(told, "class").select("signature", "left", "right", "side", "class", "label", "size", "sketch", "failed")
+    rows = _placed(open_).join(told, "class")
+    rows = rows.select("signature", "block", "side", "class", "label", "size", "sketch", "failed")
 
     def run(table: pa.Table) -> pa.Table:
         # one block: at most two chunks of a bucket
         d = table.to_pydict()
-        pairs = nearest(
+        pairs, more = nearest(
             np.array(d["class"]),
             np.array(d["label"]),
             np.array(d["size"]),
@@ -419,10 +502,11 @@ def _reported(found: DataFrame, labels: DataFrame, sketches: DataFrame, failed:
             [set(f or ()) for f in d["failed"]],
             least,
         )
-        columns = list(zip(*pairs)) or [(), ()]
-        return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64())})
+        columns, n = list(zip(*pairs)) or [(), ()], len(pairs)
+        given = {"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64())}
+        return pa.table({"signature": pa.array(d["signature"][:1] * n, pa.int64())} | given | {"more": pa.array([more] * n, pa.bool_())})
 
-    return rows.groupBy("signature", "left", "right").applyInArrow(run, "a long, b long").distinct()
+    return rows.groupBy("signature", "block").applyInArrow(run, "signature long, a long, b long, more boolean")
 
 
 def classes(docs: DataFrame, width: int, least: int) -> tuple[DataFrame, DataFrame]:
@@ -434,7 +518,8 @@ def classes(docs: DataFrame, width: int, least: int) -> tuple[DataFrame, DataFra
     found = members(first)
     sketches = first.select("class", "size", "sketch").join(found.select("class").distinct(), "class", "left_semi")
     sketches = cut_lineage(sketches.dropDuplicates(["class"]))
-    verified, labels = None, found.select("class", F.col("class").alias("label")).limit(0)
+    verified: DataFrame | None = None
+    labels: DataFrame | None = None
 
     def compare(pairs: DataFrame) -> None:
         """Verify pairs that were not tested before and renew the labels."""
@@ -442,8 +527,8 @@ def classes(docs: DataFrame, width: int, least: int) -> tuple[DataFrame, DataFra
         ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class")))
         of = cut_lineage(_representatives(docs, firsts, ends))
         new = _verified(pairs, of, width, least)
-        verified = new if verified is None else cut_lineage(verified.unionByName(new))
-        labels = components(verified.filter("linked"))
+        verified = new if verified is None else verified.unionByName(new)
+        labels = merged(labels, new.filter("linked"))
 
     def untested(pairs: DataFrame) -> DataFrame:
         return pairs if verified is None else pairs.join(verified, ["a", "b"], "left_anti")
@@ -455,10 +540,16 @@ def classes(docs: DataFrame, width: int, least: int) -> tuple[DataFrame, DataFra
     compare(cut_lineage(_likely(listed, sketches, least)))
     large = found.filter(F.col("n") > FEW).select("signature", "class")
     while True:
-        pairs = cut_lineage(_reported(large, labels, sketches, verified.filter("not linked"), least))
-        if pairs.isEmpty():
+        reported = cut_lineage(_reported(large, labels, sketches, verified.filter("not linked"), least))
+        pairs = untested(reported.select("a", "b").distinct())
+        if reported.isEmpty():
+            return described, labels
+        compare(cut_lineage(pairs))
+        # buckets whose blocks reported all they have are done
+        unfinished = reported.filter("more").select("signature").distinct()
+        large = cut_lineage(large.join(unfinished, "signature", "left_semi"))
+        if large.isEmpty():
             return described, labels
-        compare(pairs)
 
 
 def join(docs: DataFrame, width: int = 4, least: int = 85) -> DataFrame:
