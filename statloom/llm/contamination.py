@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import slices
+from statloom.llm.common import row_of, slices
 from statloom.session import cut_lineage
 
 WINDOW = 13
@@ -204,5 +204,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """The documents of ``docs`` that are not contaminated, with the same columns."""
-    judged = contamination(docs, benchmark, window, share)
-    return judged.filter(~F.col("_contamination.contaminated")).drop(_FOUND, "_contamination")
+    # the caller's columns wait in a struct, where their names cannot clash
+    others = [c for c in docs.columns if c != "text"]
+    judged = contamination(docs.select("text", row_of(docs, others or ["text"])), benchmark, window, share)
+    kept = judged.filter(~F.col("_contamination.contaminated"))
+    return kept.select(*[F.col("row").getField(c).alias(c) if c in others else F.col("text") for c in docs.columns])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import id_remainder, lowered, slices, texts
+from statloom.llm.common import fresh, id_remainder, lowered, slices, texts
 
 BUCKETS = 1 << 15
 FACTORS = 4
@@ -211,6 +211,8 @@ def score(docs: DataFrame, model: FactorisationMachine, name: str = "_score") ->
             columns = [batch.column(c) for c in given] + [pa.array(shipped.value.scores(x))]
             yield pa.RecordBatch.from_arrays(columns, [*given, name])
 
+    if name.lower() in (c.lower() for c in given):
+        raise ValueError(f"the documents have a column {name} already")
     schema = docs.withColumn(name, F.lit(0.0)).schema
     return _inputs(docs).mapInArrow(run, schema)
 
@@ -223,4 +225,5 @@ def held_out(name: str = "doc_id") -> Column:
 def keep(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents scored ``least`` or more, with the same columns."""
     model = learn(docs, labels, ~held_out())
-    return score(docs, model).filter(F.col("_score") >= least).drop("_score")
+    name = fresh(docs, "_score")
+    return score(docs, model, name).filter(F.col(name) >= least).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -133,8 +133,9 @@ FROM placed
 
 @query("op2_mixing", MIXING_SQL)
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "source", mixing.size_of().alias("size"))
-    taken = mixing.copies(docs).withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    docs = table(spark, folder, "documents")
+    docs = docs.select("doc_id", "source", mixing.size_of().alias("size"), F.xxhash64("text").alias("hash"))
+    taken = mixing.copies(docs)
     return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -157,6 +157,12 @@ def test_mixing_repeated_rows_and_empty(spark):
     sized = docs.select("doc_id", "source", mixing.size_of().alias("size"))
     rows = {r["doc_id"]: r for r in mixing.copies(sized).collect()}
     assert rows[1]["rows"] == 3 and rows[1]["source_size"] == 8
+    # many rows alike are taken one by one: the words taken meet the target
+    docs = documents(spark, ["a b"] * 60 + ["c d e"] * 40, ids=[None] * 100, sources=["a"] * 60 + ["b"] * 40)
+    docs = docs.select("*", *[F.lit(0).alias(c) for c in ("row", "_row", "_copies", "number", "rows", "hash", "_taken_size")])
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    assert {r["source"]: r["count"] for r in mixed.groupBy("source").count().collect()} == {"a": 40, "b": pytest.approx(160 / 3, abs=1)}
     assert mixing.mix(nothing(spark)).count() == 0
 
 
@@ -227,6 +233,16 @@ def test_chats_collapse(spark):
     assert chat.format_chats(table.limit(0)).count() == 0
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    docs = documents(spark, ["one two three four"] * 3 + [None])
+    docs = docs.select("*", *[F.lit(c).alias(c) for c in ("_score", "__SCORE", "_match", "_contamination", "row")])
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([("i", "nine ten")], "item_id string, text string")
+    for kept in (quality.keep(docs, labels), contamination.clean(docs, benchmark)):
+        assert kept.columns == docs.columns
+        assert all(r["_match"] == "_match" and r["_score"] == "_score" for r in kept.collect())
+
+
 # --- secrets ---------------------------------------------------------------------------------------
 
 
