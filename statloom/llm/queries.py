@@ -157,18 +157,19 @@ def _secrets_sql() -> str:
         base.append(f"SELECT * FROM ({_spans_sql(p, kind)}) WHERE length({value}) >= {least}")
     for kind, (_, pattern, needs, never, _, limit) in enumerate(secrets.CLASSES, len(secrets.BASE)):
         more.append(f"""
-          SELECT *, {secrets.most_cost(limit)} AS most FROM ({_spans_sql(pattern, kind)}) WHERE regexp_matches(value, '{needs}')
-          AND NOT regexp_full_match(value, '{never}') AND NOT regexp_matches(value, '{secrets.ALLOWED}')""")
+          SELECT *, {secrets.most_cost(limit)} AS most FROM
+            (SELECT *, unnest(string_split_regex(value, '{secrets.ALLOWED}')) AS piece FROM ({_spans_sql(pattern, kind)}))
+          WHERE length(piece) >= {secrets.WIDTH} AND regexp_matches(piece, '{needs}') AND NOT regexp_full_match(piece, '{never}')""")
     names = ", ".join(f"'{k}'" for k in secrets.KINDS)
     w = secrets.WIDTH
     return f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 base AS ({" UNION ALL ".join(base)}),
-candidates AS ({" UNION ALL ".join(more)}),
-windows AS (SELECT *, unnest(generate_series(1, length(value) - {w - 1})) AS pos FROM candidates),
-letters AS (SELECT doc_id, kind, s, value, most, pos, unnest(string_split(substr(value, pos, {w}), '')) AS c FROM windows),
-counted AS (SELECT doc_id, kind, s, value, most, pos, c, count(*) AS n FROM letters GROUP BY ALL),
-summed AS (SELECT doc_id, kind, s, value, most, pos, sum(({list(secrets.costs())})[n + 1]) AS cost FROM counted GROUP BY ALL),
+candidates AS (SELECT *, row_number() OVER () AS id FROM ({" UNION ALL ".join(more)})),
+windows AS (SELECT *, unnest(generate_series(1, length(piece) - {w - 1})) AS pos FROM candidates),
+letters AS (SELECT doc_id, kind, s, value, most, id, pos, unnest(string_split(substr(piece, pos, {w}), '')) AS c FROM windows),
+counted AS (SELECT doc_id, kind, s, value, most, id, pos, c, count(*) AS n FROM letters GROUP BY ALL),
+summed AS (SELECT doc_id, kind, s, value, most, id, pos, sum(({list(secrets.costs())})[n + 1]) AS cost FROM counted GROUP BY ALL),
 dense AS (SELECT doc_id, kind, value, s FROM summed GROUP BY doc_id, kind, s, value, most HAVING min(cost) <= most),
 new AS (SELECT * FROM dense d WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = d.doc_id
   AND b.s < d.s + length(d.value) AND d.s < b.s + length(b.value))),

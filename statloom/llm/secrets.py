@@ -5,8 +5,9 @@ method adds spans: candidates are runs of one character class (``CLASSES``) of a
 moves over each candidate one character at a time, and the counts of its characters are updated by the
 one that enters and the one that leaves. With g(c) = c * log2(c) the window's entropy is
 log2(width) - sum(g(count)) / width, so only the counts and the sum are carried (in whole millionths of
-a bit, so that no rounding adds up). A candidate is reported if the largest entropy of its windows
-reaches the limit of its class, unless the allow-list names it or a pattern already covers part of it.
+a bit, so that no rounding adds up). Candidates are cut at what the allow-list names, and only the pieces
+between are judged: a candidate is reported whole if the largest entropy of a piece's windows reaches the limit of
+its class, unless a pattern already covers part of it. The work grows with the length of a candidate.
 
 Everything is a DataFrame expression on one row: no shuffle, no Python. Positions are code points.
 Null and empty texts have no spans. Ids, ties and repeated rows are passed on as they are; other
@@ -29,7 +30,7 @@ BASE = [
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 ]
 WIDTH = 20
-#: kind, candidates, what they must contain, what they must not be, the class, least entropy in bits
+#: kind, candidates, what a judged piece must contain, what it must not be, the class, least entropy in bits
 CLASSES = [
     ("entropy_hex", r"[0-9A-Fa-f]{20,}", r"[0-9]", r"[0-9]+", "0123456789ABCDEFabcdef", 3.0),
     (
@@ -42,10 +43,10 @@ CLASSES = [
     ),
 ]
 KINDS = [k for k, *_ in BASE] + [k for k, *_ in CLASSES]
-#: Candidates that are known to be harmless: placeholders, alphabets, UUIDs, paths and links.
+#: Parts of candidates that are known to be harmless: placeholders, alphabets, UUIDs, paths of short names and links.
 ALLOWED = (
     r"(?i)example|sample|placeholder|changeme|redacted|xxxxx|0123456789|abcdefghij|"
-    r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|/[a-z0-9_-]+/[a-z0-9_-]+/|www|http"
+    r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|(?:/[a-z0-9_-]{1,16}){2,}/|www|http"
 )
 _SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
@@ -82,37 +83,40 @@ def _found(text: Column, pattern: str, kind: int) -> Column:
 def least_cost(value: Column, alphabet: str, width: int = WIDTH) -> Column:
     """The least sum of costs over the windows of ``value``: its largest entropy."""
     cost = F.array(*[F.lit(c) for c in costs(width)])
+    # places in the class, from 1, found once per character; 0 while nothing leaves yet
+    places = F.transform(F.regexp_extract_all(value, F.lit("."), F.lit(0)), lambda c: F.instr(F.lit(alphabet), c))
+    left = F.concat(F.array_repeat(F.lit(0), width), places)
+    moves = F.zip_with(places, left, lambda p, q: F.struct(p.alias("enters"), q.alias("leaves")))
     first = F.struct(
         F.array_repeat(F.lit(0), len(alphabet)).alias("counts"),
+        F.lit(0).alias("n"),
         F.lit(0).alias("sum"),
         F.lit(costs(width)[-1]).alias("least"),
     )
 
-    def step(a: Column, i: Column) -> Column:
-        # places in the class, from 1; 0 while nothing leaves yet
-        enters = F.instr(F.lit(alphabet), F.substr(value, i, F.lit(1)))
-        leaves = F.when(i > width, F.instr(F.lit(alphabet), F.substr(value, i - width, F.lit(1)))).otherwise(0)
+    def step(a: Column, x: Column) -> Column:
+        enters, leaves = x["enters"], x["leaves"]
         n_in, n_out = F.get(a["counts"], enters - 1), F.get(a["counts"], leaves - 1)
         change = F.get(cost, n_in + 1) - F.get(cost, n_in)
         change = change + F.when(leaves > 0, F.get(cost, n_out - 1) - F.get(cost, n_out)).otherwise(0)
         total = a["sum"] + F.when(enters == leaves, 0).otherwise(change)
         counts = F.transform(a["counts"], lambda c, k: c + (k == enters - 1).cast("int") - (k == leaves - 1).cast("int"))
-        least = F.when(i >= width, F.least(a["least"], total)).otherwise(a["least"])
-        return F.struct(counts.alias("counts"), total.alias("sum"), least.alias("least"))
+        least = F.when(a["n"] + 1 >= width, F.least(a["least"], total)).otherwise(a["least"])
+        return F.struct(counts.alias("counts"), (a["n"] + 1).alias("n"), total.alias("sum"), least.alias("least"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(value)), first, step, lambda a: a["least"])
+    return F.aggregate(F.slice(moves, F.lit(1), F.char_length(value)), first, step, lambda a: a["least"])
 
 
 def _long_enough(pattern: str, group: int, least: int):
     return lambda s: F.char_length(F.regexp_extract(s["value"], pattern, group)) >= least
 
 
-def _doubtful(needs: str, never: str):
-    return lambda s: s["value"].rlike(needs) & ~s["value"].rlike(f"^(?:{never})$") & ~s["value"].rlike(ALLOWED)
-
+def _dense(needs: str, never: str, alphabet: str, limit: float):
+    def piece(p: Column) -> Column:
+        doubtful = (F.char_length(p) >= WIDTH) & p.rlike(needs) & ~p.rlike(f"^(?:{never})$")
+        return doubtful & (least_cost(p, alphabet) <= most_cost(limit))
 
-def _dense(alphabet: str, limit: float):
-    return lambda s: least_cost(s["value"], alphabet) <= most_cost(limit)
+    return lambda s: F.exists(F.split(s["value"], ALLOWED, -1), piece)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -122,8 +126,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     for kind, (_, pattern, group, least) in enumerate(BASE):
         base[f"_spans_{kind}"] = F.filter(_found(whole, pattern, kind), _long_enough(pattern, group, least))
     for kind, (_, pattern, needs, never, alphabet, limit) in enumerate(CLASSES, len(BASE)):
-        candidates = F.filter(_found(whole, pattern, kind), _doubtful(needs, never))
-        more[f"_spans_{kind}"] = F.filter(candidates, _dense(alphabet, limit))
+        more[f"_spans_{kind}"] = F.filter(_found(whole, pattern, kind), _dense(needs, never, alphabet, limit))
     out = docs.withColumns(base | more).withColumn("_base", F.concat(*base)).withColumn("_more", F.concat(*more))
 
     def apart(s: Column) -> Column:

@@ -262,6 +262,16 @@ def test_secret_entropy_matches_brute_force(spark):
         assert np.log2(20) - cost / 20e6 == pytest.approx(best, abs=1e-5)
 
 
+def test_long_secret_with_allowed_parts(spark):
+    rng = np.random.default_rng(8)
+    alphabet = list(secrets.CLASSES[1][4])
+    long = "".join(rng.choice(alphabet, 20_000))
+    texts = [long, long[:400] + "www" + long[400:800], f"/services/T0/B0/{long[:60].replace('/', 'x')}", "/data/" * 400, "example" * 300]
+    found = secrets.scan(documents(spark, texts)).select("doc_id", secrets.listed(F.col("_spans"), secrets.KINDS))
+    spans = {r[0]: r[1] for r in found.collect()}
+    assert spans == {k: f"entropy_mixed:0:{len(t)}" if k < 3 else "" for k, t in enumerate(texts)}
+
+
 def test_secret_spans(spark):
     key, mixed = "AKIA" + "B7" * 10, "aZ3xQ9mK2pL7vT1wR8yN4c"
     texts = [
