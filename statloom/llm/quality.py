@@ -183,9 +183,9 @@ def learn(docs: DataFrame, labels: DataFrame, learns: Column, sample: int = SAMP
                 }
             )
 
-    found = rows.mapInArrow(run, "doc_id long, label int, feature binary, value binary").collect()
+    found = rows.mapInArrow(run, "doc_id long, label int, feature binary, value binary")
     # rows that repeat a document could exceed the bound
-    found = sorted(found, key=lambda r: (r["doc_id"], r["feature"], r["value"]))[:sample]
+    found = found.orderBy("doc_id", "feature", "value").limit(sample).collect()
     model = FactorisationMachine()
     if not found:
         model.vectors[:] = 0
