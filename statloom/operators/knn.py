@@ -1,21 +1,24 @@
 """Exact k-nearest-neighbour join inside segments.
 
 Comparing every subject with every candidate of its segment grows with the square of the segment, so
-candidates are grouped around a few pivot points per segment. The triangle inequality then tells
-which groups can hold a neighbour of a subject, and a subject visits only those. Groups and visits
-are cut into blocks of bounded size, each block returns at most k rows per subject, and a final
-top-k merges them. The result is exact for any choice of pivots. Tables that are read several times
-are materialised in the checkpoint folder.
+the candidates are dealt into cells of about ``min_cell_rows`` rows by cuts at medians, along the feature
+that varies most in what is cut. The cuts are chosen on a bounded sample, which decides only how quick the
+search is; the box around a cell's rows is taken from all of them. A subject is compared with its own cell
+first. The distance to the k-th candidate found there bounds its search: it visits only cells whose box
+is no farther. So the cells that a subject visits do not multiply with the table. Cells and visits are cut
+into blocks of bounded size, and a final top-k merges what the blocks return. The result is exact for any
+choice of cuts. The driver holds the cuts and boxes, at most ``SAMPLE_ROWS`` / ``LEAST_SAMPLE`` of them. Of
+candidates at one point only the first k by id can be neighbours, and only they are dealt out. Tables that
+are read several times are materialised in the checkpoint folder.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,14 +27,115 @@ from statloom.session import cut_lineage
 
 BLOCK_ROWS = 8192
 MIN_CELL_ROWS = 512
-MOST_BROADCAST_PIVOTS = 100_000
+#: Rows on which the cuts are chosen, and the fewest of them that a cell holds.
+SAMPLE_ROWS = 131_072
+LEAST_SAMPLE = 8
+# pairs of one chunk of a block
+CHUNK_PAIRS = 1 << 18
 # widening of the search radius that absorbs rounding
 SLACK = 1e-9
 
 
-def _distance(point: Column, features: Sequence[str]) -> Column:
-    squares = [F.pow(F.get(point, F.lit(i)) - F.col(f), F.lit(2)) for i, f in enumerate(features)]
-    return F.sqrt(reduce(lambda a, b: a + b, squares))
+class Cells:
+    """Cuts of all segments: the children of a node are ``child`` (x <= cut) and the next one, a leaf has axis -1.
+
+    Node 0 is the only cell of every segment that is not cut.
+    """
+
+    def __init__(self) -> None:
+        self.axis, self.cut, self.child = [-1], [0.0], [0]
+
+    def grow(self, points: np.ndarray, least: int) -> int | None:
+        """Cut a segment until a side would have fewer than ``least`` of the points; its root, or None if it is not cut."""
+        root = len(self.axis)
+        self._add()
+        todo = [(root, points)]
+        while todo:
+            node, x = todo.pop()
+            for axis in np.argsort(-x.std(axis=0), kind="stable") if len(x) >= 2 * least else ():
+                values = np.sort(x[:, axis])
+                # the last place of the lower side: at the middle, or where equal values around it end or begin
+                cut = values[len(x) // 2 - 1]
+                low = int(np.searchsorted(values, cut, side="right"))
+                if len(x) - low < least:
+                    low = int(np.searchsorted(values, cut, side="left"))
+                if least <= low <= len(x) - least:
+                    self.axis[node], self.cut[node], self.child[node] = int(axis), float(values[low - 1]), len(self.axis)
+                    lower = x[:, axis] <= values[low - 1]
+                    for part in (x[lower], x[~lower]):
+                        todo.append((len(self.axis), part))
+                        self._add()
+                    break
+        if self.axis[root] < 0:
+            self.axis.pop(), self.cut.pop(), self.child.pop()
+            return None
+        return root
+
+    def _add(self) -> None:
+        self.axis.append(-1), self.cut.append(0.0), self.child.append(0)
+
+    def freeze(self) -> None:
+        self.axis, self.cut, self.child = np.array(self.axis), np.array(self.cut), np.array(self.child)
+
+    def place(self, root: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The cell of every row of ``x``."""
+        at, rows = root.copy(), np.arange(len(x))
+        while len(rows):
+            rows = rows[self.axis[at[rows]] >= 0]
+            node = at[rows]
+            at[rows] = self.child[node] + (x[rows, self.axis[node]] > self.cut[node])
+        return at
+
+    def bound(self, cell: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """Take the boxes of the cells; a node's box holds those of its children."""
+        self.low = np.full((len(self.axis), low.shape[1]), np.inf)
+        self.high = -self.low
+        self.low[cell], self.high[cell] = low, high
+        for node in range(len(self.axis) - 1, 0, -1):
+            if self.axis[node] >= 0:
+                sides = slice(self.child[node], self.child[node] + 2)
+                self.low[node], self.high[node] = self.low[sides].min(axis=0), self.high[sides].max(axis=0)
+
+    def within(self, root: np.ndarray, x: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) for the cells whose box is no farther from a row than its radius."""
+        limit = radius * (1 + SLACK) + SLACK
+        todo = [(int(r), np.flatnonzero(root == r)) for r in np.unique(root)]
+        found: list[tuple[np.ndarray, int]] = []
+        while todo:
+            node, rows = todo.pop()
+            gap = np.maximum(np.maximum(self.low[node] - x[rows], x[rows] - self.high[node]), 0.0)
+            rows = rows[~(np.sqrt((gap**2).sum(axis=1)) > limit[rows])]
+            if not len(rows):
+                continue
+            if self.axis[node] < 0:
+                found.append((rows, node))
+            else:
+                todo += [(int(self.child[node]), rows), (int(self.child[node]) + 1, rows)]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate([r for r, _ in found]), np.concatenate([np.full(len(r), n) for r, n in found])
+
+
+def _cut_segments(pool: DataFrame, segment: Sequence[str], features: Sequence[str], k: int, cell_rows: int, pivots: int | None) -> tuple[Cells, DataFrame | None]:
+    """The cuts, chosen on a sample of the candidates, and the cut segments with their root node."""
+    n = pool.count()
+    share = min(1.0, SAMPLE_ROWS / max(n, 1))
+    drawn = F.abs(F.xxhash64("_cid", *features) / float(2**63)) < share if share < 1 else F.lit(True)
+    sample: dict[tuple, list[tuple]] = {}
+    for row in pool.where(drawn).select(*segment, *features).limit(2 * SAMPLE_ROWS).collect():
+        sample.setdefault(tuple(row[: len(segment)]), []).append(tuple(row[len(segment) :]))
+    least = max(LEAST_SAMPLE, k, round(cell_rows * share / 2))
+    cells, roots = Cells(), []
+    for key, rows in sample.items():
+        points = np.array(rows, float)
+        root = cells.grow(points[np.isfinite(points).all(axis=1)], max(least, -(-len(points) // pivots)) if pivots else least)
+        if root is not None:
+            roots.append((*key, root))
+    cells.freeze()
+    if not roots:
+        return cells, None
+    schema = T.StructType([*(T.StructField(c, pool.schema[c].dataType) for c in segment), T.StructField("_root", T.IntegerType())])
+    return cells, pool.sparkSession.createDataFrame(roots, schema)
 
 
 def nearest(
@@ -42,7 +146,7 @@ def nearest(
     k: int,
     subject: str,
     candidate: str,
-    pivots: int = 32,
+    pivots: int | None = None,
     block_rows: int = BLOCK_ROWS,
     min_cell_rows: int = MIN_CELL_ROWS,
 ) -> DataFrame:
@@ -50,76 +154,68 @@ def nearest(
 
     Returns segment columns, ``subject``, ``position`` (1 = closest), ``candidate`` (both under the
     names given, prefixed ``match_`` if equal) and ``distance``. Equal distances are ordered by
-    candidate id. Rows with a missing feature take no part.
+    candidate id. Rows with a missing feature take no part. ``pivots`` bounds the cells of a segment.
     """
     segment, features = list(segment), list(features)
     match = f"match_{candidate}" if candidate == subject else candidate
     numbers = [F.col(f).cast("double").alias(f) for f in features]
-    pool = cut_lineage(candidates.select(*segment, F.col(candidate).alias("_cid"), *numbers).dropna())
+    pool = candidates.select(*segment, F.col(candidate).alias("_cid"), *numbers).dropna()
+    pool = cut_lineage(top_per_group(pool, [*segment, *features], ["_cid"], k))
     asking = subjects.select(*segment, F.col(subject).alias("_sid"), *numbers).dropna()
 
-    # pivots: a fixed scrambled choice of candidates, one per MIN_CELL_ROWS and at most `pivots`
-    sizes = pool.groupBy(*segment).agg(F.count(F.lit(1)).alias("_pool"))
-    chosen = top_per_group(pool, segment, [F.xxhash64("_cid"), "_cid"], pivots, rank="_cell")
-    chosen = chosen.join(sizes, segment).filter((F.col("_cell") - 1) * min_cell_rows < F.col("_pool")).drop("_pool")
-    points = chosen.groupBy(*segment).agg(
-        F.collect_list(F.struct("_cell", F.array(*features).alias("at"))).alias("_pivots")
-    )
-    # a directory holds at most `pivots` entries per segment; with few segments it is surely small
-    small = F.broadcast if sizes.count() * pivots <= MOST_BROADCAST_PIVOTS else (lambda df: df)
-    closest = F.array_min(
-        F.transform(
-            "_pivots",
-            lambda p: F.struct(_distance(p["at"], features).alias("d"), p["_cell"].alias("cell")),
-        )
-    )
-    placed = cut_lineage(
-        pool.join(small(points), segment)
-        .withColumn("_near", closest)
-        .select(*segment, "_cid", *features, F.col("_near.cell").alias("_cell"), F.col("_near.d").alias("_d"))
-    )
+    cuts, roots = _cut_segments(pool, segment, features, k, min_cell_rows, pivots)
+    schema = lambda df, *more: T.StructType([*df.schema.fields, *(T.StructField(c, T.IntegerType()) for c in more)])
+
+    def points(rows: pd.DataFrame) -> np.ndarray:
+        return rows[features].to_numpy(float)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield rows.assign(_cell=cuts.place(rows["_root"].to_numpy(np.int64), points(rows)).astype(np.int32))
+
+    def with_cell(df: DataFrame) -> DataFrame:
+        if roots is None:
+            return df.withColumn("_root", F.lit(0)).withColumn("_cell", F.lit(0))
+        # the directory is bounded by the sample
+        rooted = df.join(F.broadcast(roots), segment, "left").fillna(0, ["_root"])
+        return rooted.mapInPandas(place, schema(rooted, "_cell"))
 
     cells = [*segment, "_cell"]
-    reach = placed.groupBy(*cells).agg(F.count(F.lit(1)).alias("_n"), F.max("_d").alias("_far"))
-    heads = top_per_group(placed.select(*cells, "_d"), cells, ["_d"], k).groupBy(*cells).agg(
-        F.when(F.count(F.lit(1)) == k, F.max("_d")).alias("_kth")
-    )
-    known = chosen.select(*cells, F.array(*features).alias("at")).join(reach, cells).join(heads, cells)
-    directory = known.groupBy(*segment).agg(
-        F.collect_list(F.struct("_cell", "at", "_n", "_far", "_kth")).alias("_cells")
-    )
+    placed = cut_lineage(with_cell(pool).drop("_root"))
+    asking = cut_lineage(with_cell(asking))
+    own = closest_in_cells(asking.drop("_root"), placed, segment, cells, features, k, block_rows)
+    best = top_per_group(own, [*segment, "_sid"], ["distance", "_cid"], k, rank="position")
+    if roots is not None:
+        best = cut_lineage(best)
+        reach = best.where(F.col("position") == k).select(*segment, "_sid", F.col("distance").alias("_radius"))
+        lows, highs = ([f"_{side}{i}" for i in range(len(features))] for side in ("low", "high"))
+        sides = [g(f).alias(n) for g, names in ((F.min, lows), (F.max, highs)) for f, n in zip(features, names)]
+        boxes = placed.where("_cell > 0").groupBy("_cell").agg(*sides).toPandas()
+        cuts.bound(boxes["_cell"].to_numpy(), boxes[lows].to_numpy(float), boxes[highs].to_numpy(float))
 
-    # radius that surely holds k candidates, then the cells that reach into it
-    measured = asking.join(small(directory), segment).withColumn(
-        "_seen",
-        F.transform(
-            "_cells",
-            lambda c: F.struct(
-                _distance(c["at"], features).alias("d"), c["_cell"].alias("_cell"), c["_far"].alias("far"), c["_kth"].alias("kth")
-            ),
-        ),
-    )
-    radius = F.array_min(F.transform("_seen", lambda c: c["d"] + c["kth"]))
-    reached = F.col("_radius").isNull() | (F.col("d") - F.col("far") <= F.col("_radius") * (1 + SLACK) + SLACK)
-    visits = cut_lineage(
-        measured.withColumn("_radius", radius)
-        .select(*segment, "_sid", *features, "_radius", F.inline("_seen"))
-        .filter(reached)
-        .select(*cells, "_sid", *features)
-    )
+        def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                row, cell = cuts.within(rows["_root"].to_numpy(np.int64), points(rows), rows["_radius"].to_numpy(float))
+                other = cell != rows["_cell"].to_numpy()[row]
+                yield rows.iloc[row[other]].assign(_cell=cell[other].astype(np.int32))
 
-    found = closest_in_cells(visits, placed, segment, cells, features, k, block_rows)
-    best = top_per_group(found, [*segment, "_sid"], ["distance", "_cid"], k, rank="position")
+        open_ = asking.where("_root > 0").join(reach, [*segment, "_sid"], "left").fillna({"_radius": float("inf")})
+        visits = cut_lineage(open_.mapInPandas(visit, open_.schema).drop("_root"))
+        more = closest_in_cells(visits, placed, segment, cells, features, k, block_rows, within="_radius")
+        best = top_per_group(best.drop("position").unionByName(more), [*segment, "_sid"], ["distance", "_cid"], k, rank="position")
     return best.select(
         *segment, F.col("_sid").alias(subject), "position", F.col("_cid").alias(match), "distance"
     )
 
 
 def closest_in_cells(
-    visits: DataFrame, placed: DataFrame, segment: Sequence[str], cells: Sequence[str], features: Sequence[str], k: int, block_rows: int
+    visits: DataFrame, placed: DataFrame, segment: Sequence[str], cells: Sequence[str], features: Sequence[str], k: int, block_rows: int,
+    within: str | None = None,
 ) -> DataFrame:
     """segment, _sid, _cid, distance: of every cell that a subject visits at least its ``k`` closest candidates.
 
+    With ``within``, a column of ``visits``, only those that are no farther than it.
+
     ``visits`` has ``cells``, _sid and the features, ``placed`` the same with _cid. Cells of any size are
     met in blocks of about ``block_rows`` rows on both sides; each pair of blocks gives k rows a subject.
     """
@@ -136,7 +232,7 @@ def closest_in_cells(
         visits.join(blocks, cells)
         .withColumn("_vb", F.pmod(F.xxhash64("_sid"), F.col("_vblocks")).cast("int"))
         .withColumn("_cb", spread(F.col("_cblocks")))
-        .select(*cells, "_cb", "_vb", "_sid", *features)
+        .select(*cells, "_cb", "_vb", "_sid", *features, *([within] if within else []))
     )
     right = (
         placed.join(blocks, cells)
@@ -159,18 +255,28 @@ def closest_in_cells(
         at, ids = c[features].to_numpy(float), c["_cid"].to_numpy()
         take = min(k, len(ids))
         parts = []
-        for start in range(0, len(v), 256):
-            q = v.iloc[start : start + 256]
-            gaps = np.zeros((len(q), len(ids)))
+        step = max(1, CHUNK_PAIRS // len(ids))
+        for start in range(0, len(v), step):
+            q = v.iloc[start : start + step]
+            squares = np.zeros((len(q), len(ids)))
             for f, name in enumerate(features):
-                gaps += (q[name].to_numpy(float)[:, None] - at[None, :, f]) ** 2
-            gaps = np.sqrt(gaps)
-            # ids are sorted, so a stable sort settles equal distances by id
-            best = np.argsort(gaps, axis=1, kind="stable")[:, :take]
-            part = {s: np.repeat(q[s].to_numpy(), take) for s in segment}
-            part["_sid"] = np.repeat(q["_sid"].to_numpy(), take)
-            part["_cid"] = ids[best].ravel()
-            part["distance"] = np.take_along_axis(gaps, best, axis=1).ravel()
+                squares += (q[name].to_numpy(float)[:, None] - at[None, :, f]) ** 2
+            if within:
+                most = q[within].to_numpy(float) ** 2
+            else:
+                most = np.partition(squares, take - 1, axis=1)[:, take - 1]
+            # a little more, because unequal squares may have equal roots; what is no number stays
+            row, col = np.nonzero(~(squares > most[:, None] * (1 + 1e-14)))
+            gap = np.sqrt(squares[row, col])
+            # ids are sorted, so equal distances are settled by id
+            order = np.lexsort((col, gap, row))
+            row, col, gap = row[order], col[order], gap[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row, side="left") < take
+            row, col = row[kept], col[kept]
+            part = {s: q[s].to_numpy()[row] for s in segment}
+            part["_sid"] = q["_sid"].to_numpy()[row]
+            part["_cid"] = ids[col]
+            part["distance"] = gap[kept]
             parts.append(pd.DataFrame(part))
         return pd.concat(parts, ignore_index=True)
 

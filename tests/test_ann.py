@@ -76,3 +76,50 @@ def test_empty_sides(spark):
     asking, _ = points(spark, np.zeros((2, 2)), name="subject")
     assert approximate_nearest(asking.limit(0), pool, ["seg"], features, 2, "subject", "id").collect() == []
     assert approximate_nearest(asking, pool.limit(0), ["seg"], features, 2, "subject", "id").collect() == []
+
+
+def test_searches_do_not_multiply_with_the_table(spark, monkeypatch):
+    """Twice the candidates are at most a little more than twice the compared pairs; results equal brute force."""
+    from statloom.operators import knn
+
+    met = []
+    plain = knn.closest_in_cells
+
+    def counted(visits, placed, segment, cells, *more, **named):
+        sizes = placed.groupBy(*cells).agg(F.count(F.lit(1)).alias("_size"))
+        met.append(visits.join(sizes, cells).agg(F.sum("_size")).collect()[0][0] or 0)
+        return plain(visits, placed, segment, cells, *more, **named)
+
+    monkeypatch.setattr(knn, "closest_in_cells", counted)
+    rng = np.random.default_rng(5)
+    work = {}
+    for n in (8000, 16000):
+        x, y = rng.normal(size=(n, 3)), rng.normal(size=(n // 10, 3))
+        pool, features = points(spark, x)
+        asking, _ = points(spark, y, name="subject")
+        met.clear()
+        got = knn.nearest(asking, pool, ["seg"], features, 4, "subject", "id", min_cell_rows=64).collect()
+        work[n] = sum(met)
+        gaps = np.linalg.norm(y[:, None] - x[None], axis=2)
+        want = np.argsort(gaps, axis=1, kind="stable")[:, :4]
+        have = {(r["subject"], r["position"]): (r["id"], r["distance"]) for r in got}
+        assert len(have) == len(y) * 4
+        for i, ids in enumerate(want):
+            assert [have[i, p + 1][0] for p in range(4)] == ids.tolist()
+            assert [have[i, p + 1][1] for p in range(4)] == pytest.approx(gaps[i, ids].tolist(), rel=1e-12)
+    assert work[16000] < 2.6 * work[8000], work
+
+
+def test_candidates_at_one_point_and_repeated_subjects(spark):
+    """Copies of a point beyond the k first by id are not dealt out; a repeated subject shares its k places."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([np.zeros((3000, 2)), rng.normal(size=(3000, 2))])
+    pool, features = points(spark, x)
+    asking = spark.createDataFrame([("a", 1, 0.0, 0.0), ("a", 2, 0.5, 0.5), ("a", 2, 0.5, 0.5), ("a", 2, 3.0, 3.0)], "seg string, subject long, f0 double, f1 double")
+    rows = nearest(asking, pool, ["seg"], features, 3, "subject", "id", min_cell_rows=32).collect()
+    own = {}
+    for r in sorted(rows, key=lambda r: (r["subject"], r["position"])):
+        own.setdefault(r["subject"], []).append((r["id"], round(r["distance"], 12)))
+    assert own[1] == [(0, 0.0), (1, 0.0), (2, 0.0)]
+    pairs = sorted((round(float(np.linalg.norm(x[i] - p)), 12), i) for p in ([0.5, 0.5], [0.5, 0.5], [3.0, 3.0]) for i in range(6000))
+    assert own[2] == [(i, d) for d, i in pairs[:3]]
