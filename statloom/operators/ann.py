@@ -4,7 +4,8 @@ Every table of buckets projects the features on a few random directions and cuts
 slabs. Slabs follow the logistic curve through the mean and spread of the segment's projections, so that
 they hold about equally many rows where rows are dense; their number grows with the segment and keeps a
 bucket at about ``bucket_rows`` candidates. A subject visits, in every table, its own bucket and the
-neighbouring ones whose borders are closest to it. Distances to visited candidates are exact.
+neighbouring ones whose borders are closest to it, but none whose border is farther than the k-th candidate
+of its first bucket. Distances to visited candidates are exact.
 
 The share of true neighbours that is found grows with ``tables`` and ``probes``; ``recall`` measures it.
 Every subject has ``k`` matches if its segment has: those whose buckets hold fewer are searched exactly.
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.operators.hotgroups import _match
-from statloom.operators.knn import BLOCK_ROWS, closest_in_cells, nearest
+from statloom.operators.knn import BLOCK_ROWS, SLACK, closest_in_cells, nearest
 from statloom.operators.project import top_per_group
 from statloom.session import cut_lineage
 
@@ -84,22 +85,28 @@ def approximate_nearest(
     frame = cut_lineage(frame.select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(segment)], "_slabs", "_mean", "_spread"))
 
     def with_places(rows: DataFrame) -> DataFrame:
-        """Add the place on every direction, in slabs: its whole part is the slab."""
-        places = []
-        for i, p in enumerate(flat):
-            z = F.coalesce(F.try_divide(p - F.get("_mean", F.lit(i)), F.get("_spread", F.lit(i))), F.lit(0.0))
-            # the last slab is closed
-            places.append(F.least(F.col("_slabs") / (1 + F.exp(-SLOPE * z)), F.col("_slabs") - 1e-9))
-        met = rows.join(frame, _match(segment))
-        return met.withColumn("_place", F.array(*places)).drop("_mean", "_spread", *[f"_key{i}" for i in range(len(segment))])
+        """Add the place on every direction, in spreads from the mean and in slabs: its whole part is the slab."""
+        met = rows.join(frame, _match(segment)).withColumn(
+            "_z", F.array(*[F.coalesce(F.try_divide(p - F.get("_mean", F.lit(i)), F.get("_spread", F.lit(i))), F.lit(0.0)) for i, p in enumerate(flat)])
+        )
+        # the last slab is closed
+        placed = F.transform("_z", lambda z: F.least(F.col("_slabs") / (1 + F.exp(-SLOPE * z)), F.col("_slabs") - 1e-9))
+        return met.withColumn("_place", placed).drop("_mean", *[f"_key{i}" for i in range(len(segment))])
 
     place = lambda t, d: F.get("_place", F.lit(t * directions + d))
     slab = lambda t, d: F.floor(place(t, d))
     homes = F.array(*[_bucket(t, [slab(t, d) for d in range(directions)]) for t in range(tables)])
     placed = cut_lineage(with_places(pool).select(*segment, "_cid", *features, F.explode(homes).alias("_cell")))
 
+    def away(t: int, d: int, step: int) -> Column:
+        """Distance along a direction to the border with the next slab; none of its candidates is closer."""
+        border = slab(t, d) + (1 if step > 0 else 0)
+        z = -F.log(F.try_divide(F.col("_slabs"), border) - 1) / SLOPE
+        gap = F.abs(F.get("_z", F.lit(t * directions + d)) - z) * F.get("_spread", F.lit(t * directions + d))
+        return F.coalesce(gap, F.lit(0.0))
+
     def visited(t: int) -> Column:
-        """The buckets of a table whose borders are closest."""
+        """The buckets of a table whose borders are closest, and how far these are."""
         options = []
         for steps in product((0, -1, 1), repeat=directions):
             gaps = [
@@ -108,16 +115,28 @@ def approximate_nearest(
             ]
             inside = [(slab(t, d) + s >= 0) & (slab(t, d) + s < F.col("_slabs")) for d, s in enumerate(steps)]
             cell = _bucket(t, [slab(t, d) + s for d, s in enumerate(steps)])
-            option = F.struct(reduce(lambda a, b: a + b, [g * g for g in gaps]).alias("gap"), cell.alias("cell"))
+            far = reduce(lambda a, b: a + b, [F.pow(away(t, d, s), F.lit(2)) if s else F.lit(0.0) for d, s in enumerate(steps)])
+            option = F.struct(reduce(lambda a, b: a + b, [g * g for g in gaps]).alias("gap"), cell.alias("_cell"), F.sqrt(far).alias("_away"))
             options.append(F.when(reduce(lambda a, b: a & b, inside), option))
-        close = F.slice(F.array_sort(F.array_compact(F.array(*options))), 1, probes)
-        return F.transform(close, lambda o: o["cell"])
-
-    cells = F.explode(F.concat(*[visited(t) for t in range(tables)]))
-    visits = cut_lineage(with_places(asking).select(*segment, "_sid", *features, cells.alias("_cell")))
-    found = closest_in_cells(visits, placed, segment, [*segment, "_cell"], features, k, block_rows)
-    once = found.dropDuplicates([*segment, "_sid", "_cid"])
-    best = cut_lineage(top_per_group(once, [*segment, "_sid"], ["distance", "_cid"], k, rank="position"))
+        return F.slice(F.array_sort(F.array_compact(F.array(*options))), 1, probes)
+
+    row, cells = [*segment, "_sid"], [*segment, "_cell"]
+
+    def ranked(found: DataFrame) -> DataFrame:
+        once = found.groupBy(*row, "_cid").agg(F.min("distance").alias("distance"))
+        return cut_lineage(top_per_group(once, row, ["distance", "_cid"], k, rank="position"))
+
+    # the k-th distance in a subject's first bucket bounds which others it visits and what they return
+    every = F.posexplode(F.concat(*[visited(t) for t in range(tables)])).alias("_turn", "_to")
+    visits = with_places(asking).select(*row, *features, every).select(*row, *features, "_turn", "_to._cell", "_to._away")
+    visits = cut_lineage(visits)
+    first = visits.where("_turn = 0").select(*cells, "_sid", *features)
+    best = ranked(closest_in_cells(first, placed, segment, cells, features, k, block_rows))
+    reach = best.where(F.col("position") == k).select(*row, F.col("distance").alias("_radius"))
+    later = visits.where("_turn > 0").join(reach, row, "left").fillna({"_radius": float("inf")})
+    later = later.where(F.col("_away") <= F.col("_radius") * (1 + SLACK) + SLACK).drop("_turn", "_away")
+    more = closest_in_cells(cut_lineage(later), placed, segment, cells, features, k, block_rows, within="_radius")
+    best = ranked(best.drop("position").unionByName(more))
 
     # subjects with too few candidates in reach
     full = best.where(F.col("position") == k).select(*segment, "_sid")
