@@ -11,9 +11,11 @@ With one class the objective is logistic, with more it is the soft-max over the
 class and round. A leaf's value is -G / (H + penalty), times the rate; a split is taken for the greatest
 gain in G^2 / (H + penalty), the first of equal ones by feature and bin.
 
-Each row carries its margins; they are written anew every ``CUT`` rounds, and the trees since then are
+Rows with the same bins, label and fold stay alike through all rounds, so ``fit`` keeps one of them and their
+number, unless a setting samples rows. Each row carries its margins; they are written anew every ``CUT`` rounds, and the trees since then are
 walked on the way. The driver holds the trees. A histogram has (features x bins) pairs of numbers, one a
-task and open node. Rows with a missing feature or label take no part. Row samples are drawn by a hash of
+task and open node; where all of a level's are at most ``DRIVER_BYTES``, they meet on the driver, which saves
+a shuffle a level. Rows with a missing feature or label take no part. Row samples are drawn by a hash of
 the row's key and the round, so that lost tasks draw the same rows again.
 """
 
@@ -33,6 +35,8 @@ from statloom.session import cut_lineage
 
 #: Rounds whose trees are walked before margins are written again.
 CUT = 10
+#: Histograms of a level, over all tasks, that may meet on the driver.
+DRIVER_BYTES = 16 << 20
 MIN_WEIGHT = 1.0
 
 
@@ -114,8 +118,7 @@ def bin_rows(df: DataFrame, bins: Bins, label: str, key: str, fold: str | None =
                 continue
             x = [c.to_numpy(zero_copy_only=False) for c in batch.columns[3:]]
             placed = np.column_stack([np.searchsorted(c, v, side="left") for c, v in zip(cuts, x)]).astype(np.uint8)
-            packed = pa.array([r.tobytes() for r in placed], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], ["row", "label", "fold", "bins"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _packed(placed)], ["row", "label", "fold", "bins"])
 
     if bins.most > 256:
         raise ValueError("at most 256 bins")
@@ -131,19 +134,29 @@ def bin_rows(df: DataFrame, bins: Bins, label: str, key: str, fold: str | None =
     return cut_lineage(binned.withColumn("margins", F.lit(None).cast("binary")))
 
 
+def _unpacked(column: pa.Array, kind: type, width: int) -> np.ndarray:
+    """Rows of a binary column whose values are ``width`` numbers each, without a copy."""
+    n, (_, offsets, data) = len(column), column.buffers()
+    whole = np.dtype(np.int64 if pa.types.is_large_binary(column.type) else np.int32)
+    start = int(np.frombuffer(offsets, whole, 1, whole.itemsize * column.offset)[0])
+    return np.frombuffer(data, kind, n * width, start).reshape(n, width)
+
+
+def _packed(rows: np.ndarray) -> pa.Array:
+    size = rows.shape[1] * rows.itemsize
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(size)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def _bins(batch: pa.RecordBatch, features: int) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(batch.num_rows, features)
+    return _unpacked(batch.column("bins"), np.uint8, features)
 
 
 def _columns(batch: pa.RecordBatch, features: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Bins and margins of the rows."""
-    n, bins = batch.num_rows, _bins(batch, features)
     kept = batch.column("margins")
-    if kept.null_count:
-        margins = np.zeros((n, width))
-    else:
-        margins = np.frombuffer(b"".join(kept.to_pylist()), np.float64).reshape(n, width).copy()
-    return bins, margins
+    margins = np.zeros((batch.num_rows, width)) if kept.null_count else _unpacked(kept, np.float64, width).copy()
+    return _bins(batch, features), margins
 
 
 def _walk(bins: np.ndarray, margins: np.ndarray, recent: Sequence[Sequence[Sequence[Tree]]], depths: Sequence[int], classes: int) -> None:
@@ -193,20 +206,30 @@ def best_split(g: np.ndarray, h: np.ndarray, penalty: float) -> tuple[float, int
     return float(gain[f, cut]), int(f), int(cut), float(gl[f, cut]), float(hl[f, cut]), g_all, h_all
 
 
-def _level(table: DataFrame, recent, growing, live, columns, settings, classes: int, features: int, n_bins: int, round_: int, level: int):
+def _choice(both: np.ndarray, tree: int, node: int, columns, settings, classes: int) -> dict:
+    """The best split of a node from its sums, by name."""
+    m = tree // classes
+    used = columns[m]
+    gain, f, *rest = best_split(both[0][used], both[1][used], settings[m].penalty)
+    names = ["tree", "node", "gain", "feature", "cut", "gl", "hl", "g", "h"]
+    return dict(zip(names, [tree, node, gain, int(used[f]) if f >= 0 else -1, *rest]))
+
+
+def _level(table: DataFrame, tasks: int, recent, growing, live, columns, settings, classes: int, features: int, n_bins: int, round_: int, level: int):
     """The best split of every open node of one level: rows (tree, node, gain, feature, cut, sums)."""
     depths = [s.depth for s in settings]
     width = len(settings) * classes
     first, count = 2**level - 1, 2**level
+    size = features * n_bins
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             bins, margins = _columns(batch, features, width)
             _walk(bins, margins, recent, depths, classes)
-            row, label, fold = (batch.column(c).to_numpy() for c in ("row", "label", "fold"))
+            row, label, fold, n = (batch.column(c).to_numpy() for c in ("row", "label", "fold", "n"))
             flat = bins + np.arange(features) * n_bins
             for m in live:
                 s = settings[m]
@@ -218,35 +241,36 @@ def _level(table: DataFrame, recent, growing, live, columns, settings, classes:
                     if growing[m][k] is None:
                         continue
                     nodes = growing[m][k].nodes(bins, level)
-                    own = learn & (nodes >= first)
-                    at = nodes[own] - first
-                    for node in np.unique(at):
-                        mine = np.flatnonzero(own)[at == node]
-                        place = flat[mine].ravel()
-                        both = sums.setdefault((m * classes + k, int(node)), np.zeros((2, features * n_bins)))
-                        for i, x in enumerate((g, h)):
-                            both[i] += np.bincount(place, np.repeat(x[mine, k], features), features * n_bins)
-        keys = list(sums)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "tree": pa.array([t for t, _ in keys], pa.int32()),
-                "node": pa.array([n for _, n in keys], pa.int32()),
-                "sums": pa.array([sums[key].tobytes() for key in keys], pa.binary()),
-            }
-        )
+                    own = np.flatnonzero(learn & (nodes >= first))
+                    place = ((nodes[own] - first)[:, None] * size + flat[own]).ravel()
+                    # the third row counts, so that nodes without rows are left out
+                    both = sums.setdefault(m * classes + k, np.zeros((3, count * size)))
+                    for i, x in enumerate((g[:, k] * n, h[:, k] * n)):
+                        both[i] += np.bincount(place, np.repeat(x[own], features), count * size)
+                    both[2] += np.bincount(place, minlength=count * size)
+        found = [
+            (tree, node, both[:2, node].tobytes())
+            for tree, both in ((t, x.reshape(3, count, size)) for t, x in sums.items())
+            for node in np.flatnonzero(both[2].any(axis=1)).tolist()
+        ]
+        types = {"tree": pa.int32(), "node": pa.int32(), "sums": pa.binary()}
+        yield pa.RecordBatch.from_pydict({c: pa.array([x[i] for x in found], t) for i, (c, t) in enumerate(types.items())})
+
+    unpacked = lambda v: np.frombuffer(v, np.float64).reshape(2, features, n_bins)
 
     def choose(group: pa.Table) -> pa.Table:
-        both = sum(np.frombuffer(v, np.float64) for v in group.column("sums").to_pylist()).reshape(2, features, n_bins)
+        both = sum(unpacked(v) for v in group.column("sums").to_pylist())
         tree, node = group.column("tree")[0].as_py(), group.column("node")[0].as_py()
-        m = tree // classes
-        used = columns[m]
-        gain, f, *rest = best_split(both[0][used], both[1][used], settings[m].penalty)
-        names = ["tree", "node", "gain", "feature", "cut", "gl", "hl", "g", "h"]
-        values = [tree, node, gain, int(used[f]) if f >= 0 else -1, *rest]
+        chosen = _choice(both, tree, node, columns, settings, classes)
         types = [pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), *[pa.float64()] * 4]
-        return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names)
+        return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(chosen.values(), types)], list(chosen))
 
     added = table.mapInArrow(add, "tree int, node int, sums binary")
+    if tasks * len(live) * classes * count * size * 16 <= DRIVER_BYTES:
+        met: dict[tuple[int, int], np.ndarray] = {}
+        for r in added.collect():
+            met[r["tree"], r["node"]] = met.get((r["tree"], r["node"]), 0.0) + unpacked(r["sums"])
+        return [_choice(both, tree, node, columns, settings, classes) for (tree, node), both in met.items()]
     schema = "tree int, node int, gain double, feature int, cut int, gl double, hl double, g double, h double"
     return added.groupBy("tree", "node").applyInArrow(choose, schema).collect()
 
@@ -259,6 +283,13 @@ def fit(table: DataFrame, bins: Bins, settings: Sequence[Setting], classes: int
     features, width = len(bins.features), len(settings) * classes
     rng = np.random.default_rng(seed)
     recent: list[list[list[Tree]]] = [[] for _ in settings]
+    if all(s.row_share >= 1 for s in settings):
+        alike = table.groupBy("label", "fold", "bins").agg(F.count(F.lit(1)).alias("n"))
+        table = alike.select(F.lit(0).cast("bigint").alias("row"), "label", "fold", "bins", F.lit(None).cast("binary").alias("margins"), "n")
+        table = cut_lineage(table)
+    else:
+        table = table.withColumn("n", F.lit(1).cast("bigint"))
+    tasks = table.rdd.getNumPartitions()
     for r in range(max((s.rounds for s in settings), default=0)):
         live = [m for m, s in enumerate(settings) if r < s.rounds]
         growing: list = [None] * len(settings)
@@ -274,7 +305,7 @@ def fit(table: DataFrame, bins: Bins, settings: Sequence[Setting], classes: int
             if not open_:
                 break
             shown = [[growing[m][k] if (m, k) in open_ else None for k in range(classes)] if m in live else None for m in range(len(settings))]
-            found = _level(table, recent, shown, sorted({m for m, _ in open_}), columns, settings, classes, features, bins.most, r, level)
+            found = _level(table, tasks, recent, shown, sorted({m for m, _ in open_}), columns, settings, classes, features, bins.most, r, level)
             split = set()
             for row in found:
                 m, k = divmod(row["tree"], classes)
@@ -293,6 +324,7 @@ def fit(table: DataFrame, bins: Bins, settings: Sequence[Setting], classes: int
             recent[m].append(growing[m])
         if (r + 1) % CUT == 0:
             table = _with_margins(table, recent, settings, classes, features, width)
+            tasks = table.rdd.getNumPartitions()
             recent = [[] for _ in settings]
     return model
 
@@ -306,8 +338,8 @@ def _with_margins(table: DataFrame, recent, settings, classes: int, features: in
                 continue
             bins, margins = _columns(batch, features, width)
             _walk(bins, margins, recent, depths, classes)
-            packed = pa.array([r.tobytes() for r in margins], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], packed], batch.schema.names)
+            at = batch.schema.get_field_index("margins")
+            yield batch.set_column(at, "margins", _packed(margins))
 
     return cut_lineage(table.mapInArrow(walk, table.schema))
 

@@ -173,3 +173,24 @@ def test_empty_table(spark):
     table = ht.bin_rows(df, bins, "label", "id", "fold")
     model = ht.fit(table, bins, [Setting(rounds=1, depth=1)])
     assert ht.scores(model, table).collect() == []
+
+
+def test_rows_alike_are_learnt_from_once(spark, monkeypatch):
+    """Passes read one row for all that share bins, label and fold; the trees are those of all rows."""
+    x, y, fold = sample(120)
+    x = np.column_stack([np.round(x[:, 0]), x[:, 1], np.round(x[:, 2])])
+    rows = frame(spark, np.tile(x, (5, 1)), np.tile(y, 5), np.tile(fold, 5))
+    bins = ht.find_bins(rows, NAMES, 8)
+    table = ht.bin_rows(rows, bins, "label", "id", "fold")
+    read = []
+    level = ht._level
+    monkeypatch.setattr(ht, "_level", lambda t, *more: (read.append((t.count(), t.agg(F.sum("n")).collect()[0][0])), level(t, *more))[1])
+    settings = [Setting(rounds=2, depth=3, rate=0.3)]
+    trees = [ht.fit(table, bins, settings).trees]
+    distinct = table.select("bins", "label", "fold").distinct().count()
+    assert distinct < 300 and set(read) == {(distinct, 600)}
+    monkeypatch.setattr(ht, "DRIVER_BYTES", 0)
+    trees.append(ht.fit(table, bins, settings).trees)
+    for a, b in zip(*([t for r in grown[0] for t in r] for grown in trees)):
+        assert a.feature.tolist() == b.feature.tolist() and a.cut.tolist() == b.cut.tolist()
+        assert a.value == pytest.approx(b.value, rel=1e-9)
