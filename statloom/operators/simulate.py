@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from statloom.functions.scalar import absorb, stirred, uniform_of, with_lanes, with_mixed
+from statloom.functions.scalar import MIX_A, MIX_B, MIX_MODULUS, absorb, stirred, uniform_of, with_lanes, with_mixed
+
+#: Loans x trials drawn at a time, and groups whose totals a task holds at most.
+CELLS, GROUPS = 1 << 14, 64
 
 
 def default_year(draws: Sequence, probabilities: Sequence[str]):
@@ -57,14 +63,101 @@ def simulate_losses(
     by: Sequence[str] = (),
 ) -> DataFrame:
     """Total loss per trial (and per ``by`` group). Every trial of every group is present, because
-    loans that do not default contribute 0; rows are summed map-side before their shuffle."""
+    loans that do not default contribute 0. The draws are those of ``draw_defaults``; a task adds up its
+    loans trial by trial and only these sums are shuffled."""
+    n = len(probabilities)
     slim = loans.select(*dict.fromkeys([loan, *probabilities, *exposures, *by]))
     if trials > 1:
-        # every row becomes `trials` rows: spread the short pool over all tasks before that. The
+        # every row becomes `trials` draws: spread the short pool over all tasks before that. The
         # explicit number keeps adaptive execution from merging the still small partitions again.
         slim = slim.repartition(int(loans.sparkSession.conf.get("spark.sql.shuffle.partitions")), loan)
-    rows = with_losses(draw_defaults(slim, loan, probabilities, seed, trials), exposures)
-    return rows.groupBy("trial", *by).agg(F.sum("loss").alias("loss"))
+    lost = [F.col(c).cast("double") for c in exposures[:n]] + [F.lit(0.0)] * (n - len(exposures))
+    chances = F.array(*[F.col(c).cast("double") for c in probabilities])
+    rows = with_lanes(slim, "_a", "_b", seed, loan).select("_a", "_b", chances.alias("_p"), F.array(*lost).alias("_e"), *by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[list[pa.Array], np.ndarray, np.ndarray]] = {}  # group: values, losses, loans whose loss is known
+        for batch in batches:
+            keys = [repr(k) for k in zip(*[batch.column(c).to_pylist() for c in by])] if by else [""] * batch.num_rows
+            places: dict[str, list[int]] = {}
+            for i, key in enumerate(keys):
+                places.setdefault(key, []).append(i)
+            for key, at in places.items():
+                some = batch.take(pa.array(at))
+                if key not in held:
+                    if len(held) == GROUPS:
+                        yield from _sums(held, by)
+                        held = {}
+                    held[key] = ([some.column(c).slice(0, 1) for c in by], np.zeros(trials), np.zeros(trials, np.int64))
+                _add_losses(some, trials, *held[key][1:])
+        yield from _sums(held, by)
+
+    schema = StructType(
+        [StructField("trial", IntegerType(), False), *[StructField(c, slim.schema[c].dataType) for c in by], StructField("loss", DoubleType())]
+    )
+    return rows.mapInArrow(run, schema).groupBy("trial", *by).agg(F.sum("loss").alias("loss"))
+
+
+def _sums(held: dict, by: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """``trial``, the group, and ``loss`` (null where no loan's loss is known) of the groups that a task holds."""
+    for values, losses, known in held.values():
+        columns = {"trial": pa.array(np.arange(1, len(losses) + 1), pa.int32())}
+        columns |= {c: v.take(pa.array(np.zeros(len(losses), np.int64))) for c, v in zip(by, values)}
+        yield pa.record_batch(columns | {"loss": pa.array(losses, pa.float64(), mask=known == 0)})
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    """The steps of ``with_mixed`` on unsigned 32-bit numbers, in place."""
+    low, other = np.uint32(MIX_MODULUS - 1), np.empty_like(x)
+    x &= low
+    for shift, factor in ((16, MIX_A), (15, MIX_B)):
+        x ^= np.right_shift(x, np.uint32(shift), out=other)
+        x *= np.uint32(factor & 0xFFFFFFFF)
+        x &= low
+    x ^= np.right_shift(x, np.uint32(16), out=other)
+    return x
+
+
+def _add_losses(loans: pa.RecordBatch, trials: int, losses: np.ndarray, known: np.ndarray) -> None:
+    """Add the loss of every loan to the ``losses`` of all trials, and 1 to ``known`` where it is not null.
+
+    The second lane and the exact comparison are needed only where the first lane leaves a default possible.
+    """
+    n, drawn = len(loans), loans.column("_a").is_valid().to_numpy(zero_copy_only=False)
+    first, second = (loans.column(c).fill_null(0).to_numpy().astype(np.uint32) for c in ("_a", "_b"))
+    p, e = (loans.column(c).flatten() for c in ("_p", "_e"))
+    never = p.is_null().to_numpy(zero_copy_only=False).reshape(n, -1) | ~drawn[:, None]
+    p = p.fill_null(0.0).to_numpy().reshape(n, -1)
+    p = np.where(never, -1.0, np.where(np.isnan(p), np.inf, p))  # NaN is above every draw
+    missing = e.is_null().to_numpy(zero_copy_only=False).reshape(n, -1)
+    e = e.fill_null(0.0).to_numpy().reshape(n, -1)
+    most = np.clip(np.floor(p * MIX_MODULUS), 0, MIX_MODULUS).astype(np.uint32)
+    known += n
+    trial = np.arange(1, trials + 1, dtype=np.uint32)
+    step, width = max(1, CELLS // trials), min(trials, CELLS)
+    for i in range(0, n, step):
+        for t in range(0, trials, width):
+            some, numbers = slice(i, min(i + step, n)), trial[t : t + width]
+            a = _scrambled((first[some, None] + numbers).ravel())
+            done = np.zeros(len(a), dtype=bool)
+            for year in range(1, p.shape[1] + 1):
+                if (p[some, year - 1] < 0).all():
+                    continue
+                lane = _scrambled(a + np.uint32(year))
+                cell = np.flatnonzero(lane.reshape(-1, len(numbers)) <= most[some, year - 1, None])
+                cell = cell[~done[cell]]
+                row, at = cell // len(numbers), cell % len(numbers)
+                other = _scrambled(second[i + row] ^ numbers[at])
+                other = _scrambled(other ^ np.uint32(year))
+                draw = (lane[cell].astype(np.int64) * 4_194_304 + (other >> np.uint32(9))) / float(2**53)
+                hit = draw <= p[i + row, year - 1]
+                row, at = i + row[hit], t + at[hit]
+                done[cell[hit]] = True
+                if missing[some].any():
+                    unknown = missing[row, year - 1]
+                    np.subtract.at(known, at[unknown], 1)
+                    row, at = row[~unknown], at[~unknown]
+                np.add.at(losses, at, e[row, year - 1])
 
 
 def expected_loss(loans: DataFrame, probabilities: Sequence[str], exposures: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -4,7 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from statloom.functions.scalar import with_uniform
-from statloom.operators.simulate import draw_defaults
+from statloom.operators.simulate import draw_defaults, simulate_losses, with_losses
+from tests.conftest import rows
 
 
 def defaults(spark, loans, kind, trials=500):
@@ -48,3 +49,18 @@ def test_split_plan_does_not_write_out_the_scrambling(spark):
     rows = spark.range(100).withColumn("label", F.col("id") % 3)
     plan = stratified_split(rows, "label", "id")._jdf.queryExecution().optimizedPlan().toString()
     assert max(map(len, plan.splitlines())) < 2000
+
+
+def test_losses_are_those_of_single_draws(spark):
+    """Totals by trial and group as from one row per loan and trial, and no such row is made."""
+    rng = np.random.default_rng(4)
+    odd = [(None, 0.5, 0.5, 1.0, 2.0, "a"), (1, None, 0.9, 1.0, 2.0, "a"), (2, 1.0, 0.0, None, 3.0, "only"), (3, float("nan"), 0.1, 7.0, 1.0, None), (2, 0.0, -1.0, 1.0, None, "none")]
+    table = [(int(i) - 20, *rng.uniform(0, 0.3, 2).tolist(), *rng.uniform(1, 9, 2).tolist(), "abc"[i % 3]) for i in range(60)] + odd
+    loans = spark.createDataFrame(table, "loan long, p1 double, p2 double, e1 double, e2 double, grp string")
+    each = with_losses(draw_defaults(loans, "loan", ["p1", "p2"], 3, 300), ["e1", "e2"])
+    for by in ([], ["grp"]):
+        want = each.groupBy("trial", *by).agg(F.sum("loss").alias("loss"))
+        got = simulate_losses(loans, "loan", ["p1", "p2"], ["e1", "e2"], 300, 3, by)
+        assert got.schema == want.schema
+        assert rows(got) == rows(want)
+    assert "explode" not in got._jdf.queryExecution().optimizedPlan().toString()
