@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from statloom.functions.scalar import parse_amount, remaining_exposure
 from statloom.operators.aggregate import histogram, risk_percentiles, value_counts
 from statloom.operators.simulate import draw_defaults, simulate_losses, with_losses
+from statloom.session import cut_lineage
 
 PROBABILITIES = ["Default_Prob_1Y", "Default_Prob_2Y", "Default_Prob_3Y"]
 AMOUNTS = ["Loan_Amount_1Y", "Loan_Amount_2Y", "Loan_Amount_3Y"]
@@ -41,8 +42,9 @@ def loss_distribution(pool: DataFrame, trials: int, seed: int, by_rating: bool =
 
 
 def loss_report(losses: DataFrame, by_rating: bool = False, tail: float = 0.95) -> DataFrame:
-    return risk_percentiles(losses, "loss", ["Rating"] if by_rating else [], tail)
+    # written once: the totals are read several times, and the draws need not be made again
+    return risk_percentiles(cut_lineage(losses), "loss", ["Rating"] if by_rating else [], tail)
 
 
 def loss_histogram(losses: DataFrame, bins: int = 50, by_rating: bool = False) -> DataFrame:
-    return histogram(losses, "loss", bins, ["Rating"] if by_rating else [])
+    return histogram(cut_lineage(losses), "loss", bins, ["Rating"] if by_rating else [])

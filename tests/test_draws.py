@@ -64,3 +64,15 @@ def test_losses_are_those_of_single_draws(spark):
         assert got.schema == want.schema
         assert rows(got) == rows(want)
     assert "explode" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_loss_report_reads_written_totals(spark):
+    """The pool is drawn once, not again for every figure of the report."""
+    from statloom.plans import loanpool
+
+    pool = spark.createDataFrame([(i, 0.3, 10.0 + i) for i in range(20)], "loan long, p double, e double")
+    losses = simulate_losses(pool, "loan", ["p"], ["e"], 50, 3)
+    for out in (loanpool.loss_report(losses), loanpool.loss_histogram(losses, 5)):
+        assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
+    values = [r["loss"] for r in losses.collect()]
+    assert np.isclose(loanpool.loss_report(losses).first()["tail"], np.quantile(values, 0.95))
