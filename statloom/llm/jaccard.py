@@ -22,9 +22,8 @@ Sets that are equal form a *class*, known by a digest. From then on there is one
    Pairs that the sketches leave are verified exactly on the whole texts. ``ROUNDS`` times, which joins most
    groups of near copies with one pair a member.
 4. Small buckets that still hold several labels give all their pairs across labels, at most ``FEW - 1`` for a member.
-5. Large buckets that hold several labels are compared in blocks of bounded size. For each member a block
-   reports the ``PARTNERS`` nearest that may link, have another label and are not yet tested. The pairs are
-   verified, labels renewed, and the step repeated for the buckets whose blocks had more to report.
+5. Large buckets that hold several labels are compared once, in blocks of bounded size that hold the whole sets. A
+   block compares all pairs across its labels exactly and returns just enough links to tie the labels that it links.
 
 So a group of near copies never gives a row for each of its pairs, and no pair that could join two
 components stays untested. Components come from repeated joins with cut lineage. Only counts reach
@@ -57,12 +56,12 @@ PIECES, DIFFER = 2, 1
 SPARE = 1.3
 #: How often members meet the ends of their buckets before buckets are compared member by member.
 ROUNDS = 2
-#: Members of a bucket in one chunk; two chunks are compared in one block.
-BLOCK = 1024
+#: Members of a bucket in one chunk, and elements of their sets; two chunks are compared in one block.
+BLOCK, ELEMENTS = 1024, 1 << 21
 #: Members of a bucket up to which all its pairs are listed.
 FEW = 16
-#: Pairs that a large bucket reports of a member in one round.
-PARTNERS = 6
+#: Members that a block compares with all its others at a time, and different elements counted at a time.
+PARTNERS, COLUMNS = 256, 2048
 #: Repeated signatures, or documents, up to which a join is told to send them to all tasks.
 SMALL = 3_000_000
 #: Words a Python worker remembers with their hash.
@@ -417,45 +416,56 @@ def _folded(sketches: list[np.ndarray]) -> np.ndarray:
     return np.stack(out)
 
 
-def nearest(classes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sketches: list[np.ndarray], side: np.ndarray, failed: list[set], least: int) -> tuple[set[tuple[int, int]], bool]:
-    """For each member, the ``PARTNERS`` nearest of another label that may link and have not failed; whether others are left.
+def spanning(classes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], side: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Links of a block that tie all labels which its links across labels tie, fewer than there are labels.
 
-    ``side`` has the chunk of each member: of two chunks, only pairs across them are compared.
+    A pair is compared exactly unless links found before tie its labels. So members of the label that is the
+    largest by then wait: they are compared only with those that come to their turn. ``side`` has the chunk
+    of each member: of two chunks, only pairs across them are compared.
     """
-    order = np.argsort(sizes, kind="stable")
-    sizes, two = sizes[order], len(set(side.tolist())) == 2
-    partners: list[list[tuple[int, int, int]]] = [[] for _ in order]
-    for x in range(len(order) - 1):
-        end = int(np.searchsorted(sizes, sizes[x] * 100 // least, "right"))
-        rest = np.arange(x + 1, end)
-        rest = rest[labels[order[rest]] != labels[order[x]]]
+    sizes, two = np.array([len(s) for s in sets], dtype=np.int64), len(set(side.tolist())) == 2
+    place = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], np.repeat(np.arange(len(sets)), sizes)[order]
+    root, met = np.unique(labels, return_inverse=True)[1], np.zeros(len(sets), dtype=bool)
+    found: list[tuple[int, int]] = []
+    while True:
+        some = np.flatnonzero(~met & (root != np.bincount(root).argmax()))[:PARTNERS]
+        if not len(some):
+            return found
+        met[some] = True
+        now = np.zeros(len(sets), dtype=bool)
+        now[some] = True
+        wanted = np.zeros(int(place[-1]) + 1, dtype=bool)
+        wanted[place[now[owner]]] = True
+        column, owns = (np.cumsum(wanted) - 1)[place[wanted[place]]], owner[wanted[place]]
+        both = np.zeros((len(some), len(sets)), dtype=np.int64)
+        for first in range(0, int(wanted.sum()), COLUMNS):
+            at = slice(*np.searchsorted(column, [first, first + COLUMNS]))
+            held = np.zeros((len(sets), COLUMNS), np.float32)
+            held[owns[at], column[at] - first] = 1
+            both += (held[some] @ held.T).astype(np.int64)
+        near = (both > 0) & (100 * both >= least * (sizes[some, None] + sizes - both))
         if two:
-            rest = rest[side[order[rest]] != side[order[x]]]
-        for some in np.array_split(rest, len(rest) // 512 + 1):
-            if not len(some):
-                continue
-            cells = _folded([sketches[order[x]], *[sketches[order[y]] for y in some]])
-            differ = np.count_nonzero(cells[1:] != cells[0], axis=1)
-            near = np.flatnonzero(differ <= most_different(sizes[x], sizes[some], least))
-            for k in near.tolist():
-                y = int(some[k])
-                a, b = int(classes[order[x]]), int(classes[order[y]])
-                if max(a, b) not in failed[order[x] if a < b else order[y]]:
-                    pair = (int(differ[k]), min(a, b), max(a, b))
-                    partners[x].append(pair)
-                    partners[y].append(pair)
-    given = {(a, b) for found in partners for _, a, b in sorted(found)[:PARTNERS]}
-    return given, any((a, b) not in given for found in partners for _, a, b in found)
+            near &= side[some, None] != side
+        for x, linked_to in zip(some, near):
+            others = np.flatnonzero(linked_to & (root != root[x]))
+            for r, k in zip(*np.unique(root[others], return_index=True)):
+                pair = int(classes[x]), int(classes[others[k]])
+                found.append((min(pair), max(pair)))
+                root[root == r] = root[x]
 
 
 def _placed(open_: DataFrame) -> DataFrame:
     """The members of each block: ``signature``, ``block``, ``side``, ``class``, ``label``.
 
-    A bucket of up to ``BLOCK`` members is a block. In a larger one each label with more than half as many has chunks
+    A bucket of up to ``BLOCK`` members is a block; a set of more than its share of ``ELEMENTS`` counts as several
+    members. In a larger one each label with more than half as many has chunks
     of its own and the other labels share chunks; two chunks make a block unless both are of one label.
     So a large label meets the others in its bucket, but not itself.
     """
-    counts = open_.groupBy("signature", "label").agg(F.count("*").alias("n"))
+    load = F.greatest(F.ceil(F.col("size") * BLOCK / ELEMENTS), F.lit(1))
+    counts = open_.groupBy("signature", "label").agg(F.sum(load).alias("n"))
     totals = counts.groupBy("signature").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("n") * 2 <= BLOCK, F.col("n"))).alias("rest"))
     alone = (F.col("total") > BLOCK) & (F.col("n") * 2 > BLOCK)
     shared = F.when(F.col("total") > BLOCK, F.col("rest")).otherwise(BLOCK)
@@ -479,34 +489,29 @@ def _placed(open_: DataFrame) -> DataFrame:
     return rows.join(left.union(right), ["signature", "chunk"]).drop("chunk")
 
 
-def _reported(found: DataFrame, labels: DataFrame, sketches: DataFrame, failed: DataFrame, least: int) -> DataFrame:
-    """``signature``, ``a``, ``b``, ``more``: what the blocks of large buckets with several labels report.
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """``class`` and ``elements``, the sorted shingles of ``text``, once for each class."""
 
-    ``more``: the block holds other pairs that may link.
-    """
-    open_ = cut_lineage(_several(_labelled(found, labels), "label"))
-    lists = failed.groupBy("a").agg(F.collect_list("b").alias("failed")).withColumnRenamed("a", "class")
-    told = sketches.join(lists, "class", "left")
-    rows = _placed(open_).join(told, "class")
-    rows = rows.select("signature", "block", "side", "class", "label", "size", "sketch", "failed")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found = [s.tobytes() for s in shingles(texts(batch, "text"), width)]
+            yield pa.record_batch({"class": batch.column("class"), "elements": pa.array(found, pa.binary())})
+
+    return docs.dropDuplicates(["class"]).mapInArrow(run, "class long, elements binary")
+
+
+def _tied(open_: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """``a``, ``b``: the links that the blocks of ``open_`` (``signature``, ``class``, ``label``, ``size``) return."""
+    rows = _placed(open_).join(sets, "class").select("signature", "block", "side", "class", "label", "elements")
 
     def run(table: pa.Table) -> pa.Table:
         # one block: at most two chunks of a bucket
-        d = table.to_pydict()
-        pairs, more = nearest(
-            np.array(d["class"]),
-            np.array(d["label"]),
-            np.array(d["size"]),
-            [np.frombuffer(s, np.uint8) for s in d["sketch"]],
-            np.array(d["side"]),
-            [set(f or ()) for f in d["failed"]],
-            least,
-        )
-        columns, n = list(zip(*pairs)) or [(), ()], len(pairs)
-        given = {"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64())}
-        return pa.table({"signature": pa.array(d["signature"][:1] * n, pa.int64())} | given | {"more": pa.array([more] * n, pa.bool_())})
-
-    return rows.groupBy("signature", "block").applyInArrow(run, "signature long, a long, b long, more boolean")
+        held = [np.frombuffer(x, np.uint64) for x in table.column("elements").to_pylist()]
+        pairs = spanning(*(table.column(c).to_numpy() for c in ("class", "label")), held, table.column("side").to_numpy(), least)
+        a, b = list(zip(*pairs)) or [(), ()]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("signature", "block").applyInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame, width: int, least: int) -> tuple[DataFrame, DataFrame]:
@@ -538,18 +543,12 @@ def classes(docs: DataFrame, width: int, least: int) -> tuple[DataFrame, DataFra
         compare(cut_lineage(_likely(met, sketches, least)))
     listed = untested(_listed(found.filter(F.col("n") <= FEW), labels))
     compare(cut_lineage(_likely(listed, sketches, least)))
-    large = found.filter(F.col("n") > FEW).select("signature", "class")
-    while True:
-        reported = cut_lineage(_reported(large, labels, sketches, verified.filter("not linked"), least))
-        pairs = untested(reported.select("a", "b").distinct())
-        if reported.isEmpty():
-            return described, labels
-        compare(cut_lineage(pairs))
-        # buckets whose blocks reported all they have are done
-        unfinished = reported.filter("more").select("signature").distinct()
-        large = cut_lineage(large.join(unfinished, "signature", "left_semi"))
-        if large.isEmpty():
-            return described, labels
+    large = _labelled(found.filter(F.col("n") > FEW).select("signature", "class"), labels)
+    open_ = cut_lineage(_several(large, "label").join(sketches.select("class", "size"), "class"))
+    if not open_.isEmpty():
+        sets = cut_lineage(_sets(_representatives(docs, firsts, open_), width))
+        labels = merged(labels, cut_lineage(_tied(open_, sets, least)))
+    return described, labels
 
 
 def join(docs: DataFrame, width: int = 4, least: int = 85) -> DataFrame:

@@ -403,6 +403,32 @@ def test_jaccard_large_buckets_match_brute_force(spark, monkeypatch, rounds):
     assert [got[i] for i in range(len(texts))] == brute_components(texts, 5, 80)
 
 
+def test_jaccard_block_returns_no_more_links_than_labels():
+    rng = np.random.default_rng(6)
+    for least, changes in ((85, 3), (80, 12), (80, 40)):
+        texts = [t for words in (60, 150) for t in near_copies(rng, 40, words, changes)]
+        sets = [s for s in {s.tobytes(): s for s in jaccard.shingles([t.encode() for t in texts], 4)}.values()]
+        n = len(sets)
+        names, side = np.arange(100, 100 + n), np.zeros(n, np.int64)
+        linked = {(i, j) for i in range(n) for j in range(i) if jaccard.linked(sets[i], sets[j], least)}
+        for labels in (names, names % 7):
+            for side in (np.zeros(n, np.int64), np.arange(n) % 2):
+                pairs = [(i, j) for i, j in linked if len(set(side)) == 1 or side[i] != side[j]]
+                found = jaccard.spanning(names, labels, sets, side, least)
+                assert len(found) < len(set(labels.tolist()))
+                assert {(b - 100, a - 100) for a, b in found} <= set(pairs)
+                assert parts(labels, found, names) == parts(labels, [(i + 100, j + 100) for i, j in pairs], names)
+
+
+def parts(labels, links, names):
+    """The label of each member after ``links``, by repeated passes."""
+    out, at = np.unique(labels, return_inverse=True)[1], {int(c): k for k, c in enumerate(names)}
+    for a, b in links * 2:
+        x, y = out[at[a]], out[at[b]]
+        out[out == max(x, y)] = min(x, y)
+    return out.tolist()
+
+
 def test_jaccard_signatures_share_one(spark):
     rng = np.random.default_rng(1)
     for size in (6, 7, 13, 40, 200, 900):
