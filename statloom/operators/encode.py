@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 
 from statloom.functions.scalar import MIX_MODULUS, with_lanes
 from statloom.operators.windows import number_rows
+from statloom.session import cut_lineage
 
 HASH_CELLS = 1024
 
 
 def code_table(df: DataFrame, column: str) -> DataFrame:
-    """``value``, ``code``: the sorted distinct values of a column numbered from 0, NULL left out."""
+    """``value``, ``code``: the sorted distinct values of a column numbered from 0, NULL left out.
+
+    The table is written, so that Spark knows its size: rows that meet few codes are not shuffled by them.
+    """
     values = df.select(F.col(column).alias("value")).filter(F.col("value").isNotNull()).distinct()
-    return number_rows(values, [], ["value"], "_place").select("value", (F.col("_place") - 1).cast("int").alias("code"))
+    return cut_lineage(number_rows(values, [], ["value"], "_place").select("value", (F.col("_place") - 1).cast("int").alias("code")))
 
 
 def with_code(df: DataFrame, column: str, codes: DataFrame, name: str = "code") -> DataFrame:
@@ -85,7 +89,8 @@ def stratified_split(
     quota = cells.groupBy(label).agg(F.bround(F.sum("_n") * fraction).cast("bigint").alias("_quota"))
     # a label has at most HASH_CELLS + 1 cells
     filled = cells.withColumn("_upto", F.sum("_n").over(Window.partitionBy(label).orderBy("_cell")))
-    last_cell = (
+    # written, as are the cuts: few rows, so that Spark need not shuffle the others by label
+    last_cell = cut_lineage(
         filled.join(quota, label)
         .filter((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_n") < F.col("_quota")))
         .select(
@@ -97,7 +102,7 @@ def stratified_split(
     same_label = F.col(label) == F.col("_label")
     edge = rows.join(last_cell, same_label & (F.col("_cell") == F.col("_last")))
     edge = number_rows(edge, [label], ["_place", key], "_rn").filter(F.col("_rn") == F.col("_left"))
-    cut = edge.select("_label", F.struct("_place", key).alias("_cut"))
+    cut = cut_lineage(edge.select("_label", F.struct("_place", key).alias("_cut")))
     return (
         rows.join(cut, same_label, "left")
         .withColumn(name, F.coalesce(F.struct("_place", key) <= F.col("_cut"), F.lit(False)))

@@ -76,3 +76,15 @@ def test_loss_report_reads_written_totals(spark):
         assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
     values = [r["loss"] for r in losses.collect()]
     assert np.isclose(loanpool.loss_report(losses).first()["tail"], np.quantile(values, 0.95))
+
+
+def test_rows_are_not_shuffled_by_code_or_label(spark):
+    """Few codes and cuts: joins on them must not gather all rows of a label in one task."""
+    from statloom.operators.encode import code_table, stratified_split, with_code
+
+    table = spark.createDataFrame([(i, "xyz"[i % 3] if i % 10 else None) for i in range(200)], "id long, status string")
+    coded = with_code(table, "status", code_table(table, "status"))
+    out = stratified_split(coded.filter("code IS NOT NULL"), "code", "id")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(code" not in plan and "hashpartitioning(status" not in plan
+    assert sorted((r["code"], r["n"]) for r in out.filter("is_test").groupBy("code").agg(F.count("*").alias("n")).collect()) == [(0, 12), (1, 12), (2, 12)]
