@@ -22,8 +22,10 @@ Sets that are equal form a *class*, known by a digest. From then on there is one
    Pairs that the sketches leave are verified exactly on the whole texts. ``ROUNDS`` times, which joins most
    groups of near copies with one pair a member.
 4. Small buckets that still hold several labels give all their pairs across labels, at most ``FEW - 1`` for a member.
-5. Large buckets that hold several labels are compared once, in blocks of bounded size that hold the whole sets. A
-   block compares all pairs across its labels exactly and returns just enough links to tie the labels that it links.
+5. Large buckets that hold several labels are compared once, in blocks of bounded size that hold sketches. A block
+   gives the pairs across its labels that the sketches leave, and these are verified like the others. Where they are
+   more than ``LEFT`` times its members, the members of these pairs meet again in a block that holds their whole sets, compares all
+   pairs across labels exactly and returns just enough links to tie the labels that it links.
 
 So a group of near copies never gives a row for each of its pairs, and no pair that could join two
 components stays untested. Components come from repeated joins with cut lineage. Only counts reach
@@ -31,7 +33,7 @@ the driver.
 
 Null and empty texts have no set, size 0, and link with nothing. A text of fewer words than a shingle
 has one. Repeated rows fall into one class. A null id takes part; the smallest other id names the
-component, and null if there is none. Other columns are ignored. Hashes have 64 bits.
+component, and null if there is none. Other columns are ignored. Hashes have 64 bits, signatures 48.
 """
 
 from __future__ import annotations
@@ -60,6 +62,8 @@ ROUNDS = 2
 BLOCK, ELEMENTS = 1024, 1 << 21
 #: Members of a bucket up to which all its pairs are listed.
 FEW = 16
+#: Pairs a member that a block of sketches may give, and bytes of sketches compared at a time.
+LEFT, CELLS = 4, 1 << 23
 #: Members that a block compares with all its others at a time, and different elements counted at a time.
 PARTNERS, COLUMNS = 256, 2048
 #: Repeated signatures, or documents, up to which a join is told to send them to all tasks.
@@ -67,6 +71,8 @@ SMALL = 3_000_000
 #: Words a Python worker remembers with their hash.
 REMEMBERED = 300_000
 
+#: The bits of a signature that are kept; a false match meets the sketches, so no more are worth their disk.
+KEPT = np.uint64((1 << 48) - 1)
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 
 
@@ -201,7 +207,7 @@ def _described(docs: DataFrame, width: int, least: int) -> DataFrame:
             found = shingles(texts(batch, "text"), width)
             given = signatures(found, least)
             ends = np.concatenate([[0], np.cumsum([len(g) for g in given])]).astype(np.int32)
-            values = np.concatenate([*given, np.zeros(0, dtype=np.uint64)]).view(np.int64)
+            values = (np.concatenate([*given, np.zeros(0, dtype=np.uint64)]) & KEPT).view(np.int64)
             columns = {
                 "doc_id": batch.column("doc_id").cast(pa.int64()),
                 "text_hash": batch.column("text_hash"),
@@ -500,9 +506,45 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.dropDuplicates(["class"]).mapInArrow(run, "class long, elements binary")
 
 
-def _tied(open_: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """``a``, ``b``: the links that the blocks of ``open_`` (``signature``, ``class``, ``label``, ``size``) return."""
-    rows = _placed(open_).join(sets, "class").select("signature", "block", "side", "class", "label", "elements")
+def left(labels: np.ndarray, sizes: np.ndarray, sketches: list[np.ndarray], side: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the pairs of a block across its labels (of two chunks, across them) that sizes and sketches leave."""
+    cells, two = _folded(sketches), len(set(side.tolist())) == 2
+    near = np.triu(labels[:, None] != labels) & (100 * np.minimum(sizes[:, None], sizes) >= least * np.maximum(sizes[:, None], sizes))
+    if two:
+        near &= side[:, None] != side
+    a, b = np.nonzero(near)
+    most, step = most_different(sizes[a], sizes[b], least), max(CELLS // cells.shape[1], 1)
+    differ = [(cells[a[k : k + step]] != cells[b[k : k + step]]).sum(axis=1) for k in range(0, len(a), step)]
+    keep = np.concatenate([*differ, np.zeros(0, np.int64)]) <= most
+    return a[keep], b[keep]
+
+
+def _screened(placed: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+    """What the sketches leave of each block: pairs ``a``, ``b``, or where these are many, its members ``a`` that are in one.
+
+    ``signature``, ``block`` and ``side`` tell where a member stood; ``b`` is null then.
+    """
+    rows = placed.join(sketches, "class").select("signature", "block", "side", "class", "label", "size", "sketch")
+
+    def run(table: pa.Table) -> pa.Table:
+        members, labels, sizes, side = (table.column(c).to_numpy() for c in ("class", "label", "size", "side"))
+        cells = [np.frombuffer(x, np.uint8) for x in table.column("sketch").to_pylist()]
+        a, b = left(labels, sizes, cells, side, least)
+        if len(a) > LEFT * len(members):
+            at, ends = np.union1d(a, b), None
+            starts = members[at]
+        else:
+            at, starts, ends = a, np.minimum(members[a], members[b]), np.maximum(members[a], members[b])
+        of = table.select(["signature", "block", "side"]).take(pa.array(at))
+        ends = pa.nulls(len(at), pa.int64()) if ends is None else pa.array(ends)
+        return of.append_column("a", pa.array(starts)).append_column("b", ends)
+
+    return rows.groupBy("signature", "block").applyInArrow(run, "signature long, block long, side int, a long, b long")
+
+
+def _tied(crowded: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """``a``, ``b``: the links that the blocks of ``crowded`` (``signature``, ``block``, ``side``, ``class``, ``label``) return."""
+    rows = crowded.join(sets, "class").select("signature", "block", "side", "class", "label", "elements")
 
     def run(table: pa.Table) -> pa.Table:
         # one block: at most two chunks of a bucket
@@ -546,8 +588,12 @@ def classes(docs: DataFrame, width: int, least: int) -> tuple[DataFrame, DataFra
     large = _labelled(found.filter(F.col("n") > FEW).select("signature", "class"), labels)
     open_ = cut_lineage(_several(large, "label").join(sketches.select("class", "size"), "class"))
     if not open_.isEmpty():
-        sets = cut_lineage(_sets(_representatives(docs, firsts, open_), width))
-        labels = merged(labels, cut_lineage(_tied(open_, sets, least)))
+        screened = cut_lineage(_screened(_placed(open_), sketches, least))
+        compare(cut_lineage(untested(screened.filter("b IS NOT NULL").select("a", "b").distinct())))
+        crowded = screened.filter("b IS NULL").select("signature", "block", "side", F.col("a").alias("class"))
+        if not crowded.isEmpty():
+            sets = cut_lineage(_sets(_representatives(docs, firsts, crowded), width))
+            labels = merged(labels, cut_lineage(_tied(_labelled(crowded, labels), sets, least)))
     return described, labels
 
 

@@ -47,5 +47,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     earlier stages when an executor is lost.
     """
     path = f"{shared_folder(df.sparkSession)}/statloom-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -390,6 +390,27 @@ def test_jaccard_matches_brute_force(spark, monkeypatch, width, least, block):
     assert [got[i] for i in range(len(texts))] == brute_components(texts, width, least)
 
 
+@pytest.mark.parametrize("left", [0, 10**6])
+def test_jaccard_screened_blocks_match_brute_force(spark, monkeypatch, left):
+    for name, value in (("BLOCK", 9), ("FEW", 2), ("ROUNDS", 0), ("LEFT", left), ("CELLS", 1)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = np.random.default_rng(31)
+    texts = [t for words, changes in ((40, 6), (130, 14)) for t in near_copies(rng, 40, words, changes)]
+    got = {r["doc_id"]: (r["size"], r["component_id"]) for r in jaccard.join(documents(spark, texts), 5, 80).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, 5, 80)
+
+
+def test_jaccard_whole_sets_go_only_to_blocks_that_sketches_leave(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    shipped, whole = [], jaccard._sets
+    monkeypatch.setattr(jaccard, "_sets", lambda docs, width: shipped.append(docs.count()) or whole(docs, width))
+    # many buckets hold all texts of one length, which share a passage without linking
+    passage = " ".join(f"p{k}" for k in range(200))
+    texts = [f"{passage} " + " ".join(f"q{k}-{j}" for j in range(160)) for k in range(30)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(documents(spark, texts), 5, 80).collect()}
+    assert got == {k: k for k in range(30)} and not shipped
+
+
 @pytest.mark.parametrize("rounds", [0, 2])
 def test_jaccard_large_buckets_match_brute_force(spark, monkeypatch, rounds):
     for name, value in (("BLOCK", 9), ("FEW", 2), ("PARTNERS", 1), ("ROUNDS", rounds)):
