@@ -10,6 +10,8 @@ from statloom.catalog.registry import query
 from statloom.catalog.relational import TEAM_GAMES_SQL, team_games
 from statloom.functions.scalar import season_code
 from statloom.operators.aggregate import value_counts
+from statloom.operators.hotgroups import find_hot_early
+from statloom.operators.joins import lookup
 from statloom.plans import contracts, gamepoints, playbook, presnap, projection
 from statloom.sources.files import load_table
 
@@ -142,14 +144,18 @@ SNAP_SQL = """li AS (SELECT l_suppkey AS possessionTeam, l_orderkey AS gameId, l
               ORDER BY possessionTeam, gameId, playId, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)"""
 
 
-def snaps(spark, d):
-    """Line items as plays: supplier = team, order = game, line and part = play."""
+def snaps(spark, d, dealt=()):
+    """Line items as plays: supplier = team, order = game, line and part = play.
+
+    Rows ``dealt`` by some of these serve later steps that group or join by the same without another exchange.
+    """
     li = load_table(spark, d, "lineitem").select(
         F.col("l_suppkey").alias("possessionTeam"),
         F.col("l_orderkey").alias("gameId"),
         (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("playId"),
         F.struct("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate").alias("v"),
     )
+    li = li.repartition(*dealt) if dealt else li
     one = li.groupBy("possessionTeam", "gameId", "playId").agg(F.min("v").alias("v")).select("possessionTeam", "gameId", "playId", "v.*")
     flag, disc, tax, q = F.col("l_returnflag"), F.col("l_discount"), F.col("l_tax"), F.col("l_quantity")
     return one.select(
@@ -243,16 +249,23 @@ def personnel_on_play(spark, d):
     "game_minutes rush_avg_season rush_avg_game completion_season completion_game play_action_share pass_call_share",
 )
 def play_type_model_table(spark, d):
-    rows = snaps(spark, d)
+    li = load_table(spark, d, "lineitem", ["l_suppkey", "l_orderkey"])
     games = load_table(spark, d, "orders", ["o_orderkey"]).select(F.col("o_orderkey").alias("gameId"))
+    # a game that repeats repeats its plays
+    once = games.groupBy("gameId").count().filter("count > 1").isEmpty()
+    hot = find_hot_early(li if once else lookup(li, games, {"l_orderkey": "gameId"}), ["l_suppkey", "l_orderkey"])
+    # without team or game a play has no season and is left out; plays and first plays then share an exchange
+    rows = snaps(spark, d, () if hot else presnap.PLAY).filter("possessionTeam IS NOT NULL AND gameId IS NOT NULL")
     people = rows.select("gameId", "playId").distinct().withColumns(
         {c: F.lit(True) for c in ("inMotionAtBallSnap", "motionSinceLineset", "shiftSinceLineset")}
     )
     rows = rows.withColumns({"homeTeamAbbr": F.col("possessionTeam"), "visitorTeamAbbr": F.lit(-1)})
-    rows = presnap.game_to_date(presnap.situation(rows, games, people))
+    rows = presnap.game_to_date(presnap.situation(rows, games, people), hot=hot)
+    season = snaps(spark, d, () if hot else presnap.TEAM_GAME)
+    season = presnap.season_to_date(season, hot=find_hot_early(li, ["l_suppkey"]))
     bands = {"rush_avg_season": (10, 45), "rush_avg_game": (0, 60), "completion_season": (0.5, 0.9), "completion_game": (0.1, 1.0)}
     table = presnap.model_table(
-        rows, presnap.season_to_date(snaps(spark, d)), 1, bands, {"offenseFormation": ["F", "O"], "down": [1, 2, 3, 4]}
+        rows, season, 1, bands, {"offenseFormation": ["F", "O"], "down": [1, 2, 3, 4]}
     )
     return table.drop("inMotionAtBallSnap", "motionSinceLineset", "shiftSinceLineset")
 

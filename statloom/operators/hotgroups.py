@@ -25,6 +25,8 @@ from statloom.session import cut_lineage
 LIMIT_CONF = "statloom.maxGroupRows"
 DEFAULT_LIMIT = 2_000_000
 AUTO = "auto"
+#: Cells of groups that are counted before single groups are.
+CELLS = 4096
 
 
 def row_limit(df: DataFrame) -> int:
@@ -48,10 +50,28 @@ class HotGroups:
 def find_hot(
     df: DataFrame, by: Sequence[str], order: str, limit: int | None = None
 ) -> HotGroups | None:
-    """Whether a group of ``df`` is above the row limit: ``HotGroups``, or None."""
+    """Whether a group of ``df`` is above the row limit: ``HotGroups``, or None.
+
+    Rows are counted in ``CELLS`` cells of groups first, so little is shuffled; only the groups of cells above the
+    limit are counted one by one.
+    """
     limit = limit or row_limit(df)
-    large = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
-    return HotGroups(limit) if large.limit(1).count() else None
+    rows = df.select(*by, F.pmod(F.xxhash64(*by), F.lit(CELLS)).alias("_cell"))
+    cells = rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
+    large = [r["_cell"] for r in cells.collect()]  # CELLS rows at most
+    if not large:
+        return None
+    groups = rows.filter(F.col("_cell").isin(large)).groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+    return HotGroups(limit) if groups.filter(F.col("_rows") > limit).limit(1).count() else None
+
+
+def find_hot_early(df: DataFrame, by: Sequence[str]) -> None | str:
+    """None if no group of ``df`` is above the limit, else ``AUTO``.
+
+    For a step on a table made from ``df`` that has no larger groups: when ``df`` is cheap to read, the table
+    need not be made once more just to be counted.
+    """
+    return None if find_hot(df, by, by[0]) is None else AUTO
 
 
 def with_lookback(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from statloom.functions.scalar import clock_minutes, game_minutes, is_home, is_leading, text, yards_to_goal
 from statloom.operators.aggregate import any_true
 from statloom.operators.encode import one_hot
-from statloom.operators.hotgroups import running
+from statloom.operators.hotgroups import AUTO, HotGroups, running
 from statloom.operators.joins import lookup
 from statloom.operators.project import drop_missing, skip_first, within_bands
 from statloom.operators.windows import expanding, forward_fill
@@ -38,8 +38,13 @@ def personnel(player_play: DataFrame, players: DataFrame) -> DataFrame:
 
 
 def situation(plays: DataFrame, games: DataFrame, people: DataFrame) -> DataFrame:
-    """Plays with game facts, personnel and the derived clock, field and score columns."""
-    out = lookup(lookup(plays, games, ["gameId"]), people, PLAY)
+    """Plays with game facts, personnel and the derived clock, field and score columns.
+
+    Games come last: rows dealt by game then serve the windows inside a team's game too.
+    """
+    facts = [c for c in people.columns if c not in PLAY]
+    out = lookup(lookup(plays, people, PLAY), games, ["gameId"])
+    out = out.select(*[c for c in out.columns if c not in facts], *facts)
     return out.withColumns(
         {
             "qtr_minutes": clock_minutes("gameClock"),
@@ -65,7 +70,7 @@ def _is_attempt() -> Column:
     return _is_pass() & F.col("passResult").isNotNull() & ~F.col("passResult").isin("S", "R")
 
 
-def season_to_date(plays: DataFrame, include_current: bool = True) -> DataFrame:
+def season_to_date(plays: DataFrame, include_current: bool = True, hot: HotGroups | None | str = AUTO) -> DataFrame:
     """Running team features after each game, games in id order, one row per (team, game).
 
     The game itself counts unless ``include_current`` is False. Ratios divide running counts of the
@@ -90,11 +95,14 @@ def season_to_date(plays: DataFrame, include_current: bool = True) -> DataFrame:
             "pass_call_share": ("_pass_calls", "_calls"),
         },
         include_current=include_current,
+        hot=hot,
     )
     return out.select(*TEAM_GAME, "rush_avg_season", "completion_season", "play_action_share", "pass_call_share")
 
 
-def game_to_date(plays: DataFrame, at_completions_only: bool = False, fill_across_games: bool = False) -> DataFrame:
+def game_to_date(
+    plays: DataFrame, at_completions_only: bool = False, fill_across_games: bool = False, hot: HotGroups | None | str = AUTO
+) -> DataFrame:
     """Rushing average and completion share inside the game up to and including each play.
 
     ``at_completions_only`` updates the completion share on completions and carries it in between;
@@ -111,10 +119,11 @@ def game_to_date(plays: DataFrame, at_completions_only: bool = False, fill_acros
                 F.when(_is_attempt(), 1).otherwise(0),
             )
         },
+        hot=hot,
     )
     if at_completions_only:
         out = out.withColumn("completion_game", F.when(_is_completion(), F.col("completion_game")))
-        out = forward_fill(out, TEAM_GAME, ["playId"], ["completion_game"])
+        out = forward_fill(out, TEAM_GAME, ["playId"], ["completion_game"], hot)
     if fill_across_games:
         out = _fill_across_games(out)
     return out

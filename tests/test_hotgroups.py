@@ -121,3 +121,27 @@ def test_prefix_sums_equal_frames(series):
         a = {r["id"]: r["b"] for r in got.collect()}
         for r in want.collect():
             assert a[r["id"]] == pytest.approx(r["b"], abs=1e-9)
+
+
+@pytest.mark.parametrize("cells", [1, 4096])
+def test_groups_at_the_limit_are_not_large(spark, monkeypatch, cells):
+    monkeypatch.setattr(hg, "CELLS", cells)
+    df = spark.range(60).select(F.when(F.col("id") % 12 > 0, F.col("id") % 12).alias("e"), "id")
+    assert hg.find_hot(df, ["e"], "id", 5) is None and hg.find_hot_early(df, ["e"]) is None
+    for more in (7, None):
+        grown = df.union(spark.createDataFrame([(more, 60)], "e long, id long"))
+        assert hg.find_hot(grown, ["e"], "id", 5) == hg.HotGroups(5)
+
+
+def test_play_table_deals_plays_once_for_several_steps(spark):
+    """Plays, first plays and seasons are dealt by what later steps join or group by."""
+    from statloom.catalog import QUERIES
+    from tests.conftest import SMALL
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["play_type_model_table"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # 15 exchanges before; plays and first plays read the same one when the plan runs
+    assert plan.count("Exchange hashpartitioning") <= 13
