@@ -405,10 +405,10 @@ def test_jaccard_whole_sets_go_only_to_blocks_that_sketches_leave(spark, monkeyp
     shipped, whole = [], jaccard._sets
     monkeypatch.setattr(jaccard, "_sets", lambda docs, width: shipped.append(docs.count()) or whole(docs, width))
     # many buckets hold all texts of one length, which share a passage without linking
-    passage = " ".join(f"p{k}" for k in range(200))
-    texts = [f"{passage} " + " ".join(f"q{k}-{j}" for j in range(160)) for k in range(30)]
+    passage = " ".join(f"p{k}" for k in range(280))
+    texts = [f"{passage} " + " ".join(f"q{k}-{j}" for j in range(80)) for k in range(60)]
     got = {r["doc_id"]: r["component_id"] for r in jaccard.join(documents(spark, texts), 5, 80).collect()}
-    assert got == {k: k for k in range(30)} and not shipped
+    assert got == {k: k for k in range(60)} and not shipped
 
 
 @pytest.mark.parametrize("rounds", [0, 2])
