@@ -267,12 +267,17 @@ def _signed(rows: np.ndarray) -> pa.RecordBatch:
 
 
 def members(first: DataFrame) -> DataFrame:
-    """``signature``, ``class``, ``n`` of the signatures that ``n`` > 1 classes have; ``first`` has a row per class."""
+    """``signature``, ``class``, ``n`` of the signatures that ``n`` > 1 classes have; ``first`` has a row per class.
+
+    Of signatures that the same classes have, one stays: the others hold the same pairs. ``times`` counts them.
+    """
     signed = first.select(F.explode("signatures").alias("signature"), "class")
     # rows next to the end of a batch may come twice
     different = cut_lineage(_neighbours(signed)).distinct()
-    sizes = different.groupBy("signature").agg(F.count("*").alias("n")).filter("n > 1")
-    return cut_lineage(different.join(sizes, "signature"))
+    held = (F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), F.bit_xor(F.xxhash64("class")).alias("all"))
+    sizes = different.groupBy("signature").agg(*held).filter("n > 1")
+    one = sizes.groupBy("n", "low", "high", "all").agg(F.min("signature").alias("signature"), F.count("*").alias("times"))
+    return cut_lineage(different.join(one.select("signature", "n", "times"), "signature"))
 
 
 def _several(rows: DataFrame, what: str) -> DataFrame:
@@ -332,7 +337,7 @@ def _met(labelled: DataFrame) -> DataFrame:
     own = F.struct("label", "class")
     ends = labelled.groupBy("signature").agg(F.min(own).alias("low"), F.max(own).alias("high")).filter("low.label <> high.label")
     other = F.when(F.col("label") != F.col("low.label"), F.col("low.class")).otherwise(F.col("high.class"))
-    met = labelled.join(ends, "signature").groupBy("class", other.alias("other")).agg(F.count("*").alias("n"))
+    met = labelled.join(ends, "signature").groupBy("class", other.alias("other")).agg(F.sum("times").alias("n"))
     best = met.groupBy("class").agg(F.min(F.struct(-F.col("n"), "other")).alias("best"))
     return best.select(F.least("class", "best.other").alias("a"), F.greatest("class", "best.other").alias("b")).distinct()
 
@@ -618,13 +623,18 @@ def keep_first(docs: DataFrame, width: int = 5, least: int = 80) -> DataFrame:
     whole = described.filter("size > 0").select("doc_id", "text_hash", "class").join(labels, "class", "left")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     kept = whole.groupBy(F.coalesce("label", "class").alias("part")).agg(first)
-    kept = kept.select(F.col("first.doc_id").alias(chosen), F.col("first.text_hash").alias(hashed))
+    kept = kept.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    dropped = whole.select("doc_id", "text_hash").join(kept, own, "left_anti").distinct()
+    dropped = cut_lineage(dropped.select(F.col("doc_id").alias(chosen), F.col("text_hash").alias(hashed)))
     empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     same = F.col("doc_id").eqNullSafe(F.col(chosen)) & (F.xxhash64("text") == F.col(hashed))
-    rows = docs.filter(~empty).join(cut_lineage(kept), same, "left_semi")
+    # the ids of what goes, fewer than those of what stays: if they are few, no text is shuffled
+    rows = docs.filter(~empty).join(_told_small(dropped, dropped.count()), same, "left_anti")
     # rows alike in id and text: all but one are dropped, partly before the shuffle
     repeated = whole.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1")
     repeated = cut_lineage(repeated.select(F.col("doc_id").alias(chosen), F.col("text_hash").alias(hashed)))
+    repeated = _told_small(repeated, repeated.count())
     alike = rows.join(repeated, same, "left_semi").groupBy("doc_id", F.xxhash64("text").alias(hashed))
     one = alike.agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(number)).select(f"{number}.*")
     return rows.join(repeated, same, "left_anti").unionByName(one).unionByName(docs.filter(empty))

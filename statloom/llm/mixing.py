@@ -113,8 +113,10 @@ def mix(docs: DataFrame, **options) -> DataFrame:
         return df.join(of, same, how)
 
     once = with_key(rows, keys.filter("rows = 1 AND copies > 0"), KEY, "inner")
-    # rows alike in the key are numbered by what else they hold
-    alike = with_key(rows, keys.filter("rows > 1 AND number = 1"), KEY, "left_semi")
+    # rows alike in the key are numbered by what else they hold; written, their keys have a known size, and if
+    # they are few they are sent to all tasks, so that whole rows are shuffled once, not again to find no match
+    repeated = cut_lineage(keys.filter("rows > 1 AND number = 1").select(*KEY, "copies"))
+    alike = with_key(rows, repeated, KEY, "left_semi")
     alike = alike.withColumns({"_else": F.xxhash64(F.to_json("row")), "_any": F.monotonically_increasing_id()})
     order = [F.col("_else").asc(), F.col("_any").asc()]
     numbered = running(in_parts(alike, KEY, order), KEY, order, {"number": F.lit(1).cast("long")})

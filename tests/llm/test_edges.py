@@ -166,6 +166,26 @@ def test_mixing_repeated_rows_and_empty(spark):
     assert mixing.mix(nothing(spark)).count() == 0
 
 
+def test_mixing_shuffles_whole_rows_once(spark, monkeypatch):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.concat(F.lit("a b "), F.col("id").cast("string")).alias("text"))
+    plans, dealt = [], mixing.in_parts
+
+    def in_parts(df, *args):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return dealt(df, *args)
+
+    monkeypatch.setattr(mixing, "in_parts", in_parts)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 1 << 15)
+    try:
+        mixing.mix(docs)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # no row repeats another's key, so the look for such rows must not shuffle them
+    (semi,) = [x for x in plans if "LeftSemi" in x]
+    assert "BroadcastHashJoin" in semi and "SortMergeJoin" not in semi
+
+
 # --- line deduplication ----------------------------------------------------------------------------
 
 
@@ -472,6 +492,26 @@ def test_jaccard_keeps_one(spark):
     assert jaccard.join(nothing(spark)).count() == 0
 
 
+def test_jaccard_keeps_one_of_signatures_that_the_same_classes_have(spark):
+    first = spark.createDataFrame([(1, [10, 11, 12, 20]), (2, [10, 11, 12, 13]), (3, [13, 21])], "class long, signatures array<long>")
+    found = sorted(tuple(r) for r in jaccard.members(first).select("signature", "class", "n", "times").collect())
+    assert found == [(10, 1, 2, 3), (10, 2, 2, 3), (13, 2, 2, 1), (13, 3, 2, 1)]
+
+
+def test_jaccard_keep_first_shuffles_no_text_to_drop_a_few(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    docs = documents(spark, [text, text, "other words stand here now"])
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = jaccard.keep_first(docs)
+        plan = kept._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_jaccard_keeps_one_of_repeated_rows_and_null_ids(spark):
     near = list(near_copies(np.random.default_rng(3), 4, 60, 1))
     docs = documents(spark, [*near, near[0], "a b", "a b", "a b", *["c d"] * 5, "", ""], ids=[None] * 4 + [None, 4, 4, 2, *[7] * 5, 8, 8])
