@@ -13,7 +13,9 @@ gain in G^2 / (H + penalty), the first of equal ones by feature and bin.
 
 Rows with the same bins, label and fold stay alike through all rounds, so ``fit`` keeps one of them and their
 number, unless a setting samples rows. Each row carries its margins; they are written anew every ``CUT`` rounds, and the trees since then are
-walked on the way. The driver holds the trees. A histogram has (features x bins) pairs of numbers, one a
+walked on the way. Where the rows that ``fit`` keeps take at most ``DRIVER_BYTES`` and more than ``FEW_PASSES``
+passes lie ahead, they are sent to one task for each model, which grows all its rounds by itself, without passes.
+The driver holds the trees. A histogram has (features x bins) pairs of numbers, one a
 task and open node; where all of a level's are at most ``DRIVER_BYTES``, they meet on the driver, which saves
 a shuffle a level. Rows with a missing feature or label take no part. Row samples are drawn by a hash of
 the row's key and the round, so that lost tasks draw the same rows again.
@@ -21,13 +23,13 @@ the row's key and the round, so that lost tasks draw the same rows again.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.operators.selection import quantiles
@@ -37,6 +39,8 @@ from statloom.session import cut_lineage
 CUT = 10
 #: Histograms of a level, over all tasks, that may meet on the driver.
 DRIVER_BYTES = 16 << 20
+#: Passes up to which gathering the rows is not worth a job of its own.
+FEW_PASSES = 30
 MIN_WEIGHT = 1.0
 
 
@@ -51,6 +55,8 @@ class Setting:
     column_share: float = 1.0
     penalty: float = 1.0
     left_out: int | None = None
+    #: The label that a model with one class of margins tells from all others.
+    target: int = 1
 
 
 @dataclass(frozen=True)
@@ -70,11 +76,23 @@ class Tree:
     feature: np.ndarray
     cut: np.ndarray
     value: np.ndarray
+    gain: np.ndarray
 
     @classmethod
     def empty(cls, depth: int) -> Tree:
         n = 2 ** (depth + 1) - 1
-        return cls(np.full(n, -1, np.int16), np.zeros(n, np.int16), np.zeros(n))
+        return cls(np.full(n, -1, np.int16), np.zeros(n, np.int16), np.zeros(n), np.zeros(n, np.float32))
+
+    def split(self, at: int, chosen: Mapping, setting: Setting) -> bool:
+        """Give node ``at`` the split that was chosen, or its value if there is none."""
+        leaf = lambda g, h: -g / (h + setting.penalty) * setting.rate
+        if chosen["feature"] < 0:
+            self.value[at] = leaf(chosen["g"], chosen["h"])
+            return False
+        self.feature[at], self.cut[at], self.gain[at] = chosen["feature"], chosen["cut"], chosen["gain"]
+        self.value[2 * at + 1] = leaf(chosen["gl"], chosen["hl"])
+        self.value[2 * at + 2] = leaf(chosen["g"] - chosen["gl"], chosen["h"] - chosen["hl"])
+        return True
 
     def nodes(self, bins: np.ndarray, levels: int) -> np.ndarray:
         at = np.zeros(len(bins), np.int64)
@@ -175,9 +193,9 @@ def probabilities(margins: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def gradients(margins: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def gradients(margins: np.ndarray, label: np.ndarray, target: int = 1) -> tuple[np.ndarray, np.ndarray]:
     p = probabilities(margins)
-    y = (label[:, None] == (1 if margins.shape[1] == 1 else np.arange(margins.shape[1]))).astype(float)
+    y = (label[:, None] == (target if margins.shape[1] == 1 else np.arange(margins.shape[1]))).astype(float)
     scale = 1.0 if margins.shape[1] == 1 else 2.0
     return p - y, np.maximum(scale * p * (1 - p), 1e-16)
 
@@ -236,7 +254,7 @@ def _level(table: DataFrame, tasks: int, recent, growing, live, columns, setting
                 learn = _drawn(row, s.row_share, m, round_)
                 if s.left_out is not None:
                     learn &= fold != s.left_out
-                g, h = gradients(margins[:, m * classes : (m + 1) * classes], label)
+                g, h = gradients(margins[:, m * classes : (m + 1) * classes], label, s.target)
                 for k in range(classes):
                     if growing[m][k] is None:
                         continue
@@ -275,6 +293,74 @@ def _level(table: DataFrame, tasks: int, recent, growing, live, columns, setting
     return added.groupBy("tree", "node").applyInArrow(choose, schema).collect()
 
 
+def _gathered(table: DataFrame, features: int) -> tuple[np.ndarray, ...] | None:
+    """row, label, fold, n and bins of all rows, or None where they take more than ``DRIVER_BYTES``."""
+    if table.count() * (28 + features) > DRIVER_BYTES:
+        return None
+    held = table.select("row", "label", "fold", "n", "bins").toArrow().combine_chunks()
+    if not held.num_rows:
+        return None
+    placed = np.frombuffer(b"".join(held.column("bins").to_pylist()), np.uint8).reshape(-1, features)
+    return (*(held.column(c).to_numpy() for c in ("row", "label", "fold", "n")), placed)
+
+
+def _tree(bins: np.ndarray, flat: np.ndarray, g: np.ndarray, h: np.ndarray, tree: int, used: np.ndarray, settings, classes: int, features: int, n_bins: int) -> Tree:
+    """A tree from all rows that it learns from."""
+    setting, size = settings[tree // classes], features * n_bins
+    columns = [None] * (tree // classes) + [used]
+    grown, at, rows = Tree.empty(setting.depth), np.zeros(len(bins), np.int64), np.arange(len(bins))
+    for level in range(setting.depth):
+        first, count = 2**level - 1, 2**level
+        node = at[rows] - first
+        place = (node[:, None] * size + flat[rows]).ravel()
+        both = [np.bincount(place, np.repeat(x[rows], features), count * size).reshape(count, features, n_bins) for x in (g, h)]
+        split = np.zeros(count, bool)
+        for k in np.flatnonzero(np.bincount(node, minlength=count)).tolist():
+            chosen = _choice(np.stack([both[0][k], both[1][k]]), tree, k, columns, settings, classes)
+            split[k] = grown.split(first + k, chosen, setting)
+        rows = rows[split[node]]
+        if not len(rows):
+            break
+        here = at[rows]
+        at[rows] = 2 * here + 1 + (bins[rows, grown.feature[here]] > grown.cut[here])
+    return grown
+
+
+def _in_tasks(spark, held: tuple[np.ndarray, ...], settings, classes: int, features: int, n_bins: int, columns) -> list[list[list[Tree]]]:
+    """All trees of all models, each model grown by one task that holds all rows; ``columns[round][model]``."""
+    # the longest first
+    order = sorted(range(len(settings)), key=lambda m: -settings[m].rounds * settings[m].depth)
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for m in (order[i] for i in batch.column(0).to_pylist()):
+                s = settings[m]
+                row, label, fold, n, bins = held if s.left_out is None else (x[held[2] != s.left_out] for x in held)
+                flat, margins, trees = bins + np.arange(features) * n_bins, np.zeros((len(bins), classes)), []
+                for r in range(s.rounds):
+                    learn = _drawn(row, s.row_share, m, r)
+                    g, h = gradients(margins, label, s.target)
+                    g, h = g * n[:, None], h * n[:, None]
+                    own = (bins, flat, g, h) if learn.all() else (bins[learn], flat[learn], g[learn], h[learn])
+                    grown = [_tree(*own[:2], own[2][:, k], own[3][:, k], m * classes + k, columns[r][m], settings, classes, features, n_bins) for k in range(classes)]
+                    for k, tree in enumerate(grown):
+                        margins[:, k] += tree.value[tree.nodes(bins, s.depth)]
+                    trees += grown
+                packed = [np.concatenate([getattr(t, c) for t in trees] or [getattr(Tree.empty(0), c)[:0]]).tobytes() for c in ("feature", "cut", "value", "gain")]
+                columns_ = [pa.array([m], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)]
+                yield pa.RecordBatch.from_arrays(columns_, ["model", "feature", "cut", "value", "gain"])
+
+    models = spark.range(0, len(settings), 1, len(settings))
+    told = models.mapInArrow(grow, "model int, feature binary, cut binary, value binary, gain binary").collect()
+    out: list = [None] * len(settings)
+    for t in told:
+        s = settings[t["model"]]
+        kinds = {"feature": np.int16, "cut": np.int16, "value": np.float64, "gain": np.float32}
+        arrays = [np.frombuffer(t[c], kind).reshape(s.rounds, classes, 2 ** (s.depth + 1) - 1) for c, kind in kinds.items()]
+        out[t["model"]] = [[Tree(*(a[r, k] for a in arrays)) for k in range(classes)] for r in range(s.rounds)]
+    return out
+
+
 def fit(table: DataFrame, bins: Bins, settings: Sequence[Setting], classes: int = 1, seed: int = 13) -> Boosted:
     """Fit all ``settings`` side by side on a table made by ``bin_rows``. Labels are 0, 1, .. ``classes`` - 1
     (0 and 1 with one class)."""
@@ -289,15 +375,24 @@ def fit(table: DataFrame, bins: Bins, settings: Sequence[Setting], classes: int
         table = cut_lineage(table)
     else:
         table = table.withColumn("n", F.lit(1).cast("bigint"))
+    rounds = max((s.rounds for s in settings), default=0)
+    drawn: list[list] = [[None] * len(settings) for _ in range(rounds)]
+    for r in range(rounds):
+        for m in (m for m, s in enumerate(settings) if r < s.rounds):
+            used = max(1, round(settings[m].column_share * features))
+            drawn[r][m] = np.sort(rng.permutation(features)[:used])
+    if rounds * max((s.depth for s in settings), default=0) > FEW_PASSES:
+        held = _gathered(table, features)
+        if held is not None:
+            model.trees = _in_tasks(table.sparkSession, held, settings, classes, features, bins.most, drawn)
+            return model
     tasks = table.rdd.getNumPartitions()
-    for r in range(max((s.rounds for s in settings), default=0)):
+    for r in range(rounds):
         live = [m for m, s in enumerate(settings) if r < s.rounds]
         growing: list = [None] * len(settings)
-        columns: list = [None] * len(settings)
+        columns = drawn[r]
         for m in live:
             growing[m] = [Tree.empty(settings[m].depth) for _ in range(classes)]
-            used = max(1, round(settings[m].column_share * features))
-            columns[m] = np.sort(rng.permutation(features)[:used])
         # trees that may still have an open node on the level
         open_ = {(m, k) for m in live for k in range(classes)}
         for level in range(max(settings[m].depth for m in live)):
@@ -309,15 +404,8 @@ def fit(table: DataFrame, bins: Bins, settings: Sequence[Setting], classes: int
             split = set()
             for row in found:
                 m, k = divmod(row["tree"], classes)
-                tree, at, s = growing[m][k], 2**level - 1 + row["node"], settings[m]
-                leaf = lambda g, h: -g / (h + s.penalty) * s.rate
-                if row["feature"] < 0:
-                    tree.value[at] = leaf(row["g"], row["h"])
-                    continue
-                tree.feature[at], tree.cut[at] = row["feature"], row["cut"]
-                tree.value[2 * at + 1] = leaf(row["gl"], row["hl"])
-                tree.value[2 * at + 2] = leaf(row["g"] - row["gl"], row["h"] - row["hl"])
-                split.add((m, k))
+                if growing[m][k].split(2**level - 1 + row["node"], row, settings[m]):
+                    split.add((m, k))
             open_ &= split
         for m in live:
             model.trees[m].append(growing[m])
@@ -379,22 +467,30 @@ def scores(model: Boosted, table: DataFrame, stages: Sequence[Sequence[int]] | N
     return said.groupBy("model", "rounds", "label", "prediction").agg(F.sum("n").alias("n"))
 
 
-def predicted(model: Boosted, df: DataFrame, which: int = 0) -> DataFrame:
-    """Add ``probabilities`` (of class 1, or of every class) and ``prediction`` by one of the models."""
-    s, trees, classes = model.settings[which], model.trees[which], model.classes
+def margins_of(model: Boosted, which: Sequence[int], arrays: Column, given: Callable[[np.ndarray], np.ndarray] = lambda m: m) -> Column:
+    """The margins that the models ``which`` give to an array of features, side by side, or what ``given`` makes of them."""
+    trees, depths, classes = [model.trees[m] for m in which], [model.settings[m].depth for m in which], model.classes
     cuts = [np.array(c) for c in model.bins.cuts]
 
     @F.pandas_udf("array<double>")
     def ask(x):
         values = np.stack(x.to_numpy()) if len(x) else np.zeros((0, len(cuts)))
-        bins = np.column_stack([np.searchsorted(c, values[:, i], side="left") for i, c in enumerate(cuts)])
-        margins = np.zeros((len(bins), classes))
-        _walk(bins, margins, [trees], [s.depth], classes)
-        return type(x)(list(probabilities(margins)))
+        bins = np.column_stack([np.searchsorted(c, values[:, i], side="left") for i, c in enumerate(cuts)]).astype(np.int16)
+        # rows alike are asked about once
+        _, one, of = np.unique(np.ascontiguousarray(bins).view(f"V{2 * len(cuts)}").ravel(), return_index=True, return_inverse=True)
+        margins = np.zeros((len(one), len(trees) * classes))
+        _walk(bins[one], margins, trees, depths, classes)
+        return type(x)(list(given(margins)[of]))
+
+    return ask(arrays)
 
+
+def predicted(model: Boosted, df: DataFrame, which: int = 0) -> DataFrame:
+    """Add ``probabilities`` (of class 1, or of every class) and ``prediction`` by one of the models."""
+    classes = model.classes
     arrays = F.array(*[F.col(f).cast("double") for f in model.bins.features])
     complete = F.forall(arrays, lambda v: v.isNotNull())
-    out = df.where(complete).withColumn("probabilities", ask(arrays))
+    out = df.where(complete).withColumn("probabilities", margins_of(model, [which], arrays, probabilities))
     p = F.col("probabilities")
     best = (F.get(p, F.lit(0)) > 0.5).cast("int") if classes == 1 else F.array_position(p, F.array_max(p)).cast("int") - 1
     return out.withColumn("prediction", best)

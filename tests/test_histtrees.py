@@ -194,3 +194,34 @@ def test_rows_alike_are_learnt_from_once(spark, monkeypatch):
     for a, b in zip(*([t for r in grown[0] for t in r] for grown in trees)):
         assert a.feature.tolist() == b.feature.tolist() and a.cut.tolist() == b.cut.tolist()
         assert a.value == pytest.approx(b.value, rel=1e-9)
+
+
+@pytest.mark.parametrize("classes", [1, 3])
+def test_models_grown_in_one_task_equal_those_grown_by_passes(spark, monkeypatch, classes):
+    x, y, fold = sample(classes=max(2, classes))
+    table_rows = frame(spark, np.tile(x, (2, 1)), np.tile(y, 2), np.tile(fold, 2))
+    bins = ht.find_bins(table_rows, NAMES, 8)
+    table = ht.bin_rows(table_rows, bins, "label", "id", "fold")
+    plain = [Setting(4, 3, 0.3), Setting(2, 4, 0.1, left_out=1, column_share=0.5), Setting(3, 2, 0.2, target=0)]
+    for settings in (plain, [*plain, Setting(2, 3, 0.1, row_share=0.6)]):
+        by_passes = ht.fit(table, bins, settings, classes).trees
+        with monkeypatch.context() as patch:
+            patch.setattr(ht, "FEW_PASSES", 0)
+            patch.setattr(ht, "_level", None)
+            in_tasks = ht.fit(table, bins, settings, classes).trees
+        assert [len(m) for m in in_tasks] == [s.rounds for s in settings]
+        pairs = [(a, b) for one, other in zip(by_passes, in_tasks) for r, q in zip(one, other, strict=True) for a, b in zip(r, q, strict=True)]
+        for a, b in pairs:
+            assert a.feature.tolist() == b.feature.tolist() and a.cut.tolist() == b.cut.tolist()
+            assert a.value == pytest.approx(b.value, rel=1e-9) and a.gain == pytest.approx(b.gain, rel=1e-4, abs=1e-6)
+
+
+def test_grid_has_the_rounds_of_the_reference(spark, monkeypatch):
+    """135 fits: 50, 100 and 200 rounds, three rates, three depths, five folds."""
+    from statloom.catalog import models
+
+    assert models.GRID == {"rounds": [50, 100, 200], "rate": [0.01, 0.1, 0.2], "depth": [3, 5, 7]}
+    asked = []
+    monkeypatch.setattr(ht, "search", lambda df, *more: asked.append(more[3:]))
+    models.boosted_grid_scores(spark, "/root/testdata/sf0.001")
+    assert asked == [("fold", 5, models.GRID)]
