@@ -1,19 +1,24 @@
-"""MLlib classifiers, grid search, metrics, importances and partial dependence."""
+"""Classifiers, grid search, metrics, importances and partial dependence."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 from itertools import product
 
+import numpy as np
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseVector
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statloom.operators import histtrees
+
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(df)
@@ -32,9 +37,63 @@ def boosted_trees(
     )
 
 
-def many_class_boosted_trees(parallelism: int = 3, **options) -> OneVsRest:
-    """Boosted trees are binary in MLlib; one model per class, highest score wins."""
-    return OneVsRest(classifier=boosted_trees(**options), parallelism=parallelism)
+@dataclass(frozen=True)
+class ClassTrees:
+    """The trees that tell one class from all others; ``featureImportances`` are shares of the splits' gains."""
+
+    trees: list[list[histtrees.Tree]]
+    features: int
+
+    @property
+    def featureImportances(self) -> DenseVector:
+        gains = np.zeros(self.features)
+        for tree in (t for r in self.trees for t in r):
+            np.add.at(gains, tree.feature[tree.feature >= 0], tree.gain[tree.feature >= 0])
+        return DenseVector(gains / (gains.sum() or 1.0))
+
+
+@dataclass(frozen=True)
+class OneVsRestTreesModel:
+    boosted: histtrees.Boosted
+
+    @property
+    def models(self) -> list[ClassTrees]:
+        return [ClassTrees(trees, len(self.boosted.bins.features)) for trees in self.boosted.trees]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Add ``rawPrediction``, the margins of all classes, and ``prediction``, the first of the highest."""
+        margins = histtrees.margins_of(self.boosted, range(len(self.boosted.trees)), vector_to_array("features"))
+        out = df.withColumn("rawPrediction", margins)
+        best = (F.array_position("rawPrediction", F.array_max("rawPrediction")) - 1).cast("double")
+        return out.withColumn("prediction", best).withColumn("rawPrediction", array_to_vector("rawPrediction"))
+
+
+@dataclass(frozen=True)
+class OneVsRestTrees:
+    """Boosted trees on shared bins, one model per class, all grown together; highest margin wins."""
+
+    setting: histtrees.Setting
+    seed: int = 13
+
+    def fit(self, df: DataFrame) -> OneVsRestTreesModel:
+        """Learn from the columns ``features`` and ``label`` (0, 1, ..)."""
+        values = vector_to_array("features")
+        told = df.agg(F.max("label").alias("last"), F.max(F.size(values)).alias("width")).first()
+        if told["last"] is None or told["width"] is None:
+            raise ValueError("no rows to learn from")
+        names = [f"x{i}" for i in range(told["width"])]
+        # the id is written with the bins, so samples are drawn by the same one whenever they are read
+        rows = df.select("label", F.monotonically_increasing_id().alias("id"), *[F.get(values, F.lit(i)).alias(n) for i, n in enumerate(names)])
+        bins = histtrees.find_bins(rows, names)
+        settings = [replace(self.setting, target=k) for k in range(int(told["last"]) + 1)]
+        return OneVsRestTreesModel(histtrees.fit(histtrees.bin_rows(rows, bins, "label", "id"), bins, settings, seed=self.seed))
+
+
+def many_class_boosted_trees(
+    rounds: int = 100, depth: int = 6, rate: float = 0.3, row_share: float = 1.0, column_share: float = 1.0, seed: int = 13
+) -> OneVsRestTrees:
+    """One model of boosted trees per class, highest score wins."""
+    return OneVsRestTrees(histtrees.Setting(rounds, depth, rate, row_share, column_share), seed)
 
 
 def forest(trees: int = 100, depth: int = 10, leaf_rows: int = 1, bootstrap: bool = True, seed: int = 42) -> RandomForestClassifier:

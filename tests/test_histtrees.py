@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statloom.operators import histtrees as ht
+from statloom.operators import learn
 from statloom.operators.histtrees import Setting
 
 NAMES = ["a", "b", "c"]
@@ -221,7 +222,38 @@ def test_grid_has_the_rounds_of_the_reference(spark, monkeypatch):
     from statloom.catalog import models
 
     assert models.GRID == {"rounds": [50, 100, 200], "rate": [0.01, 0.1, 0.2], "depth": [3, 5, 7]}
-    asked = []
-    monkeypatch.setattr(ht, "search", lambda df, *more: asked.append(more[3:]))
+    asked, none = [], spark.createDataFrame([], "parameters string, score double")
+    monkeypatch.setattr(ht, "search", lambda df, *more: (asked.append(more[3:]), none)[1])
     models.boosted_grid_scores(spark, "/root/testdata/sf0.001")
     assert asked == [("fold", 5, models.GRID)]
+
+
+def test_one_model_a_class_has_the_rounds_of_the_reference(spark, monkeypatch):
+    """75 rounds of depth 5 at a rate of 0.075 for every class; all of them are grown."""
+    from statloom.catalog import models
+
+    fitted, fit = [], ht.fit
+    monkeypatch.setattr(ht, "fit", lambda *more, **named: (fitted.append(fit(*more, **named)), fitted[-1])[1])
+    assert models.many_class_scores(spark, "/root/testdata/sf0.001").count() == 1
+    (model,) = fitted
+    assert [(s.rounds, s.depth, s.rate, s.target) for s in model.settings] == [(75, 5, 0.075, k) for k in range(3)]
+    assert [len(trees) for trees in model.trees] == [75] * 3
+
+
+def test_highest_of_one_model_a_class_wins(spark):
+    """Each class is told from the others by the trees of brute force; the highest margin is predicted."""
+    x, y, fold = sample(classes=3)
+    df = frame(spark, x, y, fold).withColumn("label", F.col("label").cast("double"))
+    ready = learn.assemble(df, NAMES)
+    model = learn.many_class_boosted_trees(rounds=3, depth=2, rate=0.3).fit(ready)
+    cuts = model.boosted.bins.cuts
+    want = np.column_stack([brute(x, (y == k).astype(int), 3, 2, 0.3, 2, cuts)[-1][:, 0] for k in range(3)])
+    got = {r["id"]: r for r in model.transform(ready).collect()}
+    assert np.allclose([got[i]["rawPrediction"].toArray() for i in range(len(y))], want, atol=1e-9)
+    assert [got[i]["prediction"] for i in range(len(y))] == want.argmax(axis=1).tolist()
+    shares = learn.importances(model, NAMES, df).collect()
+    assert sum(r["importance"] for r in shares) == pytest.approx(1) and shares[0]["feature"] in ("a", "b")
+    sampled = learn.many_class_boosted_trees(rounds=2, depth=2, rate=0.3, row_share=0.5, column_share=0.5).fit(ready)
+    assert [len(trees) for trees in sampled.boosted.trees] == [2, 2, 2]
+    with pytest.raises(ValueError):
+        learn.many_class_boosted_trees(rounds=2).fit(ready.limit(0))
