@@ -10,8 +10,9 @@ cosine threshold: bound / (query length * longest length in the bucket).
 * A low one prunes by length: only vectors of length bound / query length or more are looked at.
 
 What passes is verified by integer products. Buckets and query blocks have a bounded number of rows
-and meet in pairs: every block of the stated query set against every bucket, spread over the tasks.
-Nothing is broadcast or collected.
+and meet in pairs: every block of the stated query set against every bucket, spread over the tasks. Only
+the first bucket is broadcast, for the bounds; the repeated query blocks are merged with the buckets, because
+Spark would take their size for that of the table they are repeated from, and send them all to the driver.
 
 Vectors that are null, or hold null or non-finite components, take no part; neither do rows without
 an id. Rows that share an id count once, with the smallest vector. Shorter vectors are filled with
@@ -198,12 +199,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, scale: float = 64.0
         F.col("width").alias("q_width"),
     )
     unbounded = F.lit(None).cast("array<struct<query_id:long,bound:long>>")
-    longest = asked.withColumns({"bounds": unbounded, "block": F.col("q_block") % 1}).join(buckets, "block")
+    longest = asked.withColumn("bounds", unbounded).crossJoin(F.broadcast(buckets.filter("block = 0")))
     lowest = top(_search(longest, k), k).groupBy("q_block", "query_id").agg(F.min("score").alias("bound"), F.count("*").alias("n"))
     # at most one entry per query of a block
     bounds = lowest.filter(F.col("n") >= k).groupBy("q_block").agg(F.collect_list(F.struct("query_id", "bound")).alias("bounds"))
     bounded = cut_lineage(asked.join(bounds, "q_block", "left"))
     n_buckets = buckets.agg(F.max("block") + 1).first()[0] or 0
     every = F.explode(F.sequence(F.lit(0), F.lit(max(n_buckets - 1, 0)).cast("long")))
-    pairs = bounded.withColumn("block", every).join(buckets, "block")
+    pairs = bounded.withColumn("block", every).join(buckets.hint("merge"), "block")
     return top(_search(pairs, k), k).select("query_id", "rank", "vec_id", "score")
