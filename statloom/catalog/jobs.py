@@ -405,7 +405,8 @@ COMPS_SQL = f"""{CAREER_SQL}, {CONTRACT_SQL},
 
 def contract_table(spark, d):
     caps = contracts.cap_table(spark.range(1), {y * 10001 + 1: 1_000_000 for y in range(1990, 2010)})
-    return contracts.contract_seasons(contracts.contract_table(contract_players(spark, d), CURRENT), careers(spark, d), caps, digits=None)
+    read = [*contracts.RFA_FEATURES, *contracts.UFA_FEATURES]
+    return contracts.contract_seasons(contracts.contract_table(contract_players(spark, d), CURRENT), careers(spark, d), caps, digits=None, columns=read)
 
 
 @query(

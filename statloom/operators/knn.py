@@ -6,7 +6,8 @@ that varies most in what is cut. The cuts are chosen on a bounded sample, which
 search is; the box around a cell's rows is taken from all of them. A subject is compared with its own cell
 first. The distance to the k-th candidate found there bounds its search: it visits only cells whose box
 is no farther. So the cells that a subject visits do not multiply with the table. Cells and visits are cut
-into blocks of bounded size, and a final top-k merges what the blocks return. The result is exact for any
+into blocks of bounded size; inside a block the candidates are cut again, down to ``LEAF_ROWS``, and searched the same
+way. A final top-k merges what the blocks return. The result is exact for any
 choice of cuts. The driver holds the cuts and boxes, at most ``SAMPLE_ROWS`` / ``LEAST_SAMPLE`` of them. Of
 candidates at one point only the first k by id can be neighbours, and only they are dealt out. Tables that
 are read several times are materialised in the checkpoint folder.
@@ -25,13 +26,17 @@ from pyspark.sql import types as T
 from statloom.operators.project import top_per_group
 from statloom.session import cut_lineage
 
-BLOCK_ROWS = 8192
-MIN_CELL_ROWS = 512
+BLOCK_ROWS = 32_768
+MIN_CELL_ROWS = 16_384
+#: Candidates of a block that are compared at once.
+LEAF_ROWS = 256
 #: Rows on which the cuts are chosen, and the fewest of them that a cell holds.
 SAMPLE_ROWS = 131_072
 LEAST_SAMPLE = 8
 # pairs of one chunk of a block
 CHUNK_PAIRS = 1 << 18
+# pairs that a block holds before it drops all but the closest
+HELD_PAIRS = 1 << 20
 # widening of the search radius that absorbs rounding
 SLACK = 1e-9
 
@@ -116,6 +121,67 @@ class Cells:
         return np.concatenate([r for r, _ in found]), np.concatenate([np.full(len(r), n) for r, n in found])
 
 
+def _first(found: list[tuple[np.ndarray, ...]], take: int) -> tuple[np.ndarray, ...]:
+    """The ``take`` first of (row, column, distance) for every row, by distance and column."""
+    row, col, gap = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((col, gap, row))
+    row, col, gap = row[order], col[order], gap[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row, side="left") < take
+    return row[kept], col[kept], gap[kept]
+
+
+def closest_points(x: np.ndarray, at: np.ndarray, k: int, radius: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(row, column, distance): of every row of ``x`` the ``k`` closest rows of ``at``, the first of equally close ones.
+
+    With ``radius`` only those that are no farther than it.
+    """
+    take, cells = min(k, len(at)), Cells()
+    root = cells.grow(at[np.isfinite(at).all(axis=1)], max(LEAF_ROWS // 2, take)) or 0
+    cells.freeze()
+    leaf = cells.place(np.full(len(at), root), at)
+    order = np.argsort(leaf, kind="stable")
+    leaves, starts = np.unique(leaf[order], return_index=True)
+    members = dict(zip(leaves.tolist(), np.split(order, starts[1:])))
+    cells.bound(leaves, np.minimum.reduceat(at[order], starts), np.maximum.reduceat(at[order], starts))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+
+    def meet(node: int, rows: np.ndarray, most: np.ndarray | None) -> None:
+        """Compare rows with a leaf; without ``most`` its own k-th candidate is a row's bound, and is noted in ``reach``."""
+        nonlocal found
+        cols = members[node]
+        step = max(1, CHUNK_PAIRS // len(cols))
+        for q in (rows[i : i + step] for i in range(0, len(rows), step)):
+            squares = np.zeros((len(q), len(cols)))
+            for f in range(x.shape[1]):
+                squares += (x[q, f][:, None] - at[cols, f]) ** 2
+            if most is None:
+                reach[q] = np.partition(squares, take - 1, axis=1)[:, take - 1]
+            # a little more, because unequal squares may have equal roots; what is no number stays
+            row, col = np.nonzero(~(squares > (reach if most is None else most)[q, None] * (1 + 1e-14)))
+            found.append(_first([(q[row], cols[col], np.sqrt(squares[row, col]))], take))
+        if sum(len(f[0]) for f in found) > HELD_PAIRS:
+            found = [_first(found, take)]
+
+    def by_node(node: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        order = np.argsort(node, kind="stable")
+        places, first = np.unique(node[order], return_index=True)
+        return zip(places.tolist(), np.split(rows[order], first[1:]))
+
+    home = np.full(len(x), -1)
+    if radius is None:
+        reach = np.full(len(x), np.inf)
+        home = cells.place(np.full(len(x), root), x)
+        for node, rows in by_node(home, np.arange(len(x))):
+            meet(node, rows, None)
+    else:
+        reach = radius**2
+    row, node = cells.within(np.full(len(x), root), x, np.sqrt(reach))
+    other = node != home[row]
+    for n, rows in by_node(node[other], row[other]):
+        meet(n, rows, reach)
+    return _first(found, take)
+
+
 def _cut_segments(pool: DataFrame, segment: Sequence[str], features: Sequence[str], k: int, cell_rows: int, pivots: int | None) -> tuple[Cells, DataFrame | None]:
     """The cuts, chosen on a sample of the candidates, and the cut segments with their root node."""
     n = pool.count()
@@ -253,32 +319,10 @@ def closest_in_cells(
             return pd.DataFrame({f.name: [] for f in schema.fields})
         c = c.sort_values("_cid", kind="stable")
         at, ids = c[features].to_numpy(float), c["_cid"].to_numpy()
-        take = min(k, len(ids))
-        parts = []
-        step = max(1, CHUNK_PAIRS // len(ids))
-        for start in range(0, len(v), step):
-            q = v.iloc[start : start + step]
-            squares = np.zeros((len(q), len(ids)))
-            for f, name in enumerate(features):
-                squares += (q[name].to_numpy(float)[:, None] - at[None, :, f]) ** 2
-            if within:
-                most = q[within].to_numpy(float) ** 2
-            else:
-                most = np.partition(squares, take - 1, axis=1)[:, take - 1]
-            # a little more, because unequal squares may have equal roots; what is no number stays
-            row, col = np.nonzero(~(squares > most[:, None] * (1 + 1e-14)))
-            gap = np.sqrt(squares[row, col])
-            # ids are sorted, so equal distances are settled by id
-            order = np.lexsort((col, gap, row))
-            row, col, gap = row[order], col[order], gap[order]
-            kept = np.arange(len(row)) - np.searchsorted(row, row, side="left") < take
-            row, col = row[kept], col[kept]
-            part = {s: q[s].to_numpy()[row] for s in segment}
-            part["_sid"] = q["_sid"].to_numpy()[row]
-            part["_cid"] = ids[col]
-            part["distance"] = gap[kept]
-            parts.append(pd.DataFrame(part))
-        return pd.concat(parts, ignore_index=True)
+        x, most = v[features].to_numpy(float), v[within].to_numpy(float) if within else None
+        row, col, gap = closest_points(x, at, k, most)
+        part = {s: v[s].to_numpy()[row] for s in segment}
+        return pd.DataFrame(part | {"_sid": v["_sid"].to_numpy()[row], "_cid": ids[col], "distance": gap})
 
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(closest_in_block, schema)
 

@@ -47,8 +47,8 @@ def career_table(seasons: DataFrame, bios: DataFrame | None = None, digits: int
         facts = bios.dropDuplicates(["playerId"])
         out = lookup(out, facts, ["playerId"], [c for c in facts.columns if c not in out.columns])
         out = out.withColumn("july_1_age", age_in_years("july_1", "birthDate"))
-    # the rows stay the same from here on, so one look at the group sizes serves every step
-    hot = find_hot(out, by, order[0])
+    # totals and facts add no rows, so one look at the group sizes serves every step
+    hot = find_hot(seasons, by, order[0])
     out = number_rows(out, by, order, "szn_no", hot)
     out = running_totals(
         out, by, order,
@@ -84,15 +84,18 @@ def cap_table(df: DataFrame, caps: Mapping[int, int] = CAP_BY_SEASON) -> DataFra
     return df.sparkSession.createDataFrame(list(caps.items()), "contract_year int, upper_limit bigint")
 
 
-def contract_seasons(contracts: DataFrame, careers: DataFrame, caps: DataFrame, digits: int | None = 2) -> DataFrame:
+def contract_seasons(
+    contracts: DataFrame, careers: DataFrame, caps: DataFrame, digits: int | None = 2, columns: Sequence[str] | None = None
+) -> DataFrame:
     """Contracts joined to the career row of their season, skaters only, with the cap share.
 
-    Materialised, because scaling, matching and every report read it again.
+    Materialised, because scaling, matching and every report read it again; ``columns`` names the career columns
+    that they read (all), so that no others are worked out and written.
     """
     fix = (lambda x: half_even(x, digits)) if digits is not None else (lambda x: x)
     out = lookup(
         contracts, careers, {"nhl_id": "playerId", "contract_year": "seasonId"},
-        [c for c in careers.columns if c not in {*contracts.columns, "playerId", "seasonId"}], "inner",
+        [c for c in careers.columns if c not in {*contracts.columns, "playerId", "seasonId"} and (columns is None or c in columns)], "inner",
     )
     out = out.filter((F.col("position") != "Goaltender") & F.col("signing_status").isin("RFA", "UFA"))
     out = lookup(out, caps, ["contract_year"], ["upper_limit"])
@@ -125,7 +128,8 @@ def comparables(
         weight = F.when(forward, float(ufa_forward_weights.get(u, 1.0))).otherwise(1.0)
         picked[f"f{i}"] = F.when(F.col("signing_status") == "RFA", F.col(f"{r}_z")).otherwise(F.col(f"{u}_z") * weight)
     names = list(picked)
-    rows = scaled.withColumns(picked).select(*segment, "contract_id", "contract_year", *names)
+    # subjects and candidates are read from it
+    rows = cut_lineage(scaled.withColumns(picked).select(*segment, "contract_id", "contract_year", *names))
     pending = rows.filter(F.col("contract_year") == current).withColumnRenamed("contract_id", "subject_id")
     earlier = rows.filter(
         (F.col("contract_year") != current) & (F.col("contract_year") >= current - seasons_back * 10001)
